@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, each with its SQL twin."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
