@@ -52,10 +52,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges of a hot node are dealt to SALTS tasks. Empty input gives no rows.
     """
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))
 
     def lowest(pairs: DataFrame) -> DataFrame:
-        mins = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), every.cast("bigint").alias("s"))
+        mins = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), every.alias("s"))
         return pairs.withColumn("s", salt("v")).join(mins, ["u", "s"])
 
     def mark(df: DataFrame) -> tuple:

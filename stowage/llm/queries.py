@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from stowage.llm.simhash import op3_simhash_near_dedup
+from stowage.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
