@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stowage.llm.embeddings import op5_embedding_near_dedup
 from stowage.llm.language import op1_language_id
 from stowage.llm.packing import op8_packing
 from stowage.llm.simhash import op3_simhash_near_dedup
@@ -10,6 +11,7 @@ from stowage.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
