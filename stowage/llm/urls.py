@@ -102,8 +102,8 @@ tags AS (SELECT url, unnest([
 links AS (SELECT url AS a, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^.*?://[^/?#]*', 0, 's') || t WHEN contains(t, '://') THEN t END AS b
   FROM tags WHERE t <> ''),
 edges AS (SELECT DISTINCT regexp_extract(a, '^[^#]*', 0, 's') AS a, regexp_extract(b, '^[^#]*', 0, 's') AS b FROM links WHERE b IS NOT NULL),
-both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach(a, b) AS (SELECT a, a FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
 named AS (SELECT DISTINCT b AS url, coalesce(translate(regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM reach),
 fits AS (SELECT p.host, p.path, r.rule, r.ruled, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.rule) DESC, r.rule) AS k
