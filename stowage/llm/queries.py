@@ -5,6 +5,7 @@ from __future__ import annotations
 from stowage.llm.embeddings import op5_embedding_near_dedup
 from stowage.llm.language import op1_language_id
 from stowage.llm.packing import op8_packing
+from stowage.llm.pieces import op4_sentencepiece
 from stowage.llm.simhash import op3_simhash_near_dedup
 from stowage.llm.syncmers import op6_syncmer_fingerprints
 from stowage.llm.toxicity import op9_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filters": op2_url_filters,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
     "op8_packing": op8_packing,
