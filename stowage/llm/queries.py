@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stowage.llm.embeddings import op5_embedding_near_dedup
 from stowage.llm.language import op1_language_id
+from stowage.llm.licenses import op10_license_scans
 from stowage.llm.packing import op8_packing
 from stowage.llm.pieces import op4_sentencepiece
 from stowage.llm.simhash import op3_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
