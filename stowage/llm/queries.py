@@ -7,6 +7,7 @@ from stowage.llm.language import op1_language_id
 from stowage.llm.licenses import op10_license_scans
 from stowage.llm.packing import op8_packing
 from stowage.llm.pieces import op4_sentencepiece
+from stowage.llm.quality import op7_quality_classifier
 from stowage.llm.simhash import op3_simhash_near_dedup
 from stowage.llm.syncmers import op6_syncmer_fingerprints
 from stowage.llm.toxicity import op9_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
