@@ -18,7 +18,7 @@ def test_label_model_finds_the_good_labellers():
 
 
 def test_votes_and_features():
-    words = b"These are plain words, in a row. They end well.".split()
+    words = b"These are plain words in a row. They all end quite well.".split()
     assert votes(b" ".join(words), words)[0] == 1
     assert votes(b"", [])[1] == 0 and votes(b"$$$ %%% &&&", [b"$$$", b"%%%", b"&&&"])[0] == 0
     assert len(features(words)) == 3 * len(words) and len(features([])) == 0
