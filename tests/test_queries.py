@@ -1,0 +1,47 @@
+"""Every registered query of the inventory operators against its SQL twin, on the smallest given tables."""
+
+import glob
+import os
+
+import pytest
+
+from stowage.plans.catalogue import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
+
+
+@pytest.fixture(scope="module")
+def db():
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p).removesuffix('.parquet')} as select * from '{p}'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return round(v, 9)
+    return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, db, name):
+    got = QUERIES[name](spark, SF)
+    names = sorted(got.columns)
+    found = db.execute(ORACLE_SQL[name])
+    theirs = [d[0] for d in found.description]
+    assert sorted(theirs) == names
+    want = sorted((tuple(plain(r[theirs.index(c)]) for c in names) for r in found.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in names) for r in got.collect()), key=repr) == want
+
+
+def test_every_query_is_registered_once():
+    assert set(ORACLE_SQL) <= set(QUERIES) and set(QUERIES) - set(ORACLE_SQL) == {"possibly_exists"}
+
+
+def test_approximate_layers_never_deny_a_held_key(spark):
+    rows = QUERIES["possibly_exists"](spark, SF).join(QUERIES["layered_exists"](spark, SF), "doc_id")
+    assert rows.where("exists and answer = 'no'").count() == 0 and rows.where("answer = 'yes'").count() > 0
