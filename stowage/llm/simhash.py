@@ -23,28 +23,68 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import connected_components, durable, text_slices
+from stowage.llm.common import SALTS, connected_components, durable, stored, text_slices
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Different fingerprints that share a half and are still joined pairwise.
 DENSE = 64
+#: Shingles of a passage on average and at least; hashes of a similarity sketch; shingles that two near copies share at least.
+PASSAGE, SHORT, SKETCH, SIMILAR = 16, 6, 128, 0.8
+#: Share of a document's passages that must lead to another one before the two are compared.
+SHARED = 0.15
 
 
-def fingerprint(text: str | None) -> int:
-    """Signed 64-bit SimHash of the whole text; 0 without words."""
+def _shingles(text: str | None) -> np.ndarray:
+    """Hashes of the 3-word shingles, repeats included; of fewer words the one of the whole sequence."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and the six ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < WORDS:
         grams = [b" ".join(words)]
     else:
         grams = [b" ".join(w) for w in zip(*(words[i:] for i in range(WORDS)))]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, len(grams), 65536):
-        part = grams[i : i + 65536]
-        h = np.fromiter((digest(g, SEED) for g in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _majority(ones: np.ndarray, n) -> np.ndarray:
+    return np.packbits(2 * ones > n, axis=-1, bitorder="little").view(np.int64)
+
+
+def fingerprint(text: str | None) -> int:
+    """Signed 64-bit SimHash of the whole text; 0 without words."""
+    h = _shingles(text)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
+        ones += _ones(h[i : i + 65536]).sum(0, dtype=np.int64)
+    return int(_majority(ones, len(h))[0])
+
+
+def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
+    """Fingerprint, passage fingerprints, and the least SKETCH hashes of the 5-word shingles.
+
+    Passages end where a shingle's hash says so (one in PASSAGE), so an edit
+    changes only the passages that it touches; very short ones are left out.
+    """
+    h = _shingles(text)
+    if not len(h):
+        return 0, [], []
+    ones, passages = np.zeros(64, np.int64), []
+    for i in range(0, len(h), 65536):
+        part = h[i : i + 65536]
+        bits = _ones(part)
+        starts = np.flatnonzero(np.append(True, part[:-1] % np.uint64(PASSAGE) == 0))
+        sizes = np.diff(np.append(starts, len(part)))
+        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        ones += sums.sum(0)
+        passages.append(_majority(sums, sizes[:, None])[sizes >= SHORT].ravel())
+    five = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(h) > 2 else h
+    least = np.unique((five >> np.uint64(32)).astype(np.uint32))[:SKETCH].view(np.int32)
+    return int(_majority(ones, len(h))[0]), np.unique(np.concatenate(passages)).tolist(), np.sort(least).tolist()
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,26 +151,64 @@ def _dense_links(crowd: DataFrame) -> DataFrame:
     return met.where("u is not null and size(all) > 1").select("u", F.explode("all").alias("v")).where("u <> v")
 
 
-def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in text_slices(batches):
+        rows = [sketch(t) for t in b.column("text").to_pylist()]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "fp", "passages", "least5"])
+
+
+def similar_links(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Edges u, v between near copies whose fingerprints are further apart.
+
+    nodes: distinct fp, passages, least5. Each passage leads its documents to
+    two of them, the least and the greatest fingerprint, so a passage that very
+    many documents hold gives two candidates each and never all pairs. Pairs
+    that enough passages lead to are compared by the similarity of their 5-word
+    shingles, estimated on the least hashes of both.
+    """
+    held = nodes.select("fp", F.size("passages").alias("m"), F.explode("passages").alias("p"))
+    ends = held.groupBy("p").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    ends = ends.select("p", "lo", "hi", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("s"))
+    led = held.withColumn("s", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).join(ends, ["p", "s"])
+    led = led.select("fp", "m", F.explode(F.array("lo", "hi")).alias("other")).where("fp <> other")
+    pairs = led.groupBy("fp", "other").agg(F.count("*").alias("n"), F.min("m").alias("m")).where(F.col("n") >= F.col("m") * SHARED).select("fp", "other")
+    pairs = pairs.join(nodes.select("fp", F.col("least5").alias("a")), "fp").join(nodes.select(F.col("fp").alias("other"), F.col("least5").alias("b")), "other")
+    union = f"slice(sort_array(array_union(a, b)), 1, {SKETCH})"
+    share = F.expr(f"size(array_intersect(array_intersect(a, b), {union})) / size({union})")
+    return pairs.where(share >= similar).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for each row.
 
     Null texts, blank texts: fp 0, linked like any other. Rows that repeat a
     doc_id stay separate rows. A null doc_id takes part but names no component
     (its component_id is null if no other id is in it). Empty table: no rows.
-    Other columns are ignored.
+    Other columns are ignored. With `similar`, near copies of at least that
+    5-word similarity are linked too, however far apart their fingerprints.
     """
-    prints = durable(fingerprints(docs))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(nodes.select("fp"), dense)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if similar is None:
+        prints = durable(fingerprints(docs))
+        nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        edges = links(nodes.select("fp"), dense)
+    else:
+        rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+        sketches = stored(rows.mapInArrow(_sketch_batches, "doc_id bigint, fp bigint, passages array<bigint>, least5 array<int>"))
+        prints = sketches.select("doc_id", "fp")
+        # Of texts with one fingerprint one sketch stands for all; which one does not matter.
+        nodes = stored(sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("passages", "least5"), "doc_id").alias("v")).select("fp", "least", F.coalesce("v.passages", F.array().cast("array<bigint>")).alias("passages"), "v.least5"))
+        edges = links(nodes.select("fp"), dense).union(similar_links(nodes, similar))
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
+    rooted = nodes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
     """The rows of docs whose doc_id names its component: one document of each group stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, similar=similar).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     one = docs.join(kept, docs["doc_id"].cast("bigint") == kept["_kept"], "left_semi")
     return one
 

@@ -1,7 +1,7 @@
 import random
 
 from stowage.llm.common import connected_components
-from stowage.llm.simhash import fingerprint, links, near_duplicates, keep_one
+from stowage.llm.simhash import fingerprint, keep_one, links, near_duplicates, sketch
 
 
 def roots_of(nodes, pairs):
@@ -66,3 +66,24 @@ def test_rows_nulls_and_names(spark):
 def test_long_text_and_non_ascii_case():
     assert fingerprint("É a b") != fingerprint("é a b")
     assert fingerprint("word " * 200_000) == fingerprint("word word word")
+
+
+def test_near_copies_far_apart_are_linked(spark):
+    """Edited copies by the thousand shingles of their text; a passage that all documents hold links nothing."""
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(4000)]
+    common = " ".join(rnd.choices(vocabulary, k=60))
+    texts = [" ".join(rnd.choices(vocabulary, k=240)) for _ in range(30)]
+    rows = [(i, f"{t} {common}") for i, t in enumerate(texts)]
+    for i in range(10):
+        for c in range(4):
+            words = rows[i][1].split()
+            for at in rnd.sample(range(len(words)), 3):
+                words[at] = "changed"
+            rows.append((100 + 10 * c + i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, similar=0.8).collect()}
+    assert got == {**{i: i % 10 if i >= 100 else i for i, _ in rows}, 500: 500, 501: 500}
+    assert near_duplicates(docs.where("false"), similar=0.8).count() == 0
+    for text in (rows[0][1], "a b", "", None, "a " * 100_000):
+        assert sketch(text)[0] == fingerprint(text)
