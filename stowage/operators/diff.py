@@ -53,12 +53,18 @@ def conflicts(base: DataFrame | None, left: DataFrame, right: DataFrame, spec: T
     return merge_status(base, left, right, spec).where("status = 'conflict'").select(*spec.keys, "base", "left", "right")
 
 
+def _refuse(status: DataFrame) -> None:
+    """Raises if there is a conflict."""
+    if first := status.where("status = 'conflict'").limit(1).collect():
+        raise MergeConflict(f"for example {first[0].asDict()}")
+
+
 def merge_tables(base: DataFrame | None, left: DataFrame, right: DataFrame, spec: TableSpec, on_conflict: str = "error") -> tuple[DataFrame, DataFrame]:
     """Merged rows and conflicts. With on_conflict='error' a conflict raises; with 'report' such keys are left out of the rows."""
     status = merge_status(base, left, right, spec)
     bad = status.where("status = 'conflict'").select(*spec.keys, "base", "left", "right")
-    if on_conflict == "error" and (first := bad.limit(1).collect()):
-        raise MergeConflict(f"for example {first[0].asDict()}")
+    if on_conflict == "error":
+        _refuse(status)
     rows = status.where("status <> 'conflict' and merged is not null").select(F.col("merged").alias(spec.file_column), *spec.keys)
     return rows, bad
 
@@ -69,8 +75,13 @@ def union_inventory(a: DataFrame, b: DataFrame, spec: TableSpec, on_conflict: st
 
 
 def diff_keys(frm: DataFrame, to: DataFrame, spec: TableSpec, base: DataFrame | None = None, where: list[str] = (), limit: int | None = None, on_conflict: str = "error") -> DataFrame:
-    """Rows that `to` must get to hold what merging `frm` into it gives: file column and keys. limit takes the first by key."""
-    merged, _ = merge_tables(base, to, frm, spec, on_conflict)
-    change = diff_tables(to, merged, spec).where("diff_type <> 'removed'")
-    rows = filter_rows(change.select(F.col("to_file_key").alias(spec.file_column), *spec.keys), list(where))
+    """Rows that `to` must get to hold what merging `frm` into it gives: file column and keys. limit takes the first by key.
+
+    These are the rows of one merge whose content comes from `frm`, so nothing is joined a second time.
+    """
+    status = merge_status(base, to, frm, spec)
+    if on_conflict == "error":
+        _refuse(status)
+    change = status.where("status = 'take_right' and right is not null")
+    rows = filter_rows(change.select(F.col("right").alias(spec.file_column), *spec.keys), list(where))
     return rows if limit is None else rows.orderBy(*spec.keys).limit(limit)
