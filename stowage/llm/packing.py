@@ -28,7 +28,7 @@ from stowage.llm.common import stored, text_slices
 
 SIZE = 1024
 #: Different words whose ids a worker remembers, and their greatest length.
-CACHE, LONGEST = 800_000, 64
+CACHE, LONGEST = 300_000, 64
 _PART = "[\x21-\x7e\xa1-\u024f\u0391-\u03ce\u0410-\u044f\u2010-\u2026\u4e00-\u9fa5]+"
 _COMMON = re.compile(f"{_PART}(?:\\n+{_PART})*").fullmatch
 #: A left-over table of at most so many rows is broadcast (24 bytes a row).
