@@ -11,10 +11,15 @@ fingerprints share is not joined pairwise: its fingerprints meet at the points
 of small balls in the other half (at most 529 of them at a point, by
 counting), and each point gives links to one member. Components are the same
 as with all pairs.
+
+The pipeline's stage also links all documents whose sets of 5-word shingles
+have a Jaccard similarity of 0.8 or more. It is an exact prefix-filter join
+(similar_links): no pair is left to chance and each is decided on whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import SALTS, connected_components, durable, stored, text_slices
+from stowage.llm.common import connected_components, durable, stored, text_slices
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Different fingerprints that share a half and are still joined pairwise.
 DENSE = 64
-#: Shingles of a passage on average and at least; hashes of a similarity sketch; shingles that two near copies share at least.
-PASSAGE, SHORT, SKETCH, SIMILAR = 16, 6, 128, 0.8
-#: Share of a document's passages that must lead to another one before the two are compared.
-SHARED = 0.15
+#: Shared 5-word shingles that make two documents near copies; holders of a shingle compared in one task, squared.
+SIMILAR, BLOCK = 0.8, 256
 
 
 def _shingles(text: str | None) -> np.ndarray:
@@ -64,27 +67,21 @@ def fingerprint(text: str | None) -> int:
     return int(_majority(ones, len(h))[0])
 
 
-def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
-    """Fingerprint, passage fingerprints, and the least SKETCH hashes of the 5-word shingles.
-
-    Passages end where a shingle's hash says so (one in PASSAGE), so an edit
-    changes only the passages that it touches; very short ones are left out.
-    """
+def sketch(text: str | None) -> tuple[int, np.ndarray]:
+    """Fingerprint and sorted set of the hashes of the 5-word shingles; of fewer words, of the 3-word shingles."""
     h = _shingles(text)
     if not len(h):
-        return 0, [], []
-    ones, passages = np.zeros(64, np.int64), []
+        return 0, h.view(np.int64)
+    ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
-        part = h[i : i + 65536]
-        bits = _ones(part)
-        starts = np.flatnonzero(np.append(True, part[:-1] % np.uint64(PASSAGE) == 0))
-        sizes = np.diff(np.append(starts, len(part)))
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        ones += sums.sum(0)
-        passages.append(_majority(sums, sizes[:, None])[sizes >= SHORT].ravel())
+        ones += _ones(h[i : i + 65536]).sum(0, dtype=np.int64)
     five = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(h) > 2 else h
-    least = np.unique((five >> np.uint64(32)).astype(np.uint32))[:SKETCH].view(np.int32)
-    return int(_majority(ones, len(h))[0]), np.unique(np.concatenate(passages)).tolist(), np.sort(least).tolist()
+    return int(_majority(ones, len(h))[0]), np.unique(five).view(np.int64)
+
+
+def _needed(n: int, similar: float) -> int:
+    """Shingles of n that a set of at least that similarity must share."""
+    return math.ceil(similar * n - 1e-9)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,32 +148,76 @@ def _dense_links(crowd: DataFrame) -> DataFrame:
     return met.where("u is not null and size(all) > 1").select("u", F.explode("all").alias("v")).where("u <> v")
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in text_slices(batches):
-        rows = [sketch(t) for t in b.column("text").to_pylist()]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "fp", "passages", "least5"])
+def _sketch_batches(similar: float):
+    """doc_id, fp, sid (hash of the shingle set), n (its size), head (its least hashes, one of which every near copy has), five (the set)."""
+
+    def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            fps, fives = zip(*(sketch(t) for t in b.column("text").to_pylist()), strict=True)
+            heads = [f[: len(f) - _needed(len(f), similar) + 1].astype(np.int32) for f in fives]
+            sids = np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in fives], np.uint64).view(np.int64)
+            columns = [pa.array(fps, pa.int64()), pa.array(sids), pa.array([len(f) for f in fives], pa.int32()), lists(heads, np.int32), lists(fives, np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "fp", "sid", "n", "head", "five"])
+
+    return run
 
 
-def similar_links(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Edges u, v between near copies whose fingerprints are further apart.
+def _verified(pairs: DataFrame, whole: DataFrame, similar: float) -> DataFrame:
+    """u, v (fp) of the pairs a, b of sids whose whole sets are similar enough."""
+    side = lambda x: whole.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), F.col("five").alias(f"s{x}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    return durable(met.where(F.col("both") >= (F.col("na") + F.col("nb") - F.col("both")) * similar - 1e-9).select(F.col("fa").alias("u"), F.col("fb").alias("v")))
 
-    nodes: distinct fp, passages, least5. Each passage leads its documents to
-    two of them, the least and the greatest fingerprint, so a passage that very
-    many documents hold gives two candidates each and never all pairs. Pairs
-    that enough passages lead to are compared by the similarity of their 5-word
-    shingles, estimated on the least hashes of both.
+
+def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Edges u, v (fp) that with the edges near connect all rows whose shingle sets are at least that similar.
+
+    sketches: row (unique), fp, sid, n, head, five. Two sets of that similarity
+    have one of their first n - needed + 1 shingles in common, in any order of
+    all shingles. In order of hash that leaves the rows that can have a partner
+    at all; in order of frequency, the rarest first, it leads them to each
+    other. Of the holders of a shingle, a few are compared with all others;
+    then all pairs of them that are not connected yet, so a group of near
+    copies costs pairs only where it does not hold together.
     """
-    held = nodes.select("fp", F.size("passages").alias("m"), F.explode("passages").alias("p"))
-    ends = held.groupBy("p").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    ends = ends.select("p", "lo", "hi", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("s"))
-    led = held.withColumn("s", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).join(ends, ["p", "s"])
-    led = led.select("fp", "m", F.explode(F.array("lo", "hi")).alias("other")).where("fp <> other")
-    pairs = led.groupBy("fp", "other").agg(F.count("*").alias("n"), F.min("m").alias("m")).where(F.col("n") >= F.col("m") * SHARED).select("fp", "other")
-    pairs = pairs.join(nodes.select("fp", F.col("least5").alias("a")), "fp").join(nodes.select(F.col("fp").alias("other"), F.col("least5").alias("b")), "other")
-    union = f"slice(sort_array(array_union(a, b)), 1, {SKETCH})"
-    share = F.expr(f"size(array_intersect(array_intersect(a, b), {union})) / size({union})")
-    return pairs.where(share >= similar).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    sketches = sketches.where("n > 0")
+    one = durable(sketches.groupBy("sid").agg(F.min("row").alias("row"), F.min("fp").alias("least"), F.max("fp").alias("most")))
+    same = sketches.join(one.where("least <> most").select("sid", "least"), "sid").select(F.col("least").alias("u"), F.col("fp").alias("v")).where("u <> v").distinct()
+    held = sketches.select("row", "sid", F.explode("head").alias("t")).join(one.select("row"), "row", "left_semi").select("sid", "t")
+    shared = held.groupBy("t").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("t")
+    alive = held.join(shared, "t", "left_semi").select("sid").distinct().join(one.select("sid", "row", F.col("least").alias("fp")), "sid")
+    whole = stored(sketches.select("row", "n", "five").join(alive, "row").select("sid", "fp", "n", "five"))
+
+    words = whole.select("sid", "n", F.explode("five").alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = words.join(counts, "w").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    needed = F.ceil(F.col("n") * similar - 1e-9).cast("int")
+    ranked = ranked.where(F.size("ws") >= needed).select("sid", "n", F.explode(F.slice("ws", F.lit(1), F.size("ws") - needed + 1)).alias("w"))
+    first = durable(ranked.select("sid", "n", F.col("w.w").alias("w")))
+
+    fits = lambda a, b: (F.col(a) >= F.col(b) * similar - 1e-9) & (F.col(b) >= F.col(a) * similar - 1e-9)
+    pivot = F.struct("sid", "n")
+    turned = F.xxhash64("sid")
+    pivots = first.groupBy("w").agg(F.array(F.min(pivot), F.max(pivot), F.min_by(pivot, turned), F.max_by(pivot, turned)).alias("ps"))
+    stars = first.join(pivots, "w").select("sid", "n", F.explode("ps").alias("p")).select("sid", "n", F.col("p.sid").alias("o"), F.col("p.n").alias("m"))
+    stars = stars.where((F.col("sid") != F.col("o")) & fits("n", "m")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()
+    linked = near.union(same).union(_verified(stars, whole, similar))
+
+    roots = connected_components(linked)
+    rooted = whole.select("sid", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
+    placed = durable(first.join(rooted, "sid"))
+    apart = placed.groupBy("w").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo <> hi").select("w", "blocks")
+    dealt = placed.join(apart, "w").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    asked = dealt.select("w", F.col("own").alias("i"), every.alias("j"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    given = dealt.select("w", every.alias("i"), F.col("own").alias("j"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = asked.join(given, ["w", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb")).select("a", "b").distinct()
+    return roots.select(F.col("root").alias("u"), F.col("node").alias("v")).union(_verified(pairs, whole, similar))
 
 
 def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None = None) -> DataFrame:
@@ -185,7 +226,7 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None =
     Null texts, blank texts: fp 0, linked like any other. Rows that repeat a
     doc_id stay separate rows. A null doc_id takes part but names no component
     (its component_id is null if no other id is in it). Empty table: no rows.
-    Other columns are ignored. With `similar`, near copies of at least that
+    Other columns are ignored. With `similar`, all rows of at least that
     5-word similarity are linked too, however far apart their fingerprints.
     """
     if similar is None:
@@ -194,11 +235,11 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None =
         edges = links(nodes.select("fp"), dense)
     else:
         rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-        sketches = stored(rows.mapInArrow(_sketch_batches, "doc_id bigint, fp bigint, passages array<bigint>, least5 array<int>"))
+        sketches = rows.mapInArrow(_sketch_batches(similar), "doc_id bigint, fp bigint, sid bigint, n int, head array<int>, five array<bigint>")
+        sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()))
         prints = sketches.select("doc_id", "fp")
-        # Of texts with one fingerprint one sketch stands for all; which one does not matter.
-        nodes = stored(sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("passages", "least5"), "doc_id").alias("v")).select("fp", "least", F.coalesce("v.passages", F.array().cast("array<bigint>")).alias("passages"), "v.least5"))
-        edges = links(nodes.select("fp"), dense).union(similar_links(nodes, similar))
+        nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        edges = similar_links(sketches, durable(links(nodes.select("fp"), dense)), similar)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -87,3 +87,40 @@ def test_near_copies_far_apart_are_linked(spark):
     assert near_duplicates(docs.where("false"), similar=0.8).count() == 0
     for text in (rows[0][1], "a b", "", None, "a " * 100_000):
         assert sketch(text)[0] == fingerprint(text)
+
+
+def shingle_sets(rows):
+    words = {i: t.lower().split() for i, t in rows}
+    return {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in words.items()}
+
+
+def similar_pairs(rows):
+    sets = shingle_sets(rows)
+    return [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def test_hub_and_its_copies_and_boilerplate_equal_brute_force(spark):
+    """Copies near their original but not each other; pairs that share little but what all documents hold."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(4000)]
+    common = " ".join(rnd.choices(vocabulary, k=300))
+    rows = []
+    for g in range(4):
+        hub = rnd.choices(vocabulary, k=400)
+        rows.append((1000 * g + 500, " ".join(hub)))
+        for c in range(30):
+            copy = list(hub)
+            for at in rnd.sample(range(10, 390, 10), 7):
+                copy[at] = f"new{g}x{c}x{at}"
+            rows.append((1000 * g + c, " ".join(copy)))
+    for i in range(20):
+        own = rnd.choices(vocabulary, k=45)
+        rows += [(5000 + i, f"{common} {' '.join(own)}"), (6000 + i, f"{common} {' '.join(own[:40])} {' '.join(rnd.choices(vocabulary, k=5))}")]
+    pairs = similar_pairs(rows)
+    want = roots_of([i for i, _ in rows], pairs)
+    assert len(set(want.values())) < len(rows) / 2
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8)
+    prints = {r["doc_id"]: r["fp"] for r in got.collect()}
+    close = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 3]
+    want = roots_of(prints, pairs + close)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
