@@ -87,12 +87,16 @@ def _needed(n: int, similar: float) -> int:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches):
         fps = [fingerprint(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(fps, pa.int64())], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (bigint) for each row; a null or blank text has fp 0."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_batches, "doc_id bigint, fp bigint")
+    return _rows(docs).mapInArrow(_batches, "doc_id bigint, mark bigint, fp bigint").drop("mark")
+
+
+def _rows(docs: DataFrame, mark: str | None = None) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), (F.col(mark) if mark else F.lit(None)).cast("bigint").alias("mark"), F.col("text").cast("string"))
 
 
 def _half(fp: str | F.Column, side: int) -> F.Column:
@@ -149,7 +153,7 @@ def _dense_links(crowd: DataFrame) -> DataFrame:
 
 
 def _sketch_batches(similar: float):
-    """doc_id, fp, sid (hash of the shingle set), n (its size), head (its least hashes, one of which every near copy has), five (the set)."""
+    """doc_id, mark, fp, sid (hash of the shingle set), n (its size), head (its least hashes, one of which every near copy has), five (the set)."""
 
     def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
@@ -161,7 +165,7 @@ def _sketch_batches(similar: float):
             heads = [f[: len(f) - _needed(len(f), similar) + 1].astype(np.int32) for f in fives]
             sids = np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in fives], np.uint64).view(np.int64)
             columns = [pa.array(fps, pa.int64()), pa.array(sids), pa.array([len(f) for f in fives], pa.int32()), lists(heads, np.int32), lists(fives, np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "fp", "sid", "n", "head", "five"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *columns], ["doc_id", "mark", "fp", "sid", "n", "head", "five"])
 
     return run
 
@@ -229,29 +233,48 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None =
     Other columns are ignored. With `similar`, all rows of at least that
     5-word similarity are linked too, however far apart their fingerprints.
     """
+    return _grouped(_rows(docs), dense, similar).select("doc_id", "fp", "component_id")
+
+
+def _grouped(rows: DataFrame, dense: int, similar: float | None) -> DataFrame:
+    """doc_id, mark, fp, root, component_id for each of rows (doc_id, mark, text)."""
     if similar is None:
-        prints = durable(fingerprints(docs))
+        prints = durable(rows.mapInArrow(_batches, "doc_id bigint, mark bigint, fp bigint"))
         nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
         edges = links(nodes.select("fp"), dense)
     else:
-        rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-        sketches = rows.mapInArrow(_sketch_batches(similar), "doc_id bigint, fp bigint, sid bigint, n int, head array<int>, five array<bigint>")
+        sketches = rows.mapInArrow(_sketch_batches(similar), "doc_id bigint, mark bigint, fp bigint, sid bigint, n int, head array<int>, five array<bigint>")
         sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()))
-        prints = sketches.select("doc_id", "fp")
+        prints = sketches.select("doc_id", "mark", "fp")
         nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
         edges = similar_links(sketches, durable(links(nodes.select("fp"), dense)), similar)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(by_fp, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
-    """The rows of docs whose doc_id names its component: one document of each group stays."""
-    kept = near_duplicates(docs, similar=similar).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"].cast("bigint") == kept["_kept"], "left_semi")
-    return one
+    """One document of each group: the rows of the least doc_id in it, or any one row of a group without ids.
+
+    Rows without a doc_id of their own are stored with a row number and are
+    kept or left out by it.
+    """
+    own = F.col("doc_id").cast("bigint")
+    repeated = stored(docs.groupBy(own.alias("_id")).agg(F.count("*").alias("n")).where("n > 1 or _id is null").select("_id"))
+    plain, odd = docs, None
+    if not repeated.isEmpty():
+        plain = docs.join(repeated, own.eqNullSafe(F.col("_id")), "left_anti")
+        odd = stored(docs.join(repeated, own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    rows = _rows(plain) if odd is None else _rows(plain).union(_rows(odd, "_row"))
+    grouped = durable(_grouped(rows, DENSE, similar))
+    kept = grouped.where("doc_id = component_id")
+    one = plain.join(kept.where("mark is null").select(F.col("doc_id").alias("_kept")), own == F.col("_kept"), "left_semi")
+    if odd is None:
+        return one
+    marks = kept.where("mark is not null").select("mark").union(grouped.where("component_id is null").groupBy("root").agg(F.min("mark").alias("mark")).select("mark"))
+    return one.union(odd.join(marks, F.col("_row") == F.col("mark"), "left_semi").drop("_row"))
 
 
 def op3_simhash_near_dedup(spark, sf_dir):

@@ -124,3 +124,12 @@ def test_hub_and_its_copies_and_boilerplate_equal_brute_force(spark):
     close = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 3]
     want = roots_of(prints, pairs + close)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """A group without ids keeps one row; of two texts with one id only the one that is no copy stays."""
+    rows = [(None, "lonely words of one text"), (None, "twin words are here now"), (None, "twin words are here now"), (None, "held by an id too"), (4, "held by an id too"), (5, "held by an id too"), (5, "another text of that id")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    want = [(4, "held by an id too"), (5, "another text of that id"), (None, "lonely words of one text"), (None, "twin words are here now")]
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == want
