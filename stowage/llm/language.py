@@ -2,11 +2,14 @@
 
 A word's script narrows the languages that it can be in; hashed character
 n-grams score the word in each of them; Viterbi with a penalty for each switch
-labels the words, and runs of one label are spans.
+labels the words, and runs of one label are spans. A run of letters is several
+words where its script changes and after every LONGEST letters, so all of a
+text without spaces counts.
 
 The model is learned from texts with a known language: n-gram counts and
 script counts by language, added up inside tasks first and then by Spark. It
-holds BUCKETS numbers for each language, whatever the size of the corpus.
+holds BUCKETS numbers for each language, whatever the size of the corpus; all
+languages that occur are learned.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ from stowage.llm.common import text_slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-#: Languages learned at most, the most frequent first.
-LANGUAGES = 200
 SWITCH, WORST = 12.0, 10.0
 #: Share of a language's words in a script from which the language is a candidate there.
 CANDIDATE = 0.002
@@ -48,10 +49,28 @@ RANGES = (
 SCRIPTS = sorted({s for _, s in RANGES})
 _STARTS = np.array([a for a, _ in RANGES])
 _INDEX = np.array([SCRIPTS.index(s) for _, s in RANGES])
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+def _word_pattern() -> re.Pattern:
+    """Words: up to LONGEST letters of one script; signs that count as letters but have no script go with any."""
+    letters = _LETTER.findall("".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
+    codes = np.array([ord(c) for c in letters])
+    kinds = np.where([c.isalpha() for c in letters], _INDEX[np.searchsorted(_STARTS, codes, "right") - 1], -1)
+
+    def ranges(kind: int) -> str:
+        at = codes[(kinds == kind) | (kinds == -1)]
+        turns = np.flatnonzero(np.diff(at) > 1)
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in zip(at[[0, *(turns + 1)]], at[[*turns, -1]], strict=True))
+
+    order = sorted(range(len(SCRIPTS)), key=lambda i: SCRIPTS[i] != "latin")
+    return re.compile("|".join(f"[{ranges(i)}]{{1,{LONGEST}}}" for i in order))
+
+
+_WORD = _word_pattern()
+
+
 def script_of(word: str) -> int:
     """Script of the first letter; -1 without a letter."""
     c = next((c for c in word if c.isalpha()), None)
@@ -96,7 +115,7 @@ class Model:
         k = len(self.languages)
         sums = np.zeros((len(words), k), np.float32)
         for i in range(0, len(words), 20_000):
-            g, starts = grams([w[:LONGEST] for w in words[i : i + 20_000]])
+            g, starts = grams(words[i : i + 20_000])
             rows = self.table[g[:, 0]]
             for j in range(1, 5):
                 rows = rows + self.table[g[:, j]]
@@ -120,7 +139,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = sums.setdefault(lang, np.zeros(BUCKETS + 1 + len(SCRIPTS), np.int64))
             every, weight = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             for i in range(0, len(every), 20_000):
-                g, starts = grams([w[:LONGEST] for w in every[i : i + 20_000]])
+                g, starts = grams(every[i : i + 20_000])
                 w = np.repeat(weight[i : i + 20_000], np.diff(np.append(starts, len(g))))
                 for j in range(5):
                     to += np.bincount(g[:, j], w, len(to)).astype(np.int64)
@@ -148,11 +167,10 @@ def fit(docs: DataFrame) -> Model:
     """Learns from text and lang where both are there and the row is not held out."""
     rows = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sums = rows.mapInArrow(_training, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    frequent = sums.where(F.col("bucket") > BUCKETS).groupBy("lang").agg(F.sum("n").alias("words")).orderBy(F.desc("words"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in frequent)
+    languages = sorted(r["lang"] for r in sums.where(F.col("bucket") > BUCKETS).select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), -1)
-    got = sums.where(F.col("lang").isin(languages)).toArrow()  # BUCKETS rows for each of LANGUAGES at most
+    got = sums.where(F.col("lang").isin(languages)).toArrow()  # BUCKETS rows for each language at most
     counts = np.zeros((BUCKETS + 1 + len(SCRIPTS), len(languages)))
     counts[got["bucket"].to_numpy(), np.searchsorted(languages, got["lang"].to_numpy(zero_copy_only=False).astype(str))] = got["n"].to_numpy()
     seen, by_script = counts[:BUCKETS], counts[BUCKETS + 1 :]
@@ -201,6 +219,10 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """language, score, spans (start, end, language) of each text."""
+        return [(lang, score, spans) for lang, score, spans, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """As label(), and the share of the text's words that is in its language."""
         if len(self.ids) > CACHE:
             self.__init__(self.model, self.switch)
         ids, rows, lengths = self.ids, [], []
@@ -210,7 +232,7 @@ class Labeller:
             rows.append(np.fromiter([ids.setdefault(w, len(ids)) for w in found], np.int32, len(found)))
             lengths.append(len(found))
         if not self.model.languages:
-            return [(UNDETERMINED, 0.0, [])] * len(texts)
+            return [(UNDETERMINED, 0.0, [], 0.0)] * len(texts)
         if len(ids) > old:
             self._look_up(dict(list(ids.items())[old:]))
         at, lengths = np.concatenate([*rows, np.zeros(0, np.int32)]), np.array(lengths, np.int64)
@@ -233,14 +255,15 @@ class Labeller:
         out = []
         for i, text in enumerate(texts):
             if not words[i]:
-                out.append((UNDETERMINED, 0.0, []))
+                out.append((UNDETERMINED, 0.0, [], 0.0))
                 continue
             if not votes[i].any():
-                out.append((self.model.languages[self.model.usual], 0.0, []))
+                out.append((self.model.languages[self.model.usual], 0.0, [], 0.0))
                 continue
             main = int(votes[i].argmax())
-            sure = votes[i, main] / words[i] / (1 + np.exp(-min(30.0, margin[i]))) if not mixed[i] else votes[i, main] / words[i]
-            out.append((self.model.languages[main], float(sure), self._spans(text, path[ends[i] - lengths[i] : ends[i]])))
+            covered = votes[i, main] / words[i]
+            sure = covered / (1 + np.exp(-min(30.0, margin[i]))) if not mixed[i] else covered
+            out.append((self.model.languages[main], float(sure), self._spans(text, path[ends[i] - lengths[i] : ends[i]]), float(covered)))
         return out
 
     def _spans(self, text: str, path: np.ndarray) -> list[tuple[int, int, str]]:
@@ -293,8 +316,8 @@ def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in text_slices(batches, limit=SLICE):
-            got = labeller.label(b.column("text").to_pylist())
-            yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in got], pa.bool_()))
+            got = labeller.judge(b.column("text").to_pylist())
+            yield b.filter(pa.array([lang != UNDETERMINED and covered >= least for lang, _, _, covered in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema).select(*names)
 

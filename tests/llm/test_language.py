@@ -63,3 +63,27 @@ def test_frames(spark):
     none = docs.where("false")
     assert fit(none).languages == [] and label(docs, fit(none)).where("lang_pred <> 'und'").count() == 0
     assert label(none, model).count() == 0
+
+
+def test_all_of_a_run_without_spaces_counts(spark):
+    docs = corpus(spark)
+    labeller = Labeller(fit(docs))
+    joined = "".join(RU) + "".join(EN * 4)
+    (lang, _, spans), (late, _, _) = labeller.label([joined, "".join(EN[:12]) + "".join(DE * 12)])
+    assert lang == "en" and [s[2] for s in spans] == ["ru", "en"]
+    assert joined[spans[0][0] : spans[0][1]] == "".join(RU) and spans[1][1] == len(joined)
+    assert late == "de"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(4 * i + j, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} common", f"l{i:03}") for i in range(203) for j in range(4)]
+    assert len(fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) >= 201
+
+
+def test_close_languages_do_not_hide_coverage(spark):
+    """Three of four words are of the language, but two languages score nearly alike: the document stays."""
+    rows = [(i, "aba abo abi abu", lang) for i in range(40) for lang in ("xa", "xb")]
+    docs = spark.createDataFrame([*rows, (100, "aba abo abi \u8a00", None)], "doc_id long, text string, lang string")
+    ((lang, score, spans, covered),) = Labeller(fit(docs)).judge(["aba abo abi \u8a00"])
+    assert covered == 0.75 and score < 0.5
+    assert reject_unknown(docs).where("doc_id = 100").count() == 1
