@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import connected_components, durable, stored, text_slices
@@ -35,6 +35,8 @@ WORDS, SEED, BITS = 3, 42, 3
 DENSE = 64
 #: Shared 5-word shingles that make two documents near copies; holders of a shingle compared in one task, squared.
 SIMILAR, BLOCK = 0.8, 256
+#: One in so many shingles more are kept in a head, so that near copies share as many of them and not only one.
+PART = 20
 
 
 def _shingles(text: str | None) -> np.ndarray:
@@ -152,20 +154,31 @@ def _dense_links(crowd: DataFrame) -> DataFrame:
     return met.where("u is not null and size(all) > 1").select("u", F.explode("all").alias("v")).where("u <> v")
 
 
-def _sketch_batches(similar: float):
-    """doc_id, mark, fp, sid (hash of the shingle set), n (its size), head (its least hashes, one of which every near copy has), five (the set)."""
+def _lists(parts: tuple[np.ndarray, ...] | list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+
+
+def _sids(fives: tuple[np.ndarray, ...]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in fives], np.uint64).view(np.int64))
+
 
-    def lists(parts: list[np.ndarray], kind: np.dtype) -> pa.Array:
-        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, n, five (the whole shingle set)."""
+    for b in text_slices(batches):
+        fives = tuple(sketch(t)[1] for t in b.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([_sids(fives), pa.array([len(f) for f in fives], pa.int32()), _lists(fives, np.int64)], ["sid", "n", "five"])
+
+
+def _sketch_batches(similar: float):
+    """doc_id, mark, key, fp, sid (hash of the shingle set), n (its size), head (its least hashes; a near copy's have n needed // PART of them too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             fps, fives = zip(*(sketch(t) for t in b.column("text").to_pylist()), strict=True)
-            heads = [f[: len(f) - _needed(len(f), similar) + 1].astype(np.int32) for f in fives]
-            sids = np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in fives], np.uint64).view(np.int64)
-            columns = [pa.array(fps, pa.int64()), pa.array(sids), pa.array([len(f) for f in fives], pa.int32()), lists(heads, np.int32), lists(fives, np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *columns], ["doc_id", "mark", "fp", "sid", "n", "head", "five"])
+            heads = [f[: len(f) - _needed(len(f), similar) + max(1, len(f) // PART)].astype(np.int32) for f in fives]
+            columns = [pa.array(fps, pa.int64()), _sids(fives), pa.array([len(f) for f in fives], pa.int32()), _lists(heads, np.int32)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("key"), *columns], ["doc_id", "mark", "key", "fp", "sid", "n", "head"])
 
     return run
 
@@ -178,28 +191,33 @@ def _verified(pairs: DataFrame, whole: DataFrame, similar: float) -> DataFrame:
     return durable(met.where(F.col("both") >= (F.col("na") + F.col("nb") - F.col("both")) * similar - 1e-9).select(F.col("fa").alias("u"), F.col("fb").alias("v")))
 
 
-def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def similar_links(sketches: DataFrame, rows: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Edges u, v (fp) that with the edges near connect all rows whose shingle sets are at least that similar.
 
-    sketches: row (unique), fp, sid, n, head, five. Two sets of that similarity
-    have one of their first n - needed + 1 shingles in common, in any order of
-    all shingles. In order of hash that leaves the rows that can have a partner
-    at all; in order of frequency, the rarest first, it leads them to each
+    sketches: key, fp, sid, n, head; rows: key, text. Two sets of that
+    similarity have l of their first n - needed + l shingles in common, in any
+    order of all shingles. In order of hash, with l = n // PART, that leaves the
+    rows that can have a partner at all; only their whole sets are made. In
+    order of frequency, the rarest first and l = 1, it leads them to each
     other. Of the holders of a shingle, a few are compared with all others;
     then all pairs of them that are not connected yet, so a group of near
     copies costs pairs only where it does not hold together.
     """
     sketches = sketches.where("n > 0")
-    one = durable(sketches.groupBy("sid").agg(F.min("row").alias("row"), F.min("fp").alias("least"), F.max("fp").alias("most")))
+    one = durable(sketches.groupBy("sid").agg(F.min("key").alias("key"), F.min("fp").alias("least"), F.max("fp").alias("most")))
     same = sketches.join(one.where("least <> most").select("sid", "least"), "sid").select(F.col("least").alias("u"), F.col("fp").alias("v")).where("u <> v").distinct()
-    held = sketches.select("row", "sid", F.explode("head").alias("t")).join(one.select("row"), "row", "left_semi").select("sid", "t")
-    shared = held.groupBy("t").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("t")
-    alive = held.join(shared, "t", "left_semi").select("sid").distinct().join(one.select("sid", "row", F.col("least").alias("fp")), "sid")
-    whole = stored(sketches.select("row", "n", "five").join(alive, "row").select("sid", "fp", "n", "five"))
+    by = Window.partitionBy("t")
+    held = sketches.select("sid", "n", F.explode("head").alias("t")).select("sid", "n", "t", F.min("sid").over(by).alias("lo"), F.max("sid").over(by).alias("hi")).where("lo <> hi")
+    # Exact copies count a shingle more than once, which can only keep more rows.
+    met = held.groupBy("sid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similar - 1e-9) / PART)))
+    alive = stored(met.select("sid").join(one.select("sid", "key", F.col("least").alias("fp")), "sid"))
+    texts = rows.join(alive.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = texts.select("text").mapInArrow(_set_batches, "sid bigint, n int, five array<bigint>")
+    whole = stored(sets.join(alive.select("sid", "fp"), "sid"))
 
     words = whole.select("sid", "n", F.explode("five").alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = words.join(counts, "w").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    words = words.withColumn("df", F.count("*").over(Window.partitionBy("w"))).where("df > 1")
+    ranked = words.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
     needed = F.ceil(F.col("n") * similar - 1e-9).cast("int")
     ranked = ranked.where(F.size("ws") >= needed).select("sid", "n", F.explode(F.slice("ws", F.lit(1), F.size("ws") - needed + 1)).alias("w"))
     first = durable(ranked.select("sid", "n", F.col("w.w").alias("w")))
@@ -243,11 +261,11 @@ def _grouped(rows: DataFrame, dense: int, similar: float | None) -> DataFrame:
         nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
         edges = links(nodes.select("fp"), dense)
     else:
-        sketches = rows.mapInArrow(_sketch_batches(similar), "doc_id bigint, mark bigint, fp bigint, sid bigint, n int, head array<int>, five array<bigint>")
-        sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()))
+        rows = rows.withColumn("key", F.xxhash64("text"))
+        sketches = stored(rows.mapInArrow(_sketch_batches(similar), "doc_id bigint, mark bigint, key bigint, fp bigint, sid bigint, n int, head array<int>"))
         prints = sketches.select("doc_id", "mark", "fp")
         nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        edges = similar_links(sketches, durable(links(nodes.select("fp"), dense)), similar)
+        edges = similar_links(sketches, rows.select("key", "text"), durable(links(nodes.select("fp"), dense)), similar)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = nodes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
