@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ RANGES = (
 SCRIPTS = sorted({s for _, s in RANGES})
 _STARTS = np.array([a for a, _ in RANGES])
 _INDEX = np.array([SCRIPTS.index(s) for _, s in RANGES])
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -69,6 +70,21 @@ def _word_pattern() -> re.Pattern:
 
 
 _WORD = _word_pattern()
+_parts = lru_cache(1 << 16)(_WORD.findall)
+
+
+def words_of(text: str) -> list[str]:
+    """_WORD.findall(text); most runs are one word, which a simpler pattern finds faster."""
+    runs = _RUN.findall(text)
+    if text.isascii() and all(len(r) <= LONGEST for r in runs):
+        return runs
+    out = []
+    for run in runs:
+        if len(run) <= LONGEST and run.isascii():
+            out.append(run)
+        else:
+            out += _parts(run) if len(run) <= LONGEST else _WORD.findall(run)
+    return out
 
 
 def script_of(word: str) -> int:
@@ -149,7 +165,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in text_slices(batches):
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text.lower()))
         if sum(map(len, words.values())) > CACHE:
             add()
     add()
@@ -228,7 +244,7 @@ class Labeller:
         ids, rows, lengths = self.ids, [], []
         old = len(ids)
         for text in texts:
-            found = _WORD.findall(text.lower()) if text else []
+            found = words_of(text.lower()) if text else []
             rows.append(np.fromiter([ids.setdefault(w, len(ids)) for w in found], np.int32, len(found)))
             lengths.append(len(found))
         if not self.model.languages:
