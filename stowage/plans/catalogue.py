@@ -434,6 +434,18 @@ def import_crawl(spark, sf_dir):
     return rows["metadata"].where("source not like 'itaku%' and source <> 'pixiv.net'")
 
 
+_RECORD = """'{"id":' || o_orderkey || ',"submitid":' || o_orderkey || ',"num":2,"date":"' || day || '","date_updated":"' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE day END || '","date_added":"' || day
+|| '","title":"t' || o_orderkey || '","views":7,"comments":3,"num_likes":5,"total_view":9,"favorites":1,"_private":true,"subcategory":"' || subcategory || '","user":{"name":"u","is_followed":false},"folders":[{"title":"f","num_posts":4},{"title":"g","num_posts":5}],"file":{"id":' || o_orderkey
+|| ',"date_added":"' || day || '","num_likes":1,"extension":"png"}}'"""
+
+
+@query(f"""WITH {_J}, t AS (SELECT *, {_RECORD} AS content FROM j WHERE subcategory <> 'journal')
+SELECT '{A}' AS repo_uuid, CASE category WHEN 'itaku' THEN 'itaku.ee/images' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END AS source, o_orderkey AS id, day AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part, {_key('content', "'png'")} AS file_key FROM t""")
+def import_crawl_submissions(spark, sf_dir):
+    rows, _ = crawl.import_crawl(*_records(spark, sf_dir), A)
+    return rows["submissions"]
+
+
 def _records(spark, sf_dir):
     records = crawled(spark, sf_dir)
     return records.drop("o_orderkey"), K.content_keys(records.withColumn("_e", F.lit("png")), "json", "_e").select("category", "subcategory", "json", "file_key")
