@@ -56,6 +56,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(start)
 
 
+def lowered(text: str) -> str:
+    """text in lower case, character by character, so that places in it are places in text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

@@ -15,24 +15,25 @@ languages that occur are learned.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import text_slices
+from stowage.llm.common import lowered, stored, text_slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 SWITCH, WORST = 12.0, 10.0
 #: Share of a language's words in a script from which the language is a candidate there.
 CANDIDATE = 0.002
-CACHE, LONGEST = 300_000, 48
+#: Runs of letters that a worker remembers, characters that they may come from, letters of a word.
+CACHE, HELD, LONGEST = 300_000, 64 << 20, 48
 SLICE = 8 << 20
 
 # First code points of letter ranges, each up to the next entry, and their scripts.
@@ -54,14 +55,23 @@ _LETTER, _RUN = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def _word_pattern() -> re.Pattern:
-    """Words: up to LONGEST letters of one script; signs that count as letters but have no script go with any."""
+def _letter_kinds() -> np.ndarray:
+    """For each code point its script, -1 for signs that count as letters but have no script, -2 for what is no letter."""
     letters = _LETTER.findall("".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
     codes = np.array([ord(c) for c in letters])
-    kinds = np.where([c.isalpha() for c in letters], _INDEX[np.searchsorted(_STARTS, codes, "right") - 1], -1)
+    out = np.full(0x110000, -2, np.int8)
+    out[codes] = np.where([c.isalpha() for c in letters], _INDEX[np.searchsorted(_STARTS, codes, "right") - 1], -1)
+    return out
+
+
+_KINDS = _letter_kinds()
+
+
+def _word_pattern() -> re.Pattern:
+    """Words: up to LONGEST letters of one script; signs that count as letters but have no script go with any."""
 
     def ranges(kind: int) -> str:
-        at = codes[(kinds == kind) | (kinds == -1)]
+        at = np.flatnonzero((_KINDS == kind) | (_KINDS == -1))
         turns = np.flatnonzero(np.diff(at) > 1)
         return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in zip(at[[0, *(turns + 1)]], at[[*turns, -1]], strict=True))
 
@@ -70,27 +80,28 @@ def _word_pattern() -> re.Pattern:
 
 
 _WORD = _word_pattern()
-_parts = lru_cache(1 << 16)(_WORD.findall)
+
+
+def parts(runs: list[str]) -> list[list[str]]:
+    """The words of each run of letters; most runs are one word."""
+    return [[r] if len(r) <= LONGEST and r.isascii() else _WORD.findall(r) for r in runs]
 
 
 def words_of(text: str) -> list[str]:
-    """_WORD.findall(text); most runs are one word, which a simpler pattern finds faster."""
-    runs = _RUN.findall(text)
-    if text.isascii() and all(len(r) <= LONGEST for r in runs):
-        return runs
-    out = []
-    for run in runs:
-        if len(run) <= LONGEST and run.isascii():
-            out.append(run)
-        else:
-            out += _parts(run) if len(run) <= LONGEST else _WORD.findall(run)
-    return out
+    return [w for p in parts(_RUN.findall(text)) for w in p]
 
 
 def script_of(word: str) -> int:
-    """Script of the first letter; -1 without a letter."""
-    c = next((c for c in word if c.isalpha()), None)
-    return -1 if c is None else int(_INDEX[np.searchsorted(_STARTS, ord(c), "right") - 1])
+    return int(scripts_of([word])[0])
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Script of each word's first letter that has one; -1 without."""
+    heads = np.frombuffer("".join([w[0] for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _KINDS[heads].astype(np.int64)
+    for i in np.flatnonzero(out < 0):
+        out[i] = next((k for c in words[i] if (k := _KINDS[ord(c)]) >= 0), -1)
+    return out
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +147,7 @@ class Model:
             for j in range(1, 5):
                 rows = rows + self.table[g[:, j]]
             sums[i : i + len(starts)] = np.add.reduceat(rows, starts)
-        scripts = np.fromiter(map(script_of, words), np.int64, len(words))
+        scripts = scripts_of(words)
         allowed = self.candidates[scripts] & (scripts >= 0)[:, None]
         known = allowed.any(1)
         sums[~allowed] = -np.inf
@@ -147,27 +158,33 @@ class Model:
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """language, bucket, count: sums over a task's texts. Buckets after BUCKETS count words by script."""
-    words: dict[str, Counter] = {}
+    runs: dict[str, Counter] = {}
     sums: dict[str, np.ndarray] = {}
 
     def add():
-        for lang, counts in words.items():
+        for lang, counts in runs.items():
             to = sums.setdefault(lang, np.zeros(BUCKETS + 1 + len(SCRIPTS), np.int64))
-            every, weight = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            split = parts(list(counts))
+            every = [w for p in split for w in p]
+            weight = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(len, split), np.int64, len(split)))
             for i in range(0, len(every), 20_000):
                 g, starts = grams(every[i : i + 20_000])
                 w = np.repeat(weight[i : i + 20_000], np.diff(np.append(starts, len(g))))
                 for j in range(5):
                     to += np.bincount(g[:, j], w, len(to)).astype(np.int64)
-            scripts = np.fromiter(map(script_of, every), np.int64, len(every))
-            to += np.bincount(np.where(scripts < 0, BUCKETS, BUCKETS + 1 + scripts), weight, len(to)).astype(np.int64)
-        words.clear()
+            if every:
+                scripts = scripts_of(every)
+                to += np.bincount(np.where(scripts < 0, BUCKETS, BUCKETS + 1 + scripts), weight, len(to)).astype(np.int64)
+        runs.clear()
 
+    held = 0
     for b in text_slices(batches):
+        held += b.nbytes
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(words_of(text.lower()))
-        if sum(map(len, words.values())) > CACHE:
+            runs.setdefault(lang, Counter()).update(_RUN.findall(lowered(text)))
+        if held > HELD or sum(map(len, runs.values())) > CACHE:
             add()
+            held = 0
     add()
     for lang, to in sums.items():
         to[BUCKETS] = 0
@@ -183,6 +200,7 @@ def fit(docs: DataFrame) -> Model:
     """Learns from text and lang where both are there and the row is not held out."""
     rows = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sums = rows.mapInArrow(_training, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = stored(sums)  # asked twice
     languages = sorted(r["lang"] for r in sums.where(F.col("bucket") > BUCKETS).select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), -1)
@@ -226,33 +244,45 @@ class Labeller:
     """Spans and main language of texts."""
 
     def __init__(self, model: Model, switch: float = SWITCH):
-        self.model, self.switch, self.ids = model, switch, {}
-        self.scores, self.states = np.zeros((0, len(model.languages)), np.float32), np.zeros(0, int)
-
-    def _look_up(self, new: dict[str, int]):
-        s, known = self.model.word_scores(list(new))
-        self.scores, self.states = np.vstack([self.scores, s]), np.append(self.states, known)
+        self.model, self.switch = model, switch
+        # Number of each run of letters; its words are `count` rows of scores and states, from row `first` on.
+        self.ids: defaultdict[str, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.first, self.count, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.scores, self.states = np.zeros((0, len(model.languages)), np.float32), np.zeros(0, np.int8)
+
+    def _look_up(self, new: list[str]):
+        split = parts(new)
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        self.first = np.append(self.first, len(self.states) + np.cumsum(count) - count)
+        self.count = np.append(self.count, count)
+        s, known = self.model.word_scores([w for p in split for w in p])
+        self.scores, self.states = np.vstack([self.scores, s]), np.append(self.states, known.astype(np.int8))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """language, score, spans (start, end, language) of each text."""
         return [(lang, score, spans) for lang, score, spans, _ in self.judge(texts)]
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+    def judge(self, texts: list[str | None], spans: bool = True) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
         """As label(), and the share of the text's words that is in its language."""
-        if len(self.ids) > CACHE:
+        if len(self.ids) > CACHE or self.held > HELD:
             self.__init__(self.model, self.switch)
-        ids, rows, lengths = self.ids, [], []
-        old = len(ids)
+        number, rows, old = self.ids.__getitem__, [], len(self.ids)
         for text in texts:
-            found = words_of(text.lower()) if text else []
-            rows.append(np.fromiter([ids.setdefault(w, len(ids)) for w in found], np.int32, len(found)))
-            lengths.append(len(found))
+            found = _RUN.findall(lowered(text)) if text else []
+            rows.append(np.fromiter(map(number, found), np.int32, len(found)))
+        self.held += sum(len(t) for t in texts if t)
         if not self.model.languages:
             return [(UNDETERMINED, 0.0, [], 0.0)] * len(texts)
-        if len(ids) > old:
-            self._look_up(dict(list(ids.items())[old:]))
-        at, lengths = np.concatenate([*rows, np.zeros(0, np.int32)]), np.array(lengths, np.int64)
-        text_of = np.repeat(np.arange(len(texts)), lengths)
+        if len(self.ids) > old:
+            self._look_up(list(islice(self.ids, old, None)))
+        runs = np.concatenate([*rows, np.zeros(0, np.int32)])
+        run_text = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
+        count = self.count[runs]
+        at, text_of = np.repeat(self.first[runs], count), np.repeat(run_text, count)
+        at += np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        lengths = np.bincount(text_of, minlength=len(texts))
+        simple = np.bincount(run_text, minlength=len(texts)) == lengths
         k, states = len(self.model.languages), self.states[at]
         whole = np.stack([np.bincount(text_of, self.scores[at, j], len(texts)) for j in range(k)], 1)
         path = np.repeat(whole.argmax(1), lengths).astype(np.int16)
@@ -261,8 +291,8 @@ class Labeller:
         if mixed.any():
             pick = mixed[text_of]
             path[pick] = viterbi(self.scores[at[pick]], lengths[mixed], self.switch)
-        votes = np.zeros((len(texts), k))
-        np.add.at(votes, (text_of[states == 1], path[states == 1]), 1)
+        voting = states == 1
+        votes = np.bincount(text_of[voting] * k + path[voting], minlength=len(texts) * k).reshape(-1, k)
         words = np.bincount(text_of[states >= 0], minlength=len(texts))
         ranked = np.sort(whole, 1)
         margin = ranked[:, -1] - ranked[:, -2] if k > 1 else np.full(len(texts), 30.0)
@@ -279,24 +309,27 @@ class Labeller:
             main = int(votes[i].argmax())
             covered = votes[i, main] / words[i]
             sure = covered / (1 + np.exp(-min(30.0, margin[i]))) if not mixed[i] else covered
-            out.append((self.model.languages[main], float(sure), self._spans(text, path[ends[i] - lengths[i] : ends[i]]), float(covered)))
+            out.append((self.model.languages[main], float(sure), self._spans(text, path[ends[i] - lengths[i] : ends[i]], simple[i]) if spans else [], float(covered)))
         return out
 
-    def _spans(self, text: str, path: np.ndarray) -> list[tuple[int, int, str]]:
-        """Runs of one label, in characters; words of no known script belong to no span but do not end one."""
+    def _spans(self, text: str, path: np.ndarray, simple: bool) -> list[tuple[int, int, str]]:
+        """Runs of one label, in characters; words of no known script belong to no span but do not end one. simple: each run of letters is one word."""
         known = np.flatnonzero(path >= 0)
         turns = known[np.flatnonzero(np.diff(path[known], prepend=-2))]
         name = lambda i: self.model.languages[path[i]]
-        if len(turns) == 1 and len(known) == len(path):
+        if len(turns) == 1 and path[0] >= 0 and path[-1] >= 0:
             end = len(text)
-            while not _WORD.match(text[end - 1]):
+            while not _LETTER.match(text[end - 1]):
                 end -= 1
-            return [(_WORD.search(text).start(), end, name(turns[0]))]
-        places = [m.span() for m in _WORD.finditer(text)]
-        if len(places) != len(path):  # lower-casing changed the number of words
-            places = [m.span() for m in _WORD.finditer(text.lower())]
+            return [(_LETTER.search(text).start(), end, name(turns[0]))]
+        if simple:
+            letter = np.concatenate([[False], _KINDS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] > -2, [False]])
+            edges = np.flatnonzero(letter[1:] != letter[:-1]).tolist()
+            begins, ends = edges[::2], edges[1::2]
+        else:
+            begins, ends = zip(*(m.span() for m in _WORD.finditer(lowered(text))), strict=True)
         lasts = [known[np.searchsorted(known, t) - 1] for t in turns[1:]] + [known[-1]]
-        return [(places[a][0], places[b][1], name(a)) for a, b in zip(turns, lasts, strict=True)]
+        return [(begins[a], ends[b], name(a)) for a, b in zip(turns, lasts, strict=True)]
 
 
 def _label_batches(model: Model):
@@ -332,7 +365,7 @@ def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in text_slices(batches, limit=SLICE):
-            got = labeller.judge(b.column("text").to_pylist())
+            got = labeller.judge(b.column("text").to_pylist(), spans=False)
             yield b.filter(pa.array([lang != UNDETERMINED and covered >= least for lang, _, _, covered in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema).select(*names)
