@@ -13,7 +13,7 @@ filled sequence is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,8 +29,6 @@ from stowage.llm.common import stored, text_slices
 SIZE = 1024
 #: Different words whose ids a worker remembers, and their greatest length.
 CACHE, LONGEST = 300_000, 64
-_PART = "[\x21-\x7e\xa1-\u024f\u0391-\u03ce\u0410-\u044f\u2010-\u2026\u4e00-\u9fa5]+"
-_COMMON = re.compile(f"{_PART}(?:\\n+{_PART})*").fullmatch
 #: A left-over table of at most so many rows is broadcast (24 bytes a row).
 SMALL = 200_000
 
@@ -47,16 +45,15 @@ class Encoder:
     The vocabulary's pre-tokenizer always starts a new word at a single space
     between two other characters, so the words between such spaces are encoded
     once each: many at a time, as one text, in whose ids each word begins at a
-    token that begins with a space. The default vocabulary's words go through
-    its twin for a faster library, which gives the same ids (tests compare
-    them). A text with other spacing, or with the text of a special token, is
-    encoded whole by the tokenizer itself.
+    token that begins with a space. A text with other spacing, or with the text
+    of a special token, is encoded whole.
     """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         n = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
@@ -65,41 +62,30 @@ class Encoder:
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
-        self.fast = None
-        if path is None:
-            import tiktoken
-
-            with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-                ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without offsets
+        return np.array(got.ids, self.kind).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words with a space before each; many as one text."""
-        text = " " + " ".join(words)
-        ids = np.array(self.fast(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        starts = np.flatnonzero(self.spaced[ids])
+        raw = self._whole(" " + " ".join(words))
+        starts = np.flatnonzero(self.spaced[np.frombuffer(raw, self.kind)])
         if len(starts) != len(words):
             return [self._whole(" " + w) for w in words]
-        raw, at = ids.tobytes(), (starts * self.kind.itemsize).tolist()
+        at = (starts * self.kind.itemsize).tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def _learn(self, new: list[str]) -> None:
-        """Adds words to the known ones. Rarer characters are left to the tokenizer, since libraries may hold different versions of Unicode."""
-        common = [w for w in new if _COMMON(w) and not self.marked(w)]
-        for i in range(0, len(common), 2048):
-            part = common[i : i + 2048]
+        """Adds words to the known ones; those with blanks at an end or special tokens are left to whole texts."""
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and not self.marked(w)]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
             self.known.update(zip(part, self._words(part), strict=True))
-        if len(common) < len(new):
-            for w in new:
-                if w and w not in self.known and not w[0].isspace() and not w[-1].isspace() and not self.marked(w):
-                    self.known[w] = self._whole(" " + w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
+        new = list(set().union(*split).difference(self.known))
         self._learn(new)
         known, heads, out = self.known, self.heads, []
         for text, parts in zip(texts, split, strict=True):
