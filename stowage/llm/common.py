@@ -69,14 +69,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both directions are allowed. Returns node, root. Alternates the large-star
     and small-star steps until nothing changes: each step keeps at most one
     edge per input edge, minima are pre-aggregated before the shuffle, and the
-    edges of a hot node are dealt to SALTS tasks. Empty input gives no rows.
+    edges of a hot node are dealt to SALTS tasks. Nothing is broadcast, so the
+    driver holds no part of the graph. Empty input gives no rows.
     """
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
     every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))
 
     def lowest(pairs: DataFrame) -> DataFrame:
         mins = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), every.alias("s"))
-        return pairs.withColumn("s", salt("v")).join(mins, ["u", "s"])
+        return pairs.withColumn("s", salt("v")).join(mins.hint("merge"), ["u", "s"])
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

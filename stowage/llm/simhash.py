@@ -12,20 +12,21 @@ of small balls in the other half (at most 529 of them at a point, by
 counting), and each point gives links to one member. Components are the same
 as with all pairs.
 
-The pipeline's stage also links all documents whose sets of 5-word shingles
-have a Jaccard similarity of 0.8 or more. It is an exact prefix-filter join
-(similar_links): no pair is left to chance and each is decided on whole sets.
+The pipeline's stage also links documents whose sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more, which may lie many bits apart. Candidates
+for that share one of BANDS keys of ROWS least hashes each (a pair of
+similarity 0.8 shares none with a chance of 0.0023); all are decided on whole
+sets (similar_links).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import connected_components, durable, stored, text_slices
@@ -33,10 +34,16 @@ from stowage.llm.common import connected_components, durable, stored, text_slice
 WORDS, SEED, BITS = 3, 42, 3
 #: Different fingerprints that share a half and are still joined pairwise.
 DENSE = 64
-#: Shared 5-word shingles that make two documents near copies; holders of a shingle compared in one task, squared.
-SIMILAR, BLOCK = 0.8, 256
-#: One in so many shingles more are kept in a head, so that near copies share as many of them and not only one.
-PART = 20
+#: Similarity of two sets of 5-word shingles that makes them near copies.
+SIMILAR = 0.8
+#: Keys by least hashes of a set, least hashes of a key.
+BANDS, ROWS = 20, 6
+#: Holders of a key that are all compared with each other; turns in which those of a key with more meet further pivots.
+BLOCK, TURNS = 16, 4
+_RANDOM = np.random.default_rng(SEED)
+_MULTIPLY = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * 2 + 1).astype(np.uint32)
+_FLIP = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+_FOLD = (_RANDOM.integers(0, 1 << 62, ROWS, np.uint64) * 2 + 1).astype(np.uint64)
 
 
 def _shingles(text: str | None) -> np.ndarray:
@@ -70,20 +77,23 @@ def fingerprint(text: str | None) -> int:
 
 
 def sketch(text: str | None) -> tuple[int, np.ndarray]:
-    """Fingerprint and sorted set of the hashes of the 5-word shingles; of fewer words, of the 3-word shingles."""
+    """Fingerprint and sorted set of 32-bit hashes of the 5-word shingles; of fewer words, of the 3-word shingles."""
     h = _shingles(text)
     if not len(h):
-        return 0, h.view(np.int64)
+        return 0, np.zeros(0, np.uint32)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         ones += _ones(h[i : i + 65536]).sum(0, dtype=np.int64)
     five = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(h) > 2 else h
-    return int(_majority(ones, len(h))[0]), np.unique(five).view(np.int64)
+    return int(_majority(ones, len(h))[0]), np.unique((five >> np.uint64(32)).astype(np.uint32))
 
 
-def _needed(n: int, similar: float) -> int:
-    """Shingles of n that a set of at least that similarity must share."""
-    return math.ceil(similar * n - 1e-9)
+def bands(five: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set that is not empty: equal ones hold equal least hashes."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(five), 2048):
+        np.minimum(least, ((five[i : i + 2048, None] ^ _FLIP) * _MULTIPLY).min(0), out=least)
+    return ((least.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _FOLD).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,92 +164,84 @@ def _dense_links(crowd: DataFrame) -> DataFrame:
     return met.where("u is not null and size(all) > 1").select("u", F.explode("all").alias("v")).where("u <> v")
 
 
-def _lists(parts: tuple[np.ndarray, ...] | list[np.ndarray], kind: type) -> pa.Array:
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(kind)))
 
 
-def _sids(fives: tuple[np.ndarray, ...]) -> pa.Array:
-    return pa.array(np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in fives], np.uint64).view(np.int64))
+_SKETCH = "doc_id bigint, mark bigint, fp bigint, sid bigint, n int, bands array<bigint>, five array<int>"
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, n, five (the whole shingle set)."""
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, mark, fp, sid (hash of the shingle set), n (its size), bands, five (the set)."""
     for b in text_slices(batches):
-        fives = tuple(sketch(t)[1] for t in b.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([_sids(fives), pa.array([len(f) for f in fives], pa.int32()), _lists(fives, np.int64)], ["sid", "n", "five"])
-
-
-def _sketch_batches(similar: float):
-    """doc_id, mark, key, fp, sid (hash of the shingle set), n (its size), head (its least hashes; a near copy's have n needed // PART of them too)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
-            fps, fives = zip(*(sketch(t) for t in b.column("text").to_pylist()), strict=True)
-            heads = [f[: len(f) - _needed(len(f), similar) + max(1, len(f) // PART)].astype(np.int32) for f in fives]
-            columns = [pa.array(fps, pa.int64()), _sids(fives), pa.array([len(f) for f in fives], pa.int32()), _lists(heads, np.int32)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("key"), *columns], ["doc_id", "mark", "key", "fp", "sid", "n", "head"])
-
-    return run
+        got = [sketch(t) for t in b.column("text").to_pylist()]
+        fives = [five for _, five in got]
+        sids = np.array([xxhash.xxh64_intdigest(five.tobytes()) for five in fives], np.uint64).view(np.int64)
+        keys = [bands(five) if len(five) else np.zeros(0, np.int64) for five in fives]
+        columns = [pa.array([fp for fp, _ in got], pa.int64()), pa.array(sids), pa.array([len(five) for five in fives], pa.int32()), _lists(keys, np.int64), _lists(fives, np.int32)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *columns], ["doc_id", "mark", "fp", "sid", "n", "bands", "five"])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, similar: float) -> DataFrame:
     """u, v (fp) of the pairs a, b of sids whose whole sets are similar enough."""
     side = lambda x: whole.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), F.col("five").alias(f"s{x}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return durable(met.where(F.col("both") >= (F.col("na") + F.col("nb") - F.col("both")) * similar - 1e-9).select(F.col("fa").alias("u"), F.col("fb").alias("v")))
 
 
-def similar_links(sketches: DataFrame, rows: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Edges u, v (fp) that with the edges near connect all rows whose shingle sets are at least that similar.
+def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """node, root (fp): components of the edges near and of rows whose shingle sets are at least that similar.
 
-    sketches: key, fp, sid, n, head; rows: key, text. Two sets of that
-    similarity have l of their first n - needed + l shingles in common, in any
-    order of all shingles. In order of hash, with l = n // PART, that leaves the
-    rows that can have a partner at all; only their whole sets are made. In
-    order of frequency, the rarest first and l = 1, it leads them to each
-    other. Of the holders of a shingle, a few are compared with all others;
-    then all pairs of them that are not connected yet, so a group of near
-    copies costs pairs only where it does not hold together.
+    sketches: rid, fp, sid, n, bands, five. Equal sets are one node. The
+    holders of a key are first compared with two of them, of which one is the
+    holder that meets most others in all its keys: the text that was copied, if
+    it is there. Where that leaves a key's holders unconnected, all of them are
+    compared up to BLOCK, and more of them with further pivots for as long as
+    this connects any, TURNS turns at most. So a group costs its size, not its
+    square. Of a pair of similarity 0.8 in such a crowd of texts that are not
+    similar to each other, a link may be missed; in all else none of a key is.
     """
     sketches = sketches.where("n > 0")
-    one = durable(sketches.groupBy("sid").agg(F.min("key").alias("key"), F.min("fp").alias("least"), F.max("fp").alias("most")))
-    same = sketches.join(one.where("least <> most").select("sid", "least"), "sid").select(F.col("least").alias("u"), F.col("fp").alias("v")).where("u <> v").distinct()
-    by = Window.partitionBy("t")
-    held = sketches.select("sid", "n", F.explode("head").alias("t")).select("sid", "n", "t", F.min("sid").over(by).alias("lo"), F.max("sid").over(by).alias("hi")).where("lo <> hi")
-    # Exact copies count a shingle more than once, which can only keep more rows.
-    met = held.groupBy("sid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * similar - 1e-9) / PART)))
-    alive = stored(met.select("sid").join(one.select("sid", "key", F.col("least").alias("fp")), "sid"))
-    texts = rows.join(alive.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = texts.select("text").mapInArrow(_set_batches, "sid bigint, n int, five array<bigint>")
-    whole = stored(sets.join(alive.select("sid", "fp"), "sid"))
-
-    words = whole.select("sid", "n", F.explode("five").alias("w"))
-    words = words.withColumn("df", F.count("*").over(Window.partitionBy("w"))).where("df > 1")
-    ranked = words.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    needed = F.ceil(F.col("n") * similar - 1e-9).cast("int")
-    ranked = ranked.where(F.size("ws") >= needed).select("sid", "n", F.explode(F.slice("ws", F.lit(1), F.size("ws") - needed + 1)).alias("w"))
-    first = durable(ranked.select("sid", "n", F.col("w.w").alias("w")))
+    one = durable(sketches.groupBy("sid").agg(F.min("rid").alias("rid"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("most")))
+    same = sketches.select("sid", "fp").join(one.where("fp <> most").select("sid", F.col("fp").alias("v")), "sid").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+    keyed = sketches.select("rid", "bands").join(one.select("rid", "sid", "n", "fp"), "rid").select("rid", "sid", "n", "fp", F.posexplode("bands").alias("t", "band"))
+    keyed = keyed.select("rid", "sid", "n", "fp", F.xxhash64("t", "band").alias("key"))
+    many = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    held = durable(keyed.join(many, "key"))
+    sums = held.groupBy("sid").agg(F.sum("c").alias("meets"))
+    held = stored(held.join(sums, "sid"))
+    needed = held.select("rid").distinct()
+    whole = stored(sketches.select("rid", "sid", "n", "five").join(needed, "rid", "left_semi").join(one.select("rid", "fp"), "rid"))
 
     fits = lambda a, b: (F.col(a) >= F.col(b) * similar - 1e-9) & (F.col(b) >= F.col(a) * similar - 1e-9)
-    pivot = F.struct("sid", "n")
-    turned = F.xxhash64("sid")
-    pivots = first.groupBy("w").agg(F.array(F.min(pivot), F.max(pivot), F.min_by(pivot, turned), F.max_by(pivot, turned)).alias("ps"))
-    stars = first.join(pivots, "w").select("sid", "n", F.explode("ps").alias("p")).select("sid", "n", F.col("p.sid").alias("o"), F.col("p.n").alias("m"))
-    stars = stars.where((F.col("sid") != F.col("o")) & fits("n", "m")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()
-    linked = near.union(same).union(_verified(stars, whole, similar))
-
-    roots = connected_components(linked)
-    rooted = whole.select("sid", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
-    placed = durable(first.join(rooted, "sid"))
-    apart = placed.groupBy("w").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo <> hi").select("w", "blocks")
-    dealt = placed.join(apart, "w").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    asked = dealt.select("w", F.col("own").alias("i"), every.alias("j"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    given = dealt.select("w", every.alias("i"), F.col("own").alias("j"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = asked.join(given, ["w", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits("na", "nb")).select("a", "b").distinct()
-    return roots.select(F.col("root").alias("u"), F.col("node").alias("v")).union(_verified(pairs, whole, similar))
+    linked, rooted = near.union(same), held.withColumn("root", F.col("fp"))
+    for turn in range(TURNS):
+        if turn:
+            roots = durable(connected_components(linked))
+            linked = roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
+            rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        if turn > 1:
+            rooted = rooted.where(F.col("c") > BLOCK)
+        other = F.struct("sid", "n", "root")
+        mixed = F.xxhash64("sid", F.lit(turn))
+        picks = [F.max_by(other, F.struct("meets", "sid")), F.min(other)] if turn == 0 else [F.max_by(other, mixed), F.min_by(other, mixed)]
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*picks).alias("ps")).where("lo <> hi").select("key", "ps")
+        met = rooted.select("key", "sid", "n", "root", "c").join(apart, "key")
+        few = F.col("c") <= BLOCK if turn == 1 else F.lit(False)
+        pairs = met.where(~few).select("sid", "n", "root", F.explode("ps").alias("p")).select("sid", "n", "root", F.col("p.sid").alias("o"), F.col("p.n").alias("m"), F.col("p.root").alias("oroot"))
+        if turn == 1:
+            small = met.where(few).select("key", "sid", "n", "root")
+            others = small.select("key", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot"))
+            pairs = pairs.union(small.join(others, "key").where("sid < o").select("sid", "n", "root", "o", "m", "oroot"))
+        pairs = durable(pairs.where((F.col("root") != F.col("oroot")) & fits("n", "m")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct())
+        if turn and pairs.isEmpty():
+            return roots
+        found = _verified(pairs, whole, similar)
+        if turn and found.isEmpty():
+            return roots
+        linked = linked.union(found)
+    return connected_components(linked)
 
 
 def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None = None) -> DataFrame:
@@ -248,8 +250,8 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None =
     Null texts, blank texts: fp 0, linked like any other. Rows that repeat a
     doc_id stay separate rows. A null doc_id takes part but names no component
     (its component_id is null if no other id is in it). Empty table: no rows.
-    Other columns are ignored. With `similar`, all rows of at least that
-    5-word similarity are linked too, however far apart their fingerprints.
+    Other columns are ignored. With `similar`, rows of at least that 5-word
+    similarity are linked too, however far apart their fingerprints (see similar_links).
     """
     return _grouped(_rows(docs), dense, similar).select("doc_id", "fp", "component_id")
 
@@ -259,15 +261,13 @@ def _grouped(rows: DataFrame, dense: int, similar: float | None) -> DataFrame:
     if similar is None:
         prints = durable(rows.mapInArrow(_batches, "doc_id bigint, mark bigint, fp bigint"))
         nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        edges = links(nodes.select("fp"), dense)
+        roots = connected_components(links(nodes.select("fp"), dense))
     else:
-        rows = rows.withColumn("key", F.xxhash64("text"))
-        sketches = stored(rows.mapInArrow(_sketch_batches(similar), "doc_id bigint, mark bigint, key bigint, fp bigint, sid bigint, n int, head array<int>"))
+        sketches = stored(rows.mapInArrow(_sketch_batches, _SKETCH).withColumn("rid", F.monotonically_increasing_id()))
         prints = sketches.select("doc_id", "mark", "fp")
         nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        edges = similar_links(sketches, rows.select("key", "text"), durable(links(nodes.select("fp"), dense)), similar)
-    roots = connected_components(edges).withColumnRenamed("node", "fp")
-    rooted = nodes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        roots = similar_links(sketches, durable(links(nodes.select("fp"), dense)), similar)
+    rooted = nodes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "root", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "mark", "fp", "root", "component_id")
