@@ -22,13 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where the session names none."""
+    """The session's checkpoint folder; one of our own only where the session names none and runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stowage-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stowage-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on tasks hand Python so many rows at a time: 10,000 long texts, twice for each core, are too many for a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
@@ -54,6 +62,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()  # workers stay; what a batch took goes back
 
 
 def lowered(text: str) -> str:

@@ -33,8 +33,8 @@ SWITCH, WORST = 12.0, 10.0
 #: Share of a language's words in a script from which the language is a candidate there.
 CANDIDATE = 0.002
 #: Runs of letters that a worker remembers, characters that they may come from, letters of a word.
-CACHE, HELD, LONGEST = 300_000, 64 << 20, 48
-SLICE = 8 << 20
+CACHE, HELD, LONGEST = 200_000, 64 << 20, 48
+SLICE = 4 << 20
 
 # First code points of letter ranges, each up to the next entry, and their scripts.
 RANGES = (

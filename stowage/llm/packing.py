@@ -28,7 +28,7 @@ from stowage.llm.common import stored, text_slices
 
 SIZE = 1024
 #: Different words whose ids a worker remembers, and their greatest length.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 200_000, 64
 #: A left-over table of at most so many rows is broadcast (24 bytes a row).
 SMALL = 200_000
 

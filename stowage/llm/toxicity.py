@@ -32,7 +32,7 @@ from stowage.llm.common import lowered, stored, text_slices
 #: At most about so many labelled rows fit the weights; other rows are only scored.
 SAMPLE = 60_000
 STEMS = (4, 5, 6, 7)
-CACHE = 250_000
+CACHE = 150_000
 
 # Word classes of the grammar.
 SEEDS = frozenset("idiot moron stupid loser pathetic worthless disgusting scum trash imbecile bastard cretin dumbass".split())
