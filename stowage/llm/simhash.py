@@ -39,7 +39,7 @@ SIMILAR = 0.8
 #: Keys by least hashes of a set, least hashes of a key.
 BANDS, ROWS = 20, 6
 #: Holders of a key that are all compared with each other; turns in which those of a key with more meet further pivots.
-BLOCK, TURNS = 16, 4
+BLOCK, TURNS = 16, 3
 _RANDOM = np.random.default_rng(SEED)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * 2 + 1).astype(np.uint32)
 _FLIP = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
