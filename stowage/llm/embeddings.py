@@ -3,15 +3,19 @@
 Equal vectors are one node with a number of copies. A first neighbour graph
 comes from small blocks of vectors that fall on the same sides of random
 planes; it is then refined by joining neighbours of neighbours until an audit
-against brute force, on a bounded sample of nodes, finds what it should.
-Links are the graph's edges at or above the threshold.
+against brute force, on a bounded sample of nodes, finds what it should. More
+planes are drawn after a round that the audit does not pass; if the last one
+does not reach LEAST either, that is an error. Links are the graph's edges at
+or above the threshold.
 
 A node whose whole list lies above the threshold is saturated: it may have
 more links than the list holds. Its list is enlarged to its whole component.
 There, vectors within half the threshold's angle of the component's mean are
 linked to one another by the triangle inequality and are only counted; the
 others are compared with the component block by block. So a large group of
-near copies costs neither pairs nor a long list, and no link of it is lost.
+near copies costs neither pairs nor a long list. Full lists may hide that two
+such components are linked, so those whose means and angular radii let them
+be are found (by NN-descent among the means) and compared as one.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import connected_components, durable, stored
+from stowage.llm.common import SALTS, connected_components, durable, stored
 
 THRESHOLD = 0.95
-#: Length of the neighbour lists, tables of random planes, rows of a block, rounds at most.
-NEIGHBOURS, TABLES, BLOCK, ROUNDS = 8, 10, 192, 5
-#: Nodes that the audit compares with all others, and the recall at which refinement ends.
-AUDIT, RECALL = 512, 0.99
+#: Length of the neighbour lists, least tables of random planes, rows of a block, rounds at most.
+NEIGHBOURS, TABLES, BLOCK, ROUNDS = 8, 10, 192, 6
+#: Chance that a pair at the threshold shares no block.
+MISS = 0.01
+#: Nodes that the audit compares with all others, the recall at which refinement ends, and the least that is taken.
+AUDIT, RECALL, LEAST = 512, 0.99, 0.9
 _MARGIN = 1e-9
 
 
@@ -71,16 +77,24 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _signs(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+def of_each_dim(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each vector length by themselves."""
+    dims = batch.column("dim").to_numpy()
+    for d in np.unique(dims):
+        yield batch.filter(pa.array(dims == d))
+
+
+def _signs(nodes: DataFrame, bits: int, tables: int, draw: int = 0) -> DataFrame:
     """nid, dim and for each table the side of `bits` random planes (their seed is fixed) as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims):
-                part = b.filter(pa.array(dims == d))
-                p = planes.setdefault(int(d), np.random.default_rng(int(d)).standard_normal((int(d), bits * tables)))
+            for part in of_each_dim(b):
+                d = part.column("dim")[0].as_py()
+                if d not in planes:
+                    planes[d] = np.random.default_rng([d, draw]).standard_normal((d, bits * tables))
+                p = planes[d]
                 sides = (_matrix(part.column("vec")) @ p > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("nid"), part.column("dim"), pa.array(sides.tolist(), pa.list_(pa.int64()))], ["nid", "dim", "sides"])
 
@@ -106,18 +120,23 @@ def _nearest(k: int) -> Callable:
 
 
 def _best(edges: DataFrame, k: int, by: str = "src") -> DataFrame:
-    """The k best distinct edges of each node."""
-    flag = [F.min("old").alias("old")] if "old" in edges.columns else []
-    one = edges.repartition(by).groupBy("src", "dst").agg(F.max("sim").alias("sim"), *([F.max("old").alias("old")] if flag else []))
+    """The k best distinct edges of each node. A hub's edges are first ranked in SALTS parts, of which only the best go on."""
+    flag = [F.max("old").alias("old")] if "old" in edges.columns else []
+    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), *flag)
     other = "dst" if by == "src" else "src"
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("sim"), other))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    best = [F.desc("sim"), F.col(other)]
+    if by == "dst":
+        part = Window.partitionBy(by, "part").orderBy(*best)
+        one = one.withColumn("part", F.pmod(F.xxhash64(other), F.lit(SALTS))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("part", "rank")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*best))).where(F.col("rank") <= k).drop("rank")
 
 
-def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
-    """src, dst, sim of the k nearest among the blocks of TABLES random partitions."""
+def first_graph(nodes: DataFrame, n: int, k: int, threshold: float = THRESHOLD, draw: int = 0) -> DataFrame:
+    """src, dst, sim of the k nearest among the blocks of random partitions: as many as a pair at the threshold needs to share a block, but for MISS."""
     bits = max(1, min(30, round(math.log2(max(2, n / (BLOCK / 4))))))
-    keys = _signs(nodes, bits, TABLES).select("nid", "dim", F.posexplode("sides").alias("t", "side"))
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    tables = max(TABLES, math.ceil(math.log(MISS) / math.log1p(-together))) if together < 1 else TABLES
+    keys = _signs(nodes, bits, tables, draw).select("nid", "dim", F.posexplode("sides").alias("t", "side"))
     sizes = keys.groupBy("dim", "t", "side").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK))
     dealt = keys.join(sizes, ["dim", "t", "side"]).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("nid", "t"), F.col("parts"))).otherwise(F.lit(0)))
     dealt = dealt.select("nid", F.xxhash64("dim", "t", "side", "part").alias("block"), "dim").join(nodes.select("nid", "vec"), "nid")
@@ -150,18 +169,25 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def audit(graph: DataFrame, nodes: DataFrame, n: int, k: int, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of about `sample` nodes, as far as a list of k can hold them, that the graph has."""
-    share = int(min(1.0, sample / max(1, n)) * (1 << 20))
-    picked = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(1 << 20)) <= share)
-    asked = picked.select("nid", "dim", "vec").toArrow()  # about `sample` rows
+    """Share of the links of some nodes, as far as a list of k can hold them, that the graph has.
+
+    Half of these nodes are any, half are such that the graph links with
+    another, so that there is something to find where links are rare.
+    """
+    near = graph.where(F.col("sim") >= threshold)
+    linked = near.select(F.col("src").alias("nid")).distinct()
+    of = lambda df, m: df.where(F.pmod(F.xxhash64("nid", F.lit(n)), F.lit(1 << 50)) < int(min(1.0, sample / 2 / max(1, m)) * (1 << 50)))
+    picked = of(nodes.select("nid"), n).union(of(linked, linked.count())).distinct()
+    asked = nodes.join(picked, "nid", "left_semi").select("nid", "dim", "vec").toArrow()  # about `sample` rows
     by_dim = {d: (part["nid"].to_numpy(), _matrix(part["vec"])) for d in set(asked["dim"].to_pylist()) for part in [asked.filter(pa.compute.equal(asked["dim"], d))]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
         for b in batches:
-            dims = b.column("dim").to_numpy()
-            for d in set(dims.tolist()) & by_dim.keys():
-                part, (ids, q) = b.filter(pa.array(dims == d)), by_dim[d]
+            for part in of_each_dim(b):
+                if (d := part.column("dim")[0].as_py()) not in by_dim:
+                    continue
+                ids, q = by_dim[d]
                 x, own = _matrix(part.column("vec")), part.column("nid").to_numpy()
                 for i in range(0, len(x), 2048):
                     hits = (q @ x[i : i + 2048].T >= threshold) & (ids[:, None] != own[None, i : i + 2048])
@@ -170,64 +196,123 @@ def audit(graph: DataFrame, nodes: DataFrame, n: int, k: int, threshold: float,
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["src", "n"])
 
     true = nodes.select("nid", "dim", "vec").mapInArrow(run, "src bigint, n bigint").groupBy("src").agg(F.least(F.sum("n"), F.lit(k)).alias("n"))
-    have = graph.where(F.col("sim") >= threshold).groupBy("src").agg(F.count("*").alias("found"))
+    have = near.groupBy("src").agg(F.count("*").alias("found"))
     got = true.join(have, "src", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("found", F.lit(0))).alias("found")).first()
     return 1.0 if not got["n"] else got["found"] / got["n"]
 
 
-def _crowded(members: DataFrame, threshold: float) -> DataFrame:
-    """nid, linked (copies of other nodes linked to it) within components given whole. members: comp, nid, vec, copies."""
-    half = math.cos(math.acos(threshold) / 2) + _MARGIN
+def _means(members: DataFrame) -> DataFrame:
+    """comp, dim, mean (a unit vector) and low (the least cosine of a member with it). members: comp, dim, nid, vec."""
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("vec")) if b.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("comp"), pa.array(list(x), pa.list_(pa.float64()))], ["comp", "unit"])
+            for part in of_each_dim(b):
+                x = _matrix(part.column("vec"))
+                yield pa.RecordBatch.from_arrays([part.column("comp"), part.column("dim"), pa.array(list(x), pa.list_(pa.float64()))], ["comp", "dim", "unit"])
+
+    sums = members.select("comp", "dim", "vec").mapInArrow(norm, "comp bigint, dim int, unit array<double>").select("comp", "dim", F.posexplode("unit").alias("i", "x"))
+    sums = sums.groupBy("comp", "dim", "i").agg(F.sum("x").alias("x")).groupBy("comp", "dim").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
+    size = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
+    return sums.select("comp", "dim", F.transform("m", lambda x: x["x"] / F.greatest(size, F.lit(1e-300))).alias("mean"))
 
-    sums = members.select("comp", "vec").mapInArrow(norm, "comp bigint, unit array<double>").select("comp", F.posexplode("unit").alias("i", "x"))
-    sums = sums.groupBy("comp", "i").agg(F.sum("x").alias("x")).groupBy("comp").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m")).select("comp", F.col("m.x").alias("mean"))
+
+def _placed(members: DataFrame, means: DataFrame) -> DataFrame:
+    """members with cos, each vector's cosine with its component's mean."""
+    kind = dict(members.dtypes)["vec"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                mean = np.array(b.column("mean").to_pylist())
-                size = np.linalg.norm(mean, axis=1, keepdims=True)
-                near = ((_matrix(b.column("vec")) * mean).sum(1) / np.where(size[:, 0] > 0, size[:, 0], 1)) >= half
-                yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("nid"), b.column("vec"), b.column("copies"), pa.array(near)], ["comp", "nid", "vec", "copies", "core"])
+            for part in of_each_dim(b):
+                cos = (_matrix(part.column("vec")) * np.array(part.column("mean").to_pylist())).sum(1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("comp", "nid", "dim", "vec", "copies", "own")), pa.array(cos)], ["comp", "nid", "dim", "vec", "copies", "own", "cos"])
 
-    kind = dict(members.dtypes)["vec"]
     # The means are few and small beside the members; AQE may broadcast them or split a large component's side.
-    placed = durable(members.join(sums, "comp").select("comp", "nid", "vec", "copies", "mean").mapInArrow(place, f"comp bigint, nid bigint, vec {kind}, copies bigint, core boolean"))
+    joined = members.join(means.select("comp", "mean"), "comp").select("comp", "nid", "dim", "vec", "copies", "own", "mean")
+    return joined.mapInArrow(place, f"comp bigint, nid bigint, dim int, vec {kind}, copies bigint, own bigint, cos double")
+
+
+def _joined_crowds(members: DataFrame, threshold: float) -> DataFrame:
+    """comp, joint: components of saturated lists that may be linked, by means and angular radii, have one joint number.
+
+    members: comp, dim, nid, vec, copies, own. The means' own neighbour graph
+    is made with as long lists as there are means within reach.
+    """
+    means = stored(_means(members))
+    m = means.count()
+    if m < 2:
+        return means.select("comp", F.col("comp").alias("joint"))
+    radii = _placed(members, means).groupBy("comp").agg(F.min("cos").alias("low"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "low")))
+    nodes = stored(means.join(radii, "comp").select(F.col("comp").alias("nid"), "dim", F.col("mean").alias("vec"), angle.alias("radius")))
+    widest = nodes.agg(F.max("radius")).first()[0]
+    reach = math.cos(min(math.pi, math.acos(threshold) + 2 * widest)) - _MARGIN
+    k = NEIGHBOURS
+    while True:
+        graph = first_graph(nodes, m, k, max(reach, 0.0))
+        for _ in range(2):
+            graph = refine(graph, nodes, k)
+        full = graph.where(F.col("sim") >= reach).groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        if k >= m - 1 or full.isEmpty():
+            break
+        k = min(2 * k, m - 1)
+    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("radius").alias(f"r_{x}"))
+    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "sim"))) - F.col("r_src") - F.col("r_dst")
+    close = graph.join(side("src"), "src").join(side("dst"), "dst").where(gap <= math.acos(threshold) + 1e-6)
+    joint = durable(connected_components(close.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
+    return means.select("comp").join(joint.select(F.col("node").alias("comp"), F.col("root").alias("joint")), "comp", "left").withColumn("joint", F.coalesce("joint", "comp"))
+
+
+def _crowded(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """nid, linked (copies of other nodes linked to it) within groups given whole, and edges u, v between their components.
+
+    members: comp (the group), dim, nid, vec, copies, own (the component).
+    """
+    half = math.cos(math.acos(threshold) / 2) + _MARGIN
+
+    placed = durable(_placed(members, _means(members)).withColumn("core", F.col("cos") >= half))
     cores = placed.where("core").groupBy("comp").agg(F.sum("copies").alias("all"))
+    # Core vectors are all linked with each other, and so are their components.
+    lows = placed.where("core").groupBy("comp").agg(F.min("own").alias("low"))
+    bonds = placed.where("core").select("comp", "own").distinct().join(lows, "comp").select(F.col("own").alias("u"), F.col("low").alias("v"))
     inner = placed.where("core").select("comp", "nid", "copies").join(cores, "comp").select("nid", (F.col("all") - F.col("copies")).alias("linked"))
 
     sizes = placed.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.when(F.col("core"), 0).otherwise(1)) / BLOCK).alias("outer"))
     sizes = sizes.where("outer > 0")
     dealt = placed.join(sizes, "comp")
-    asked = dealt.where("not core").select("comp", F.pmod(F.xxhash64("nid"), F.col("outer")).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"), "nid", "vec", "copies", F.lit(True).alias("asks"), "core")
-    given = dealt.select("comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outer") - 1)).alias("a"), F.pmod(F.xxhash64("nid"), F.col("blocks")).alias("b"), "nid", "vec", "copies", F.lit(False).alias("asks"), "core")
+    asked = dealt.where("not core").select("comp", F.pmod(F.xxhash64("nid"), F.col("outer")).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"), "nid", "vec", "copies", F.lit(True).alias("asks"), "core", "own")
+    given = dealt.select("comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outer") - 1)).alias("a"), F.pmod(F.xxhash64("nid"), F.col("blocks")).alias("b"), "nid", "vec", "copies", F.lit(False).alias("asks"), "core", "own")
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        asks, ids, copies, core = (rows[c].to_numpy() for c in ("asks", "nid", "copies", "core"))
+        asks, ids, copies, core, own = (rows[c].to_numpy() for c in ("asks", "nid", "copies", "core", "own"))
         if not asks.any() or asks.all():
             return
         x = _matrix(rows["vec"])
         hit = (x[asks] @ x[~asks].T >= threshold) & (ids[asks][:, None] != ids[~asks][None, :])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[asks], pa.int64()), pa.array(hit @ copies[~asks], pa.int64())], ["nid", "linked"])
+        yield _counted(ids[asks], hit @ copies[~asks], None, None)
         back = hit.T @ copies[asks]  # a core vector hears of its outer links from them
         at = core[~asks] & (back > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[~asks][at], pa.int64()), pa.array(back[at], pa.int64())], ["nid", "linked"])
+        yield _counted(ids[~asks][at], back[at], None, None)
+        a, b = np.nonzero(hit & (own[asks][:, None] != own[~asks][None, :]))
+        pairs = np.unique(np.stack([own[asks][a], own[~asks][b]], 1), axis=0)
+        yield _counted(None, None, pairs[:, 0], pairs[:, 1])
+
+    outer = durable(by_group(asked.union(given), ["comp", "a", "b"], work, "nid bigint, linked bigint, u bigint, v bigint"))
+    linked = inner.union(outer.where("nid is not null").select("nid", "linked")).groupBy("nid").agg(F.sum("linked").alias("linked"))
+    return linked, bonds.union(outer.where("u is not null").select("u", "v")).distinct()
+
 
-    outer = by_group(asked.union(given), ["comp", "a", "b"], work, "nid bigint, linked bigint")
-    return inner.union(outer).groupBy("nid").agg(F.sum("linked").alias("linked"))
+def _counted(nid, linked, u, v) -> pa.RecordBatch:
+    n = len(nid) if nid is not None else len(u)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (nid, linked, u, v)], ["nid", "linked", "u", "v"])
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row. rows: vec_id, embedding.
+    """vec_id, n_links, component_id, kept, audited_recall for each row. rows: vec_id, embedding.
 
     Vectors that are null, empty, zero or hold a null or non-finite component,
     and rows without a vec_id, link with nothing (n_links 0, own component).
-    Vectors of different lengths never link. Copies link with each other;
+    Vectors of different lengths never link. audited_recall is the share of
+    known links that the audit found in the graph. Copies link with each other;
     repeated rows count as copies. Other columns are ignored; no rows give no rows.
     """
     vec = F.col("embedding")
@@ -238,12 +323,17 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBO
     n = nodes.count()
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not n:
-        return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    graph = first_graph(nodes, n, k)
-    for _ in range(ROUNDS):
+        return alone.withColumn("kept", F.col("vec_id").isNotNull()).withColumn("audited_recall", F.lit(1.0))
+    graph, recall = first_graph(nodes, n, k, threshold), 0.0
+    for turn in range(ROUNDS):
         graph = refine(graph, nodes, k)
-        if audit(graph, nodes, n, k, threshold) >= RECALL:
+        recall = audit(graph, nodes, n, k, threshold)
+        if recall >= RECALL:
             break
+        more = first_graph(nodes, n, k, threshold, turn + 1)
+        graph = durable(_best(graph.union(more.select(*graph.columns)), k))
+    if recall < LEAST:
+        raise RuntimeError(f"the neighbour graph finds {recall:.3f} of the links that its audit knows, less than {LEAST}")
     near = durable(graph.where(F.col("sim") >= threshold).select("src", "dst"))
     comps = durable(connected_components(near.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select(F.col("node").alias("nid"), F.col("root").alias("comp")))
     full = near.groupBy(F.col("src").alias("nid")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
@@ -251,14 +341,20 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBO
     few = comps.join(crowds, "comp", "left_anti").select("nid")
     pairs = near.union(near.select("dst", "src")).distinct().join(few.withColumnRenamed("nid", "src"), "src", "left_semi")
     linked = pairs.join(nodes.select(F.col("nid").alias("dst"), "copies"), "dst").groupBy(F.col("src").alias("nid")).agg(F.sum("copies").alias("linked"))
-    members = comps.join(crowds, "comp", "left_semi").join(nodes, "nid").select("comp", "nid", "vec", "copies")
-    linked = linked.union(_crowded(members, threshold))
+    members = comps.join(crowds, "comp", "left_semi").join(nodes, "nid").select("comp", "nid", "dim", "vec", "copies", F.col("comp").alias("own"))
+    if not crowds.isEmpty():
+        joint = durable(_joined_crowds(members, threshold))
+        members = members.join(joint, "comp").select(F.col("joint").alias("comp"), "nid", "dim", "vec", "copies", "own")
+        inside, bonds = _crowded(members, threshold)
+        linked = linked.union(inside)
+        merged = connected_components(bonds).select(F.col("node").alias("comp"), "root")
+        comps = durable(comps.join(merged, "comp", "left").select("nid", F.coalesce("root", "comp").alias("comp")))
     whole = nodes.select("nid", "least", "copies", "vec").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")).join(linked, "nid", "left")
     whole = stored(whole.select("vec", "comp", "least", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
     lowest = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = whole.join(lowest, "comp").select("vec", "n_links", "component_id")
     out = rows.where("vec is not null").join(named, "vec").select("vec_id", "n_links", "component_id").union(alone)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audited_recall", F.lit(recall))
 
 
 def op5_embedding_near_dedup(spark, sf_dir):
