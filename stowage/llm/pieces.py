@@ -7,18 +7,22 @@ A space is the marker U+2581 inside pieces and one is put before the text;
 decoding turns markers back and drops that first one. In the trie the marker
 is the byte FF, which UTF-8 never uses, so a text's own U+2581 comes back too.
 
-No piece of the vocabulary has a marker after another character (this is
-checked), so the units between markers are segmented by themselves, once each,
-many units of a length side by side.
+No piece of the vocabulary has a marker after another character (others are
+refused), so the units between markers are segmented by themselves, once each,
+many side by side. The work is linear in the text, however long a unit is.
+
+A model file of merges has no log scores but ranks (0, -1, -2, ...), whose sums
+mean nothing. log_scores() then gives each piece the log probability that
+Zipf's law has for its rank. Nothing is trained.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 from stowage.llm.common import text_slices
 
 MARK, PENALTY = b"\xff", 10.0
-#: Units that a worker remembers, and bytes of a unit up to which units go side by side.
-CACHE, WIDE = 400_000, 48
+#: Units that a worker remembers, characters of a unit up to which units go side by side and are remembered, units and bytes at a time.
+CACHE, WIDE, MANY, CHUNK = 400_000, 48, 20_000, 1 << 18
+_END = 256  # stands after each unit; no piece goes on with it
 
 
 @dataclass
@@ -90,6 +95,17 @@ class Trie:
         return np.where((states >= 0) & (self.check[to] == states), to, -1)
 
 
+def log_scores(scores: list[float], usable: list[bool]) -> np.ndarray:
+    """The scores themselves if they can be log probabilities of the usable pieces; else, by Zipf's law, those of their order."""
+    known, use = np.array(scores, np.float64), np.array(usable, bool)
+    if not use.any() or (known[use].max() <= 0 and 0.5 <= np.exp(known[use]).sum() <= 1.01):
+        return known
+    order = np.flatnonzero(use)[np.argsort(-known[use], kind="stable")]
+    ranks = np.arange(1, len(order) + 1)
+    known[order] = -np.log(ranks) - np.log((1 / ranks).sum())
+    return known
+
+
 @dataclass
 class Vocabulary:
     trie: Trie
@@ -100,7 +116,7 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str | None = None) -> Vocabulary:
-        """Pieces and scores of a SentencePiece model file; its own trainer's kind of model does not matter."""
+        """Pieces and log scores of a SentencePiece model file; its own trainer's kind of model does not matter."""
         import sentencepiece
 
         if path is None:
@@ -112,7 +128,8 @@ class Vocabulary:
         pieces = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         is_byte = [model.is_byte(i) for i in range(n)]
-        return Vocabulary.of(pieces, [model.get_score(i) for i in range(n)], special, is_byte)
+        scores = log_scores([model.get_score(i) for i in range(n)], [not a and not b for a, b in zip(special, is_byte, strict=True)])
+        return Vocabulary.of(pieces, scores.tolist(), special, is_byte)
 
     @staticmethod
     def of(pieces: list[str], scores: list[float], special: list[bool], is_byte: list[bool]) -> Vocabulary:
@@ -129,7 +146,7 @@ class Vocabulary:
         if (bytes_at < 0).any():
             raise ValueError("the vocabulary has no piece for some byte")
         known = np.array(scores, np.float64)
-        return Vocabulary(Trie.build(keys), known, text, bytes_at, float(min(known[i] for i in keys.values())) - PENALTY)
+        return Vocabulary(Trie.build(keys), known, text, bytes_at, float(min((known[i] for i in keys.values()), default=0.0)) - PENALTY)
 
 
 _SEGMENTERS: dict[int, Segmenter] = {}
@@ -149,70 +166,106 @@ class Segmenter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.known = vocabulary, {}
+        self.reach = max(4, max(map(len, vocabulary.text)))
 
     def units(self, raws: list[bytes]) -> list[bytes]:
         """Ids, as 32-bit bytes, of each unit by Viterbi. Of equal sums the one whose last piece is longest is taken."""
-        out: list[bytes] = [b""] * len(raws)
-        by_length: dict[int, list[int]] = {}
-        for i, r in enumerate(raws):
-            by_length.setdefault(len(r), []).append(i)
-        for n, at in by_length.items():
-            wide = 1 if n > WIDE else 4096
-            for k in range(0, len(at), wide):
-                part = at[k : k + wide]
-                got = self._block(np.frombuffer(b"".join(raws[i] for i in part), np.uint8).reshape(len(part), n)) if n else [b""] * len(part)
-                for i, ids in zip(part, got, strict=True):
-                    out[i] = ids
+        out: list[bytes] = []
+        for i in range(0, len(raws), MANY):
+            part = raws[i : i + MANY]
+            out += self._segment(b"".join(part), np.array([len(r) for r in part]), self._side_by_side)
         return out
 
-    def _block(self, codes: np.ndarray) -> list[bytes]:
-        v, (m, n) = self.v, codes.shape
-        wide = codes.astype(np.int32)
-        best, back, via = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int32), np.full((m, n + 1), -1, np.int32)
-        best[:, 0] = 0
-        starts = (wide & 0xC0) != 0x80  # a character or marker begins here
-        length = np.select([wide < 0x80, wide >= 0xFF, wide >= 0xF0, wide >= 0xE0, wide >= 0xC0], [1, 1, 4, 3, 2], 1)
-        for i in range(n):
-            rows = np.flatnonzero(starts[:, i] & (best[:, i] > -np.inf))
-            if not len(rows):
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, end and id (-1: bytes of a character without a piece) of every piece that fits anywhere."""
+        trie = self.v.trie
+        at = np.flatnonzero((codes != _END) & ((codes & 0xC0) != 0x80) | (codes == 0xFF))  # a character or marker begins here
+        first = codes[at]
+        after = at + np.select([first < 0x80, first >= 0xFF, first >= 0xF0, first >= 0xE0], [1, 1, 4, 3], 2)
+        single = np.zeros(len(codes), bool)
+        size = np.zeros(len(codes), np.int64)
+        size[at] = after - at
+        starts, ends, ids = [], [], []
+        cur, states = at, np.zeros(len(at), np.int64)
+        while len(cur):
+            states = trie.step(states, codes[cur])
+            alive = states >= 0
+            at, cur, states = at[alive], cur[alive] + 1, states[alive]
+            piece = trie.piece[states]
+            hit = piece >= 0
+            s, e = at[hit], cur[hit]
+            single[s[e - s == size[s]]] = True
+            starts.append(s)
+            ends.append(e)
+            ids.append(piece[hit])
+        lone = np.flatnonzero((size > 0) & ~single)
+        return np.concatenate([*starts, lone]), np.concatenate([*ends, lone + size[lone]]), np.concatenate([*ids, np.full(len(lone), -1)])
+
+    def _segment(self, raw: bytes, lengths: np.ndarray, paths: Callable) -> list[bytes]:
+        """Ids of the units that lie one after another in raw. paths: _side_by_side or _one_by_one."""
+        v = self.v
+        codes = np.full(len(raw) + len(lengths), _END, np.int32)
+        begin = np.cumsum(lengths + 1) - lengths - 1
+        codes[np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)] = np.frombuffer(raw, np.uint8)
+        back, via = paths(codes, begin)
+        chosen = np.zeros(len(codes), bool)
+        at = (begin + lengths)[lengths > 0]
+        while len(at):
+            chosen[at] = True
+            at = back[at]
+            at = at[back[at] >= 0]
+        e = np.flatnonzero(chosen)
+        s, ids = back[e], via[e]
+        count = np.where(ids >= 0, 1, e - s)
+        flat = np.repeat(ids, count)
+        place = np.repeat(s, count) + np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+        flat = np.where(flat >= 0, flat, v.bytes_at[np.minimum(codes[place], 255)]).astype("<i4").tobytes()
+        total = np.append(0, np.cumsum(count))
+        ends = (4 * total[np.searchsorted(e, begin + lengths, "right")]).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _side_by_side(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place where the last piece of its best path begins (-1: nowhere), and that piece. All units advance together."""
+        s, e, ids = self._edges(codes)
+        unit = np.zeros(len(codes), np.int64)
+        unit[begin[1:]] = 1
+        far = e - begin[np.cumsum(unit)[s]]
+        order = np.argsort((far * len(codes) + e) * len(codes) + s)
+        s, e, ids, far = s[order], e[order], ids[order], far[order]
+        score = np.where(ids >= 0, self.v.scores[ids], self.v.fallback)
+        best, back, via = np.zeros(len(codes)), np.full(len(codes), -1, np.int64), np.full(len(codes), -1, np.int64)
+        at = np.searchsorted(far, np.arange(1, int(far.max(initial=0)) + 2))
+        for i, j in zip(at, at[1:], strict=False):
+            if i == j:
                 continue
-            states, single = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-            all_rows, size = rows, length[rows, i]
-            order = np.arange(len(rows))
-            for j in range(i, n):
-                states = v.trie.step(states, wide[rows, j])
-                alive = states >= 0
-                if not alive.all():
-                    rows, states, order = rows[alive], states[alive], order[alive]
-                    if not len(rows):
-                        break
-                piece = v.trie.piece[states]
-                hit = np.flatnonzero(piece >= 0)
-                if len(hit):
-                    r, p = rows[hit], piece[hit]
-                    single[order[hit[size[order[hit]] == j - i + 1]]] = True
-                    score = best[r, i] + v.scores[p]
-                    up = score > best[r, j + 1]
-                    r, p, score = r[up], p[up], score[up]
-                    best[r, j + 1], back[r, j + 1], via[r, j + 1] = score, i, p
-            lone = np.flatnonzero(~single)
-            r, end = all_rows[lone], np.minimum(i + size[lone], n)
-            score = best[r, i] + v.fallback
-            up = score > best[r, end]
-            best[r[up], end[up]], back[r[up], end[up]], via[r[up], end[up]] = score[up], i, -1
-        out, backs, vias, raws = [], back.tolist(), via.tolist(), v.bytes_at[codes].tolist()
-        for came, taken, raw in zip(backs, vias, raws, strict=True):
-            ids, at = [], n
-            while at:
-                start, p = came[at], taken[at]
-                if p >= 0:
-                    ids.append(p)
-                else:
-                    ids += raw[start:at][::-1]
-                at = start
-            ids.reverse()
-            out.append(array("i", ids).tobytes())
-        return out
+            ends = e[i:j]
+            heads = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+            sums = best[s[i:j]] + score[i:j]
+            top = np.maximum.reduceat(sums, heads)
+            equal = np.flatnonzero(sums == np.repeat(top, np.diff(np.append(heads, j - i))))
+            took = i + equal[np.searchsorted(equal, heads)]
+            best[ends[heads]], back[ends[heads]], via[ends[heads]] = top, s[took], ids[took]
+        return back, via
+
+    def _one_by_one(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for few, long units: edge by edge and window by window, in time linear in the text."""
+        n, reach = len(codes), self.reach
+        best, back, via = [-math.inf] * n, np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        for i in begin.tolist():
+            best[i] = 0.0
+        for w in range(0, n, CHUNK):
+            s, e, ids = self._edges(np.append(codes[w : w + CHUNK + reach], _END))
+            order = np.lexsort((e, s))
+            order = order[s[order] < CHUNK]
+            s, e, ids = s[order] + w, e[order] + w, ids[order]
+            score = np.where(ids >= 0, self.v.scores[ids], self.v.fallback)
+            took: dict[int, int] = {}
+            for k, (i, j, x) in enumerate(zip(s.tolist(), e.tolist(), score.tolist(), strict=True)):
+                if (total := best[i] + x) > best[j]:
+                    best[j], took[j] = total, k
+            at, last = np.fromiter(took, np.int64, len(took)), np.fromiter(took.values(), np.int64, len(took))
+            back[at], via[at] = s[last], ids[last]
+        return back, via
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE:
@@ -226,11 +279,18 @@ class Segmenter:
                 split.append([u[1:] if u[1:2] != " " else u for u in re.findall(" +[^ ]*", " " + t)])
             else:
                 split.append(t.split(" "))
-        new = list(set().union(*split) - self.known.keys())
+        new = set().union(*split).difference(self.known)
+        plain = [u for u in new if len(u) <= WIDE and u[:1] != " "]
+        for i in range(0, len(plain), MANY):
+            part = plain[i : i + MANY]
+            raw = (" " + " ".join(part)).encode("utf-8", "replace").replace(b" ", MARK)
+            starts = np.flatnonzero(np.frombuffer(raw, np.uint8) == MARK[0])
+            self.known.update(zip(part, self._segment(raw, np.diff(np.append(starts, len(raw))), self._side_by_side), strict=True))
+        rest = new.difference(plain)
         spell = lambda u: (u if u[:1] == " " else " " + u).encode("utf-8", "replace").replace(b" ", MARK)
-        long: dict[str, bytes] = {}
-        for u, ids in zip(new, self.units([spell(u) for u in new]), strict=True):
-            (self.known if len(u) <= WIDE else long)[u] = ids
+        spaced = [u for u in rest if len(u) <= WIDE]
+        self.known.update(zip(spaced, self.units([spell(u) for u in spaced]), strict=True))
+        long = {u: self._segment(raw := spell(u), np.array([len(raw)]), self._one_by_one)[0] for u in rest.difference(spaced)}
         get = self.known if not long else {**self.known, **long}
         return [b"".join(map(get.__getitem__, parts)) for parts in split]
 
