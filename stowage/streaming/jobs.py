@@ -2,44 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
+from stowage.functions.keys import shard_paths
 from stowage.operators.inventory import upsert, write_inventory
 from stowage.operators.spec import TableSpec
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether path holds any data file; errors of the file system are errors."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return False
+    found = files.listFiles(hadoop, True)
+    while found.hasNext():
+        if found.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def _stored(batch: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except AnalysisException:  # nothing stored yet
-        return None
+    """What is stored at path, with the columns of all its files; None before anything is."""
+    spark = batch.sparkSession
+    return spark.read.option("mergeSchema", "true").parquet(path) if is_stored(spark, path) else None
+
+
+def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns of `like`, null where it has none."""
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields))
 
 
 def stream_upsert(stream: DataFrame, path: str, spec: TableSpec, checkpoint: str, order_by: list[str], after: list[Callable[[DataFrame, int], None]] = ()) -> StreamingQuery:
     """Upserts each micro-batch into the inventory at path, then calls the steps in `after` on the same batch.
 
     Only the repositories that a batch touches are rewritten. A batch that is
-    run again after a failure changes nothing, since the upsert is by key.
+    run again after a failure changes nothing, since the upsert is by key. A
+    column that only the batch or only the store has is null in the other's
+    rows. What is rewritten is first written beside the inventory, so no row is
+    read from a folder that is being replaced.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            held = _stored(batch, path)
-            if held is not None:
-                touched = batch.select("repo_uuid").distinct()
-                held = held.join(touched, "repo_uuid", "left_semi").select(*batch.columns) if set(batch.columns) <= set(held.columns) else None
-            new = upsert(held, batch, spec, order_by).checkpoint() if held is not None else upsert(None, batch, spec, order_by)
-            write_inventory(new, path)
-            for step in after:
-                step(batch, batch_id)
-        finally:
-            batch.unpersist()
+        spark, held = batch.sparkSession, _stored(batch, path)
+        new = batch
+        if held is not None:
+            touched = batch.select("repo_uuid").distinct()
+            held = held.join(touched, "repo_uuid", "left_semi")
+            every = held.limit(0).unionByName(batch.limit(0), allowMissingColumns=True)
+            held, new = _padded(held, every), _padded(batch, every)
+        beside = f"{checkpoint.rstrip('/')}-rows/{batch_id}-{uuid.uuid4().hex}"
+        upsert(held, new, spec, order_by).write.parquet(beside)
+        write_inventory(spark.read.parquet(beside), path)
+        for step in after:
+            step(batch, batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,12 +71,20 @@ def stream_stats(stream: DataFrame) -> DataFrame:
 
 
 def stream_insert_missing(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Adds the content of keys that the store at path lacks, each once. The store itself is the state, so nothing grows in the stream."""
+    """Adds the content of keys that the store at path lacks, each once; rows without a key are left out.
+
+    The store itself is the state, so nothing grows in the stream. It lies in
+    folders by the first part of a key's storage path, and a batch is compared
+    with the folders that its keys are in.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
-        fresh, held = batch.dropDuplicates(["file_key"]), _stored(batch, path)
+        fresh = shard_paths(batch.where("file_key is not null").dropDuplicates(["file_key"])).select(*batch.columns, "p1")
+        held = _stored(batch, path)
         if held is not None:
-            fresh = fresh.join(held.select("file_key"), "file_key", "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(path)
+            parts = [r["p1"] for r in fresh.select("p1").distinct().collect()]  # 4,096 at most
+            held = held.where(F.col("p1").isin(parts)).select("file_key")
+            fresh = fresh.join(held, "file_key", "left_anti").select(*batch.columns, "p1")
+        fresh.write.mode("append").partitionBy("p1").parquet(path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
