@@ -149,14 +149,20 @@ def flag_known(meta: DataFrame, inv: DataFrame, spec: TableSpec, repo_uuid: str)
     return meta.join(held, list(spec.keys), "left")
 
 
-def import_crawl(posts: DataFrame, files: DataFrame, repo_uuid: str) -> tuple[dict[str, DataFrame], DataFrame]:
+def import_crawl(posts: DataFrame, files: DataFrame, repo_uuid: str, inv: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Rows of submissions and metadata, and content, of crawled records.
 
     posts: category, subcategory, json; files: the same with file_key of the
-    downloaded file. Unsupported records are left out (see check_source).
+    downloaded file. Unsupported records are left out (see check_source), and
+    so are files, with their metadata, whose submission the inventory inv
+    (submissions of all repositories) already has in this repository.
     """
     good = lambda df: parsed(check_source(df, on_error="rejects").where("error is null").drop("error"))
     post, file = reshape(good(posts), "post"), reshape(good(files), "file")
+    if inv is not None:
+        spec = CRAWL.table("submissions")
+        asked = submission_keys(file).select("*", "submission_key.*")
+        file = flag_known(asked, inv, spec, repo_uuid).where("_skip is null").select(*file.columns)
     held = submission_keys(file).select(F.lit(repo_uuid).alias("repo_uuid"), "submission_key.*", "file_key")
     described = metadata_content(post_keys(post).where("post_key is not null")).select("post_key.*", "file_key", "content")
     of_files = metadata_content(file_metadata_keys(file.drop("file_key")).where("file_metadata_key is not null")).select("file_metadata_key.*", "file_key", "content")

@@ -78,10 +78,18 @@ def diff_keys(frm: DataFrame, to: DataFrame, spec: TableSpec, base: DataFrame |
     """Rows that `to` must get to hold what merging `frm` into it gives: file column and keys. limit takes the first by key.
 
     These are the rows of one merge whose content comes from `frm`, so nothing is joined a second time.
+    Conditions on key columns are met before the merge, in each table's scan; those on the content after it.
     """
-    status = merge_status(base, to, frm, spec)
     if on_conflict == "error":
-        _refuse(status)
-    change = status.where("status = 'take_right' and right is not null")
-    rows = filter_rows(change.select(F.col("right").alias(spec.file_column), *spec.keys), list(where))
+        _refuse(merge_status(base, to, frm, spec))
+    on_keys, rest = key_conditions(spec, where)
+    frm, to, base = (t if t is None else filter_rows(t, on_keys) for t in (frm, to, base))
+    change = merge_status(base, to, frm, spec).where("status = 'take_right' and right is not null")
+    rows = filter_rows(change.select(F.col("right").alias(spec.file_column), *spec.keys), rest)
     return rows if limit is None else rows.orderBy(*spec.keys).limit(limit)
+
+
+def key_conditions(spec: TableSpec, where: list[str] = ()) -> tuple[list[str], list[str]]:
+    """The conditions on key columns, and the others."""
+    on_keys = [w for w in where if w.partition("=")[0] in spec.keys]
+    return on_keys, [w for w in where if w not in on_keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.operators.spec import TableSpec
@@ -38,10 +38,6 @@ def read_rows(inv: DataFrame, spec: TableSpec, repo_uuid: str, where: list[str]
     return filter_rows(of_repo(inv, repo_uuid), list(where)).select(*spec.columns)
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
-    return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def has_rows(keys: DataFrame, inv: DataFrame, spec: TableSpec, repo_uuid: str) -> DataFrame:
     """keys (the leading key columns or all) with has_row."""
     names = [k for k in spec.keys if k in keys.columns]
@@ -74,8 +70,11 @@ def upsert(inv: DataFrame | None, new: DataFrame, spec: TableSpec, order_by: lis
 
 
 def write_inventory(inv: DataFrame, path: str) -> None:
-    """Replaces the folders of the repositories that inv has rows of; others stay. inv must not be read from path."""
-    inv.repartition("repo_uuid", *[c for c in inv.columns if c != "repo_uuid"][:1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_uuid").parquet(path)
+    """Replaces the folders of the repositories that inv has rows of; others stay. inv must not be read from path.
+
+    Rows are dealt by all their columns into ranges, so a large repository or source is many files and a small one few.
+    """
+    inv.repartitionByRange("repo_uuid", *[c for c in inv.columns if c != "repo_uuid"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_uuid").parquet(path)
 
 
 def read_inventory(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -88,8 +87,3 @@ def fingerprint(inv: DataFrame, spec: TableSpec, by: list[str] = ()) -> DataFram
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in spec.columns]
     row = F.conv(F.substring(F.md5(F.concat_ws("|", *fields).cast("binary")), 1, 15), 16, 10).cast("bigint")
     return inv.groupBy(*by).agg(F.count("*").alias("n_rows"), F.bit_xor(row).alias("print"))
-
-
-def last_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.operators.diff import conflicts, diff_keys
+from stowage.operators.diff import conflicts, diff_keys, key_conditions
 from stowage.operators.inventory import filter_rows, upsert
 from stowage.operators.spec import DatasetSpec, TableSpec
 from stowage.operators.stores import MissingContent, insert_missing
@@ -31,7 +31,9 @@ def move_plan(frm: DataFrame, to: DataFrame, src: DataFrame, dst: DataFrame, spe
     status = F.when(F.col("in_dst"), "record_only").when(F.col("in_src"), "copy").otherwise(absent)
     plan = presence_status(rows, src, dst).select("file_key", *spec.keys, status.alias("status"))
     if on_conflict == "report":
-        bad = filter_rows(conflicts(base, to, frm, spec).select(F.col("right").alias("file_key"), *spec.keys), list(where))
+        on_keys, rest = key_conditions(spec, where)
+        sides = (t if t is None else filter_rows(t, on_keys) for t in (base, to, frm))
+        bad = filter_rows(conflicts(*sides, spec).select(F.col("right").alias(spec.file_column), *spec.keys), rest).withColumnRenamed(spec.file_column, "file_key")
         plan = plan.union(bad.withColumn("status", F.lit("conflict")))
     return plan
 

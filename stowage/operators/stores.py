@@ -73,14 +73,15 @@ def layered_exists(keys: DataFrame, stores: list[DataFrame]) -> DataFrame:
     return keys.join(held, "file_key", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-def possibly_exists(keys: DataFrame, stores: list[DataFrame], exact: list[bool], buckets: int = 1 << 16) -> DataFrame:
+def possibly_exists(keys: DataFrame, stores: list[DataFrame], exact: list[bool], digits: int = 4) -> DataFrame:
     """keys with answer yes, maybe or no: that of the first layer that does not say no.
 
     An exact layer says yes or no; another one says maybe for every key whose
-    hash bucket holds some key of it, and never a false no.
+    hash bucket (the first digits of its md5) holds some key of it, and never a
+    false no.
     """
     out, answers = keys, []
-    bucket = F.pmod(F.xxhash64("file_key"), F.lit(buckets))
+    bucket = F.substring(F.md5(F.col("file_key").cast("binary")), 1, digits)
     for i, (store, sure) in enumerate(zip(stores, exact, strict=True)):
         name = f"_a{i}"
         if sure:

@@ -9,7 +9,7 @@ from stowage.operators import crawl, diff, importing, inventory, move, stores
 from stowage.operators.spec import DatasetSpec, TableSpec
 from stowage.plans.fixtures import CATEGORIES, LINES, ORDERS, REPOS, SPEC, UUID, content, crawled, keyed, listing, order_versions, presence, repos, table, work_folder
 from stowage.plans.fixtures import inventory as rows_of
-from stowage.sources.files import relative_to
+from stowage.sources.files import relative_to, scan_files, stream_files
 from stowage.streaming.jobs import stream_insert_missing, stream_stats, stream_upsert
 
 QUERIES: dict = {}
@@ -175,6 +175,22 @@ def merge_tables(spark, sf_dir):
     return diff.merge_status(*order_versions(spark, sf_dir), ORDERS)
 
 
+@query(f"WITH {_MERGE} SELECT o_orderkey, CASE status WHEN 'take_right' THEN r ELSE l END AS o_orderstatus FROM m WHERE status <> 'conflict' AND CASE status WHEN 'take_right' THEN r ELSE l END IS NOT NULL")
+def merged_rows(spark, sf_dir):
+    return diff.merge_tables(*order_versions(spark, sf_dir), ORDERS, "report")[0]
+
+
+@query(f"WITH {_MERGE} SELECT count(*) > 0 AS aborted FROM m WHERE status = 'conflict'")
+def merge_abort(spark, sf_dir):
+    """Whether a merge that must not meet conflicts is refused."""
+    try:
+        diff.merge_tables(*order_versions(spark, sf_dir), ORDERS)
+        aborted = False
+    except diff.MergeConflict:
+        aborted = True
+    return table(spark, sf_dir, "orders").limit(1).select(F.lit(aborted).alias("aborted"))
+
+
 @query(f"WITH {_MERGE} SELECT o_orderkey, base, l AS \"left\", r AS \"right\" FROM m WHERE status = 'conflict'")
 def merge_conflicts(spark, sf_dir):
     return diff.conflicts(*order_versions(spark, sf_dir), ORDERS)
@@ -278,7 +294,7 @@ def layered_exists(spark, sf_dir):
     return stores.layered_exists(asked, [presence(spark, sf_dir, r) for r in "bc"]).select("doc_id", "exists")
 
 
-@query()
+@query(_WITH + "SELECT k.doc_id, CASE WHEN k.file_key IN (SELECT file_key FROM b) THEN 'yes' WHEN left(md5(k.file_key), 4) IN (SELECT left(md5(file_key), 4) FROM c) THEN 'maybe' ELSE 'no' END AS answer FROM k")
 def possibly_exists(spark, sf_dir):
     asked = keyed(spark, sf_dir, "all").select("doc_id", "file_key")
     return stores.possibly_exists(asked, [presence(spark, sf_dir, r) for r in "bc"], [True, False]).select("doc_id", "answer")
@@ -314,6 +330,40 @@ def import_records(spark, sf_dir):
     return stores.import_records(table(spark, sf_dir, "documents"), "text", "lang", SPEC, A)[0]
 
 
+# Files
+
+
+def _files(spark, sf_dir):
+    """A folder with a text file for each page and task, written by Spark."""
+    path = work_folder(spark)
+    pages = table(spark, sf_dir, "pages").select(F.concat_ws(" ", F.col("page_id").cast("string"), F.md5(F.col("html").cast("binary"))).alias("value"), (F.col("page_id") % 7).alias("part"))
+    pages.repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+def _lines(files):
+    """The lines of files and their folder."""
+    line = F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")
+    rows = files.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("int").alias("part"), (F.octet_length("content") == F.col("size")).alias("whole"), line).where("line <> ''")
+    return rows.select("part", "whole", F.split("line", " ")[0].cast("bigint").alias("page_id"), F.split("line", " ")[1].alias("digest"))
+
+
+_FILES = "SELECT (page_id % 7)::INT AS part, true AS whole, page_id, md5(html) AS digest FROM pages"
+
+
+@query(_FILES)
+def scanned_files(spark, sf_dir):
+    return _lines(scan_files(spark, [_files(spark, sf_dir)]))
+
+
+@query(_FILES)
+def streamed_files(spark, sf_dir):
+    path, out = _files(spark, sf_dir), work_folder(spark)
+    stream = _lines(stream_files(spark, path, 3))
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 # Imports
 
 
@@ -427,11 +477,35 @@ def flag_known(spark, sf_dir):
     return crawl.flag_known(table(spark, sf_dir, "orders").select("o_orderkey"), inv, ORDERS, A)
 
 
-@query(f"""WITH {_J}, t AS (SELECT *, {_CONTENT} AS content FROM j WHERE subcategory <> 'journal' AND category NOT IN ('itaku', 'pixiv'))
-SELECT '{A}' AS repo_uuid, CASE category WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' ELSE 'weasyl.com' END AS source, o_orderkey AS id, day AS updated, {_key('content', "'json'")} AS file_key FROM t""")
+def _source(itaku: str) -> str:
+    return f"CASE category WHEN 'itaku' THEN '{itaku}' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END"
+
+
+def _crawled_sql(files: str = "") -> str:
+    """Metadata rows of all sources; files: a further condition on the files' records."""
+    of_file = """CASE WHEN subcategory = 'post' AND category = 'itaku' THEN '{"date_added":"' || day || '","extension":"png","id":' || o_orderkey || '}' || chr(10) ELSE content END"""
+    return f"""WITH {_J}, t AS (SELECT *, {_CONTENT} AS content FROM j WHERE subcategory <> 'journal'),
+p AS (SELECT {_source('itaku.ee')} AS source, o_orderkey AS id, day AS updated, content FROM t WHERE category <> 'itaku' OR subcategory = 'post'),
+f AS (SELECT {_source('itaku.ee/images')} AS source, o_orderkey AS id, day AS updated, {of_file} AS content FROM t WHERE category IN ('itaku', 'pixiv'){files})
+SELECT '{A}' AS repo_uuid, source, id, updated, {_key('content', "'json'")} AS file_key FROM (SELECT * FROM p UNION ALL SELECT * FROM f)"""
+
+
+@query(_crawled_sql())
 def import_crawl(spark, sf_dir):
-    rows, _ = crawl.import_crawl(*_records(spark, sf_dir), A)
-    return rows["metadata"].where("source not like 'itaku%' and source <> 'pixiv.net'")
+    return crawl.import_crawl(*_records(spark, sf_dir), A)[0]["metadata"]
+
+
+def _held(spark, sf_dir):
+    """An inventory of submissions that has every third order, and others under another repository."""
+    _, files = _records(spark, sf_dir)
+    rows = crawl.import_crawl(files, files, A)[0]["submissions"]
+    return rows.where("id % 3 = 0").union(rows.where("id % 3 = 1").withColumn("repo_uuid", F.lit(B)))
+
+
+@query(_crawled_sql(" AND o_orderkey % 3 <> 0"))
+def import_crawl_again(spark, sf_dir):
+    """Metadata where some submissions are held already."""
+    return crawl.import_crawl(*_records(spark, sf_dir), A, _held(spark, sf_dir))[0]["metadata"]
 
 
 _RECORD = """'{"id":' || o_orderkey || ',"submitid":' || o_orderkey || ',"num":2,"date":"' || day || '","date_updated":"' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE day END || '","date_added":"' || day
@@ -439,11 +513,19 @@ _RECORD = """'{"id":' || o_orderkey || ',"submitid":' || o_orderkey || ',"num":2
 || ',"date_added":"' || day || '","num_likes":1,"extension":"png"}}'"""
 
 
-@query(f"""WITH {_J}, t AS (SELECT *, {_RECORD} AS content FROM j WHERE subcategory <> 'journal')
-SELECT '{A}' AS repo_uuid, CASE category WHEN 'itaku' THEN 'itaku.ee/images' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END AS source, o_orderkey AS id, day AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part, {_key('content', "'png'")} AS file_key FROM t""")
+def _submissions_sql(more: str = "") -> str:
+    return f"""WITH {_J}, t AS (SELECT *, {_RECORD} AS content FROM j WHERE subcategory <> 'journal'{more})
+SELECT '{A}' AS repo_uuid, {_source('itaku.ee/images')} AS source, o_orderkey AS id, day AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part, {_key('content', "'png'")} AS file_key FROM t"""
+
+
+@query(_submissions_sql())
 def import_crawl_submissions(spark, sf_dir):
-    rows, _ = crawl.import_crawl(*_records(spark, sf_dir), A)
-    return rows["submissions"]
+    return crawl.import_crawl(*_records(spark, sf_dir), A)[0]["submissions"]
+
+
+@query(_submissions_sql(" AND o_orderkey % 3 <> 0"))
+def import_crawl_new_submissions(spark, sf_dir):
+    return crawl.import_crawl(*_records(spark, sf_dir), A, _held(spark, sf_dir))[0]["submissions"]
 
 
 def _records(spark, sf_dir):
@@ -493,4 +575,4 @@ def stream_insert(spark, sf_dir):
     path = work_folder(spark)
     rows = K.content_keys(_stream(spark, sf_dir, "documents"), "text", "lang").select("file_key", F.col("text").alias("content"))
     stream_insert_missing(rows, f"{path}/content", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/content")
+    return spark.read.parquet(f"{path}/content").select("file_key", "content")
