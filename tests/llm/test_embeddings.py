@@ -42,3 +42,23 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors(empty).count() == 0
     assert near_vectors(spark.createDataFrame([(1, None), (1, None)], "vec_id long, embedding array<float>")).count() == 2
+
+
+def test_lengths_crowds_and_ties_in_one_partition(spark):
+    """Crowds of vectors of lengths 6, 7 and 10; tight groups within a wider one; a cosine of the threshold itself."""
+    rng = np.random.default_rng(9)
+    rows, want, at = [], set(), 0
+    for dim in (6, 7, 10):
+        centre = 4 * rng.standard_normal(dim)
+        middles = centre + 0.16 * np.linalg.norm(centre) / np.sqrt(dim) * rng.standard_normal((4, dim))
+        groups = [m + 0.004 * np.linalg.norm(m) * rng.standard_normal((12, dim)) for m in middles]
+        tie = np.zeros((2, dim))
+        tie[0, 0], tie[1, :2] = -20, (-19, np.sqrt(400 - 361))
+        x = np.round(np.vstack([*groups, rng.standard_normal((60, dim)), tie]), 4)
+        ids = list(range(at, at + len(x)))
+        want |= brute(ids, x)
+        rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+        at += len(x)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == want
+    assert {r["audited_recall"] >= 0.9 for r in got} == {True}

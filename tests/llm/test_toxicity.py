@@ -30,3 +30,38 @@ def test_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in score(docs, fit(docs, labels)).orderBy("doc_id").collect()] == [1, 1, 0, 0]
     assert score(docs.where("false"), fit(docs.where("false"), labels)).count() == 0
+
+
+def test_equal_tables_give_equal_models_and_places_are_those_of_the_text(spark):
+    rows = [(i, f"some shared words of a text here {'grumbix' if i % 3 == 0 else 'fine'} number {i % 40}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert fit(docs, labels) == fit(docs.repartition(7), labels.repartition(3))
+    text = "\u0130\u0130 fine, you idiot! " + "x" * 60
+    ((start, end, _),) = Scorer({"idiot": 5.0}).clauses(text)
+    assert text[start:end] == "you idiot"
+
+
+def test_scores_equal_enumerated_grammar():
+    """Each clause by plain rules: state of target, words since a negator, a reporter before."""
+    import itertools
+
+    from stowage.llm.toxicity import NEGATORS, REPORTERS, TARGETS, THREATS
+
+    scorer = Scorer({"idiot": 5.0})
+    for words in itertools.product(("you", "idiot", "kill", "not", "said", "plain"), repeat=4):
+        total, place, negated, reported = 0.0, "none", 0, False
+        for w in words:
+            factor = (0.4 if negated else 1.0) * (0.6 if reported else 1.0)
+            negated = 3 if w in NEGATORS else max(negated - 1, 0)
+            factor = factor / 0.4 if w in NEGATORS and factor in (0.4, 0.4 * 0.6) else factor
+            reported = reported or w in REPORTERS
+            if w == "idiot":
+                total += 5.0 * factor * (1.3 if place == "target" else 1.0)
+            elif w in THREATS:
+                total, place = total + (4.0 * 0 * factor), "threat" if place == "none" else place
+                total += 4.0 * factor if place == "target" else 0
+            elif w in TARGETS:
+                total, place = total + (4.0 * factor if place == "threat" else 0), "target"
+        got = scorer.features(" ".join(words))[0]
+        assert abs(got - total) < 1e-9, (words, got, total)
