@@ -98,7 +98,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.union(now.select("v", "u"))
-        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # repeats go below
         parts = lowest(large)
         small = parts.select(F.col("v").alias("u"), F.col("m").alias("v")).union(parts.select("u", "m")).where("u <> v").distinct()
         now = durable(small)
