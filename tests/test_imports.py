@@ -114,3 +114,20 @@ def test_streams(spark, tmp_path):
     stats = stream_stats(spark.readStream.schema(kind).parquet(str(source)).withColumn("size", F.col("n").cast("bigint")))
     stats.writeStream.format("memory").queryName("stats_seen").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.sql("select * from stats_seen").collect()} == {("u", 3, 5), ("v", 1, 1)}
+
+
+def test_a_batch_with_other_columns_loses_no_rows(spark, tmp_path):
+    spec, path, source = TableSpec("t", ("path",)), str(tmp_path / "inv"), tmp_path / "rows"
+    batches = [("n int", [("u", "a", "k1", 1), ("u", "b", "k2", 1)]), ("n int, more string", [("u", "c", "k3", 2, "x")]), ("n int", [("u", "b", "k4", 3)])]
+    for i, (extra, rows) in enumerate(batches):
+        kind = f"repo_uuid string, path string, file_key string, {extra}"
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{source}/{i}")
+        stream_upsert(spark.readStream.schema(kind).parquet(f"{source}/{i}"), path, spec, str(tmp_path / f"c{i}"), ["n"]).awaitTermination()
+    got = spark.read.parquet(path).select("path", "file_key", "n", "more").collect()
+    assert {tuple(r) for r in got} == {("a", "k1", 1, None), ("b", "k4", 3, None), ("c", "k3", 2, "x")}
+    twice = spark.createDataFrame([(None, "nobody"), ("k", "c"), ("k", "c")], "file_key string, content string")
+    twice.coalesce(1).write.parquet(f"{source}/keys")
+    for i in range(2):
+        stream = spark.readStream.schema(twice.schema).parquet(f"{source}/keys")
+        stream_insert_missing(stream, str(tmp_path / "content"), str(tmp_path / f"k{i}")).awaitTermination()
+    assert [r["file_key"] for r in spark.read.parquet(str(tmp_path / "content")).collect()] == ["k"]

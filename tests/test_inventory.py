@@ -157,3 +157,14 @@ def test_whereis(spark):
     assert {r["file_key"]: len(r["repos"]) for r in stores.whereis(keys, held, repos, "local").collect()} == {"k": 1, "r": 0, "none": 0}
     assert as_set(stores.stat_keys(keys, held, "1")) == {("k", 5, True), ("r", None, False), ("none", None, False)}
     assert as_set(stores.replica_counts(held)) == {("k", 2), ("r", 1)}
+
+
+def test_key_conditions_reach_the_scans(spark, tmp_path):
+    spec = TableSpec("t", ("source", "id"))
+    for name in "ab":
+        spark.createDataFrame([("s", 1, name), ("z", 2, name)], "source string, id long, file_key string").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "ab")
+    rows = diff.diff_keys(a, b.where("id > 1"), spec, where=["source=s", "file_key=a"], on_conflict="report")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(source,s)") == 2
+    assert as_set(rows) == {("a", "s", 1)}
