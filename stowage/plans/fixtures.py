@@ -26,7 +26,10 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder under the session's shared checkpoint folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stowage-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stowage-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
