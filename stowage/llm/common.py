@@ -8,14 +8,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes, so that word lists stay small.
 SLICE_BYTES = 2 << 20
 #: A hot node's edges are dealt to so many tasks.
 SALTS = 16
-#: Edges of a graph that one task reads at least.
+#: Edges of a graph that one task holds; more are dealt out.
 EDGES = 100_000
 
 
@@ -80,16 +80,25 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both directions are allowed. Returns node, root. Alternates the large-star
     and small-star steps until nothing changes: each step keeps at most one
     edge per input edge, minima are pre-aggregated before the shuffle, and the
-    edges of a hot node are dealt to SALTS tasks. Nothing is broadcast, so the
-    driver holds no part of the graph. Empty input gives no rows.
+    edges of a hot node are dealt to SALTS tasks. Up to EDGES edges, counted
+    before each step, are one part: minima are window functions there and
+    nothing is exchanged. Nothing is broadcast, so the driver holds no part of
+    the graph. Empty input gives no rows.
     """
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
     every = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))
 
-    def lowest(pairs: DataFrame) -> DataFrame:
+    def lowest(pairs: DataFrame, few: bool) -> DataFrame:
+        if few:
+            return pairs.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
         mins = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), every.alias("s"))
         return pairs.withColumn("s", salt("v")).join(mins.hint("merge"), ["u", "s"])
 
+    def edges_of(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        """u, v: these pairs of columns of each row, in one pass over df."""
+        each = F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs)))
+        return df.select(each.alias("e")).select("e.u", "e.v")
+
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -99,11 +108,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = now.coalesce(1 + seen[0] // EDGES)  # few edges in few files; more parts than there are stay
-        both = now.union(now.select("v", "u"))
-        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # repeats go below
-        parts = lowest(large)
-        small = parts.select(F.col("v").alias("u"), F.col("m").alias("v")).union(parts.select("u", "m")).where("u <> v").distinct()
+        few, now = seen[0] <= EDGES, now.coalesce(1 + seen[0] // EDGES)  # more parts than there are stay
+        large = lowest(edges_of(now, ("u", "v"), ("v", "u")), few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # repeats go below
+        small = edges_of(lowest(large, few), ("v", "m"), ("u", "m")).where("u <> v").distinct()
         now = durable(small)
         if (new := mark(now)) == seen:
             break
