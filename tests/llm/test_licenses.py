@@ -31,6 +31,37 @@ def test_every_template_and_edits():
     assert s.scan("released under the weather") == s.scan(None) == s.scan("") == []
 
 
+def test_whole_licenses_reworded():
+    s = Scanner(TEMPLATES)
+    bsd = TEMPLATES["BSD-3-Clause"].replace("copyright holder nor", "University of Somewhere nor").replace("COPYRIGHT HOLDERS AND", "REGENTS AND")
+    mit = TEMPLATES["MIT-text"].replace("the Software is furnished", "it is furnished").replace("AUTHORS OR COPYRIGHT HOLDERS", "X CONSORTIUM")
+    gpl = "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version."
+    for name, text in (("BSD-3-Clause", bsd), ("MIT-text", mit), ("GPL-2.0-or-later", gpl)):
+        got = s.scan(f"Copyright 1999 Someone\n\n * {text}\n\nint main;")
+        assert [g[0] for g in got] == [name] and 0.8 <= got[0][1] < 1
+    half = words(TEMPLATES["BSD-2-Clause"])
+    assert "BSD-2-Clause" not in [g[0] for g in s.scan(" ".join(half[: len(half) // 2]))]
+
+
+def test_candidates_are_those_of_a_full_alignment():
+    rnd = random.Random(4)
+    s = Scanner(TEMPLATES, 0.8)
+    for name, template in s.templates.items():
+        tokens = list(template)
+        for _ in range(len(tokens) // 20):
+            tokens[rnd.randrange(len(tokens))] = "other"
+        text = ["pad"] * rnd.randrange(9) + tokens + ["pad"] * rnd.randrange(9)
+        n = align(template, text, 0, len(text) + len(template))[0]
+        assert n >= 0.8 * len(template)
+        assert (name, n / len(template)) in [g[:2] for g in s.scan(" ".join(text))]
+
+
+def test_places_are_those_of_the_text():
+    text = "\u0130\u0130 Released under the MIT License."
+    ((name, _, start, end),) = Scanner(TEMPLATES).scan(text)
+    assert name == "MIT" and text[start:end] == "Released under the MIT License"
+
+
 def test_frame(spark):
     text = "w " * 30000 + "Licensed under CC BY-NC 4.0."
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "y"), (None, "Released under the MIT License.", "z"), (3, "plain", None)], "doc_id long, text string, license string")
