@@ -40,6 +40,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 20, 6
 #: Holders of a key that are all compared with each other; turns in which those of a key with more meet further pivots.
 BLOCK, TURNS = 16, 3
+#: Holders of a key that meet its pivots in one task, on average; those of a key with more are dealt to more tasks.
+SPLIT = 256
 _RANDOM = np.random.default_rng(SEED)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * 2 + 1).astype(np.uint32)
 _FLIP = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -199,12 +201,12 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
     it is there. Where that leaves a key's holders unconnected, all of them are
     compared up to BLOCK, and more of them with further pivots for as long as
     this connects any, TURNS turns at most. So a group costs its size, not its
-    square. Of a pair of similarity 0.8 in such a crowd of texts that are not
+    square, and is spread over tasks by that size. Of a pair of similarity 0.8 in such a crowd of texts that are not
     similar to each other, a link may be missed; in all else none of a key is.
     """
     sketches = sketches.where("n > 0")
     one = durable(sketches.groupBy("sid").agg(F.min("rid").alias("rid"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("most")))
-    same = sketches.select("sid", "fp").join(one.where("fp <> most").select("sid", F.col("fp").alias("v")), "sid").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+    same = sketches.select("sid", "fp").distinct().join(one.where("fp <> most").select("sid", F.col("fp").alias("v")), "sid").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
     keyed = sketches.select("rid", "bands").join(one.select("rid", "sid", "n", "fp"), "rid").select("rid", "sid", "n", "fp", F.posexplode("bands").alias("t", "band"))
     keyed = keyed.select("rid", "sid", "n", "fp", F.xxhash64("t", "band").alias("key"))
     many = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -226,8 +228,10 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
         other = F.struct("sid", "n", "root")
         mixed = F.xxhash64("sid", F.lit(turn))
         picks = [F.max_by(other, F.struct("meets", "sid")), F.min(other)] if turn == 0 else [F.max_by(other, mixed), F.min_by(other, mixed)]
-        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*picks).alias("ps")).where("lo <> hi").select("key", "ps")
-        met = rooted.select("key", "sid", "n", "root", "c").join(apart, "key")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*picks).alias("ps"), F.max("c").alias("c")).where("lo <> hi")
+        apart = apart.select("key", "ps", F.explode(F.sequence(F.lit(0), F.floor(F.col("c") / SPLIT))).alias("part"))  # one row more for each SPLIT holders
+        dealt = rooted.select("key", "sid", "n", "root", "c", F.pmod(F.xxhash64("sid"), 1 + F.floor(F.col("c") / SPLIT)).alias("part"))
+        met = dealt.join(apart, ["key", "part"])
         few = F.col("c") <= BLOCK if turn == 1 else F.lit(False)
         pairs = met.where(~few).select("sid", "n", "root", F.explode("ps").alias("p")).select("sid", "n", "root", F.col("p.sid").alias("o"), F.col("p.n").alias("m"), F.col("p.root").alias("oroot"))
         if turn == 1:

@@ -133,3 +133,22 @@ def test_rows_without_an_id_of_their_own(spark):
     assert kept.columns == ["doc_id", "text"]
     want = [(4, "held by an id too"), (5, "another text of that id"), (None, "lonely words of one text"), (None, "twin words are here now")]
     assert sorted((tuple(r) for r in kept.collect()), key=str) == want
+
+
+def test_holders_of_a_key_dealt_to_many_tasks(spark, monkeypatch):
+    """A crowd of copies is linked the same when its keys' holders meet the pivots in many tasks."""
+    rnd = random.Random(13)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(4000)]
+    hub = rnd.choices(vocabulary, k=300)
+    rows = [(1000, " ".join(hub)), (2000, " ".join(rnd.choices(vocabulary, k=300)))]
+    for c in range(60):
+        copy = list(hub)
+        for at in rnd.sample(range(10, 290, 10), 4):
+            copy[at] = f"new{c}x{at}"
+        rows.append((c, " ".join(copy)))
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string")
+    want = {i: 2000 if i == 2000 else 0 for i, _ in rows}
+    for split in (2, 256):
+        monkeypatch.setattr("stowage.llm.simhash.SPLIT", split)
+        got = near_duplicates(docs, similar=0.8).collect()
+        assert len(got) == len(rows) + 3 and {r["doc_id"]: r["component_id"] for r in got} == want
