@@ -1,6 +1,11 @@
 import hashlib
+import random
+import struct
 
-from stowage.llm.syncmers import fingerprints, likeness, matches, shown, syncmers
+import pytest
+import xxhash
+
+from stowage.llm.syncmers import fingerprints, likeness, matches, op6_syncmer_fingerprints, shown, syncmers
 from pyspark.sql import functions as F
 
 
@@ -51,3 +56,51 @@ def test_long_text(spark):
     text = " ".join(f"w{i}" for i in range(30000))
     row = fingerprints(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).select("n_chars", likeness("fp", "next_fp").alias("x"), shown("fp").alias("f")).first()
     assert (row["n_chars"], row["x"], len(row["f"]), len(hashlib.sha256(b"").hexdigest())) == (len(text), 1.0, 512, 64)
+
+
+def plain_fingerprint(text):
+    """The 64 least anchor hashes, by the definition."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def mixed(*longs):
+        seed = 42
+        for x in longs:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+        return signed(seed)
+
+    words = [signed(xxhash.xxh64_intdigest(w, 42)) for w in text.encode().split()]
+    if len(words) < 5:
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", w), seed)
+        return [signed(seed) >> 32] if words else []
+    inner = [mixed(a, b) for a, b in zip(words, words[1:])]
+    anchors = {mixed(*inner[i : i + 4]) >> 32 for i in range(len(words) - 4) if inner[i] == min(inner[i : i + 4]) or inner[i + 3] < min(inner[i : i + 3])}
+    return sorted(anchors)[:64]
+
+
+def plain_likeness(a, b):
+    union = sorted({*a, *b})[:64]
+    common = len(set(a) & set(b) & set(union))
+    return 2 * common / (len(union) + common) if union else 1.0
+
+
+def test_whole_query_equals_plain_python(spark, tmp_path):
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choices("abcdeéü", k=4)) for _ in range(300)]
+    texts = {i * 7: " ".join(rnd.choices(vocabulary, k=rnd.choice([0, 1, 3, 4, 5, 20, 150, 400]))) for i in range(60)}
+    texts |= {1: None, 2: "", 8: texts[7], 15: "x" * 3000, 16: "\t one\ntwo  three\r\x0b\x0cfour five six"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op6_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(texts, reverse=True)
+    assert sorted(got, reverse=True) == order
+    hexes = lambda f: "".join(f"{x & 0xFFFFFFFF:08X}" for x in f).lower()
+    for i, following in zip(order, [*order[1:], order[0]], strict=True):
+        text, after = texts[i] or "", texts[following] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, other = map(plain_fingerprint, (text, edited, after))
+        row = got[i]
+        assert (row["n_chars"], row["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (row["fingerprint"].lower(), row["edited_fingerprint"].lower()) == (hexes(own), hexes(changed))
+        assert (row["near_edited"], row["near_next"]) == (pytest.approx(plain_likeness(own, changed)), pytest.approx(plain_likeness(own, other)))
