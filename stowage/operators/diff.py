@@ -53,7 +53,7 @@ def conflicts(base: DataFrame | None, left: DataFrame, right: DataFrame, spec: T
     return merge_status(base, left, right, spec).where("status = 'conflict'").select(*spec.keys, "base", "left", "right")
 
 
-def _refuse(status: DataFrame) -> None:
+def refuse(status: DataFrame) -> None:
     """Raises if there is a conflict."""
     if first := status.where("status = 'conflict'").limit(1).collect():
         raise MergeConflict(f"for example {first[0].asDict()}")
@@ -64,7 +64,7 @@ def merge_tables(base: DataFrame | None, left: DataFrame, right: DataFrame, spec
     status = merge_status(base, left, right, spec)
     bad = status.where("status = 'conflict'").select(*spec.keys, "base", "left", "right")
     if on_conflict == "error":
-        _refuse(status)
+        refuse(status)
     rows = status.where("status <> 'conflict' and merged is not null").select(F.col("merged").alias(spec.file_column), *spec.keys)
     return rows, bad
 
@@ -81,7 +81,7 @@ def diff_keys(frm: DataFrame, to: DataFrame, spec: TableSpec, base: DataFrame |
     Conditions on key columns are met before the merge, in each table's scan; those on the content after it.
     """
     if on_conflict == "error":
-        _refuse(merge_status(base, to, frm, spec))
+        refuse(merge_status(base, to, frm, spec))
     on_keys, rest = key_conditions(spec, where)
     frm, to, base = (t if t is None else filter_rows(t, on_keys) for t in (frm, to, base))
     change = merge_status(base, to, frm, spec).where("status = 'take_right' and right is not null")

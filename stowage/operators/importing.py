@@ -75,18 +75,33 @@ def crawl_layout_rows(files: DataFrame, source: str) -> DataFrame:
     return df.withColumn("error", error).drop("_stem", "_kind")
 
 
+def _keyed(files: DataFrame, rows_fn: Callable[[DataFrame], DataFrame], skip: Column | None) -> DataFrame:
+    kept = skip_files(filter_extension(with_extension(files, "path")), skip)
+    return rows_fn(content_keys(kept, "content", "ext"))
+
+
 def import_files(files: DataFrame, rows_fn: Callable[[DataFrame], DataFrame], ds: DatasetSpec, repo_uuid: str, skip: Column | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Rows of each table, and content, of a listing with content.
 
     Long extensions and skipped files are left out, keys computed, rows routed
-    by rows_fn's column `table`, and rows without keys rejected. Write the
-    content first: then no row ever points at absent bytes.
+    by rows_fn's column `table`; import_rejects() has what no table gets.
+    Write the content first: then no row ever points at absent bytes.
     """
-    kept = skip_files(filter_extension(with_extension(files, "path")), skip)
-    keyed = rows_fn(content_keys(kept, "content", "ext"))
+    keyed = _keyed(files, rows_fn, skip)
     rows = {}
     for spec in ds.tables:
-        good, _ = require_keys(keyed.where(F.col("table") == spec.name), spec)
+        good = require_keys(keyed.where(F.col("table") == spec.name), spec)[0]
         named = good.select(F.lit(repo_uuid).alias("repo_uuid"), *spec.keys, F.col("file_key").alias(spec.file_column))
         rows[spec.name] = upsert(None, named, spec, [spec.file_column])
     return rows, keyed.select("file_key", "content").dropDuplicates(["file_key"])
+
+
+def import_rejects(files: DataFrame, rows_fn: Callable[[DataFrame], DataFrame], ds: DatasetSpec, skip: Column | None = None) -> DataFrame:
+    """path, table, file_key and reason of the files of a listing whose bytes are imported but that become a row of no table."""
+    keyed = _keyed(files, rows_fn, skip)
+    known = F.coalesce(F.col("table").isin([spec.name for spec in ds.tables]), F.lit(False))
+    out = keyed.where(~known).withColumn("reason", F.lit("no such table"))
+    for spec in ds.tables:
+        bad = require_keys(keyed.where(F.col("table") == spec.name), spec)[1]
+        out = out.union(bad.withColumn("reason", F.lit("no key")))
+    return out.select("path", "table", "file_key", "reason")

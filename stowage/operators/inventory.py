@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -82,8 +83,24 @@ def read_inventory(spark: SparkSession, path: str, schema: str | None = None) ->
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
+def row_print(spec: TableSpec) -> Column:
+    """60 bits of the hash of a row's file column and keys."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in spec.columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *fields).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def fingerprint(inv: DataFrame, spec: TableSpec, by: list[str] = ()) -> DataFrame:
     """n_rows and print: equal for tables with the same rows in any order. Added up inside tasks first."""
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in spec.columns]
-    row = F.conv(F.substring(F.md5(F.concat_ws("|", *fields).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return inv.groupBy(*by).agg(F.count("*").alias("n_rows"), F.bit_xor(row).alias("print"))
+    return inv.groupBy(*by).agg(F.count("*").alias("n_rows"), F.bit_xor(row_print(spec)).alias("print"))
+
+
+def write_bucketed(inv: DataFrame, spec: TableSpec, path: str, buckets: int) -> DataFrame:
+    """Stores rows of one repository in buckets by key, each one sorted file, and returns them as Spark reads them: joins by key of tables with as many buckets exchange nothing.
+
+    The table's name in the session's catalog is given up at once; its files stay at path.
+    """
+    spark, name = inv.sparkSession, f"stowage_{uuid.uuid4().hex}"
+    inv.repartition(buckets, *spec.keys).write.format("parquet").bucketBy(buckets, *spec.keys).sortBy(*spec.keys).option("path", path).saveAsTable(name)
+    rows = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return rows

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions.keys import content_keys, parse_keys, shard_paths
+from stowage.operators import bloom
+from stowage.operators.bloom import BloomFilter
 from stowage.operators.inventory import upsert
 from stowage.operators.spec import TableSpec
 
@@ -73,22 +75,20 @@ def layered_exists(keys: DataFrame, stores: list[DataFrame]) -> DataFrame:
     return keys.join(held, "file_key", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-def possibly_exists(keys: DataFrame, stores: list[DataFrame], exact: list[bool], digits: int = 4) -> DataFrame:
+def possibly_exists(keys: DataFrame, stores: list[DataFrame | BloomFilter], exact: list[bool], rate: float = 0.01) -> DataFrame:
     """keys with answer yes, maybe or no: that of the first layer that does not say no.
 
-    An exact layer says yes or no; another one says maybe for every key whose
-    hash bucket (the first digits of its md5) holds some key of it, and never a
-    false no.
+    An exact layer says yes or no. Another one, a store or a filter that was
+    built of it, says maybe for every key that it holds, and of those it lacks
+    for a share of `rate` (of a filter: its own rate). A null key is in no layer.
     """
     out, answers = keys, []
-    bucket = F.substring(F.md5(F.col("file_key").cast("binary")), 1, digits)
     for i, (store, sure) in enumerate(zip(stores, exact, strict=True)):
         name = f"_a{i}"
         if sure:
             out = out.join(store.select("file_key").distinct().withColumn(name, F.lit("yes")), "file_key", "left")
         else:
-            marks = store.select(bucket.alias("_b")).distinct().withColumn(name, F.lit("maybe"))  # a row for each bucket at most
-            out = out.withColumn("_b", bucket).join(marks, "_b", "left").drop("_b")
+            out = bloom.probe(out, store if isinstance(store, BloomFilter) else bloom.build(store, rate), name).withColumn(name, F.when(F.col(name), "maybe"))
         answers.append(name)
     return out.withColumn("answer", F.coalesce(*answers, F.lit("no"))).drop(*answers)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stowage.functions import keys as K
-from stowage.operators import crawl, diff, importing, inventory, move, stores
+from stowage.operators import bloom, crawl, diff, importing, inventory, move, stores
 from stowage.operators.spec import DatasetSpec, TableSpec
 from stowage.plans.fixtures import CATEGORIES, LINES, ORDERS, REPOS, SPEC, UUID, content, crawled, keyed, listing, order_versions, presence, repos, table, work_folder
 from stowage.plans.fixtures import inventory as rows_of
@@ -294,7 +294,16 @@ def layered_exists(spark, sf_dir):
     return stores.layered_exists(asked, [presence(spark, sf_dir, r) for r in "bc"]).select("doc_id", "exists")
 
 
-@query(_WITH + "SELECT k.doc_id, CASE WHEN k.file_key IN (SELECT file_key FROM b) THEN 'yes' WHEN left(md5(k.file_key), 4) IN (SELECT left(md5(file_key), 4) FROM c) THEN 'maybe' ELSE 'no' END AS answer FROM k")
+def bloom_sql(of: str, n: str, asked: str) -> str:
+    """Common tables of a filter of the keys in `of`, sized for n keys: `maybe` has those keys of `asked` that it may hold."""
+    per_key, hashes = bloom.sizing(0.01)
+    bits = f"SELECT DISTINCT file_key, ('0x' || substr(sha256(file_key), 1, 15))::BIGINT % blocks AS block, ('0x' || substr(sha256(file_key), (17 + 3 * i)::INT, 3))::BIGINT % {bloom.BITS} AS bit FROM {{}} q, size_of, range({hashes}) r(i)"
+    return f"""size_of AS (SELECT greatest(1, ceil({n} * {per_key} / {bloom.BITS}))::BIGINT AS blocks),
+held AS (SELECT DISTINCT block, bit FROM ({bits.format(of)})), asked_bits AS ({bits.format(asked)}),
+maybe AS (SELECT a.file_key FROM asked_bits a LEFT JOIN held h ON h.block = a.block AND h.bit = a.bit GROUP BY a.file_key HAVING bool_and(h.bit IS NOT NULL))"""
+
+
+@query(_WITH + ", " + bloom_sql("c", "(SELECT count(DISTINCT file_key) FROM c)", "k") + " SELECT k.doc_id, CASE WHEN k.file_key IN (SELECT file_key FROM b) THEN 'yes' WHEN k.file_key IN (SELECT file_key FROM maybe) THEN 'maybe' ELSE 'no' END AS answer FROM k")
 def possibly_exists(spark, sf_dir):
     asked = keyed(spark, sf_dir, "all").select("doc_id", "file_key")
     return stores.possibly_exists(asked, [presence(spark, sf_dir, r) for r in "bc"], [True, False]).select("doc_id", "answer")
@@ -401,9 +410,20 @@ def import_crawl_layout(spark, sf_dir):
     return rows["metadata"]
 
 
+@query(f"WITH {_CRAWL_LAYOUT} SELECT '{A}' AS repo_uuid, 'site' AS source, doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '0' ELSE '2020-01-02 03_04' END AS updated, 1 AS part, {_key('text', "'txt'")} AS file_key FROM p WHERE g = 'images'")
+def import_crawl_layout_submissions(spark, sf_dir):
+    rows, _ = importing.import_files(listing(spark, sf_dir, "layout"), lambda f: importing.crawl_layout_rows(f, "site"), crawl.CRAWL, A)
+    return rows["submissions"]
+
+
+@query(f"""WITH {_CRAWL_LAYOUT} SELECT 'root/' || g || '/a/b/' || doc_id || '_' || CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE '2020-01-02 03_04' END || '.txt' AS path, NULL::VARCHAR AS "table", {_key('text', "'txt'")} AS file_key, 'no such table' AS reason FROM p WHERE g = 'other'""")
+def import_crawl_layout_rejects(spark, sf_dir):
+    return importing.import_rejects(listing(spark, sf_dir, "layout"), lambda f: importing.crawl_layout_rows(f, "site"), crawl.CRAWL)
+
+
 # Crawled metadata
 
-_J = """j AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, ['itaku', 'furaffinity', 'ao3', 'pixiv', 'weasyl'][o_orderkey % 5 + 1] AS category,
+_J = """j AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS later, strftime(o_orderdate + INTERVAL 2 DAY, '%Y-%m-%d') AS added, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') AS of_file, ['itaku', 'furaffinity', 'ao3', 'pixiv', 'weasyl'][o_orderkey % 5 + 1] AS category,
 CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'post' ELSE 'image' END WHEN 1 THEN 'post' WHEN 2 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'tag' ELSE 'work' END WHEN 3 THEN 'artworks' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'journal' ELSE 'submission' END END AS subcategory FROM orders)"""
 _NAMES = "['_private', 'comments', 'date', 'date_added', 'date_updated', 'favorites', 'file', 'folders', 'id', 'num', 'num_likes', 'submitid', 'subcategory', 'title', 'total_view', 'user', 'views']"
 _GONE = "CASE category WHEN 'itaku' THEN ['num_likes'] WHEN 'furaffinity' THEN ['comments', 'favorites', 'views'] WHEN 'ao3' THEN ['comments', 'views'] WHEN 'pixiv' THEN ['total_view'] ELSE ['comments', 'favorites', 'views'] END"
@@ -436,29 +456,30 @@ def reshape(spark, sf_dir):
     return crawl.reshape(crawl.parsed(crawled(spark, sf_dir)), "file").select("o_orderkey", _names().alias("names"))
 
 
-_WHEN = "CASE WHEN category = 'ao3' AND o_orderkey % 6 <> 0 THEN day ELSE day END"
+_WHEN_POST = "CASE WHEN category = 'itaku' THEN added WHEN category = 'ao3' AND o_orderkey % 6 <> 0 THEN later ELSE day END"
+_WHEN_FILE = f"CASE WHEN category = 'itaku' AND subcategory = 'post' THEN of_file ELSE {_WHEN_POST} END"
 
 
-@query(f"WITH {_J} SELECT o_orderkey, CASE category WHEN 'itaku' THEN 'itaku.ee/images' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END AS source, o_orderkey AS id, {_WHEN} AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part FROM j")
+@query(f"WITH {_J} SELECT o_orderkey, CASE category WHEN 'itaku' THEN 'itaku.ee/images' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END AS source, o_orderkey AS id, {_WHEN_FILE} AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part FROM j")
 def submission_keys(spark, sf_dir):
     rows = crawl.submission_keys(crawl.reshape(crawl.parsed(crawled(spark, sf_dir)), "file"))
     return rows.select("o_orderkey", "submission_key.*")
 
 
-@query(f"WITH {_J} SELECT o_orderkey, CASE category WHEN 'itaku' THEN 'itaku.ee' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END AS source, o_orderkey AS id, {_WHEN} AS updated FROM j WHERE category <> 'itaku' OR subcategory = 'post'")
+@query(f"WITH {_J} SELECT o_orderkey, CASE category WHEN 'itaku' THEN 'itaku.ee' WHEN 'furaffinity' THEN 'furaffinity.net' WHEN 'ao3' THEN 'archiveofourown.org' WHEN 'pixiv' THEN 'pixiv.net' ELSE 'weasyl.com' END AS source, o_orderkey AS id, {_WHEN_POST} AS updated FROM j WHERE category <> 'itaku' OR subcategory = 'post'")
 def post_keys(spark, sf_dir):
     rows = crawl.post_keys(crawl.reshape(crawl.parsed(crawled(spark, sf_dir)), "post"))
     return rows.where("post_key is not null").select("o_orderkey", "post_key.*")
 
 
-@query(f"WITH {_J} SELECT o_orderkey, CASE category WHEN 'itaku' THEN 'itaku.ee/images' ELSE 'pixiv.net' END AS source, o_orderkey AS id, day AS updated FROM j WHERE category IN ('itaku', 'pixiv')")
+@query(f"WITH {_J} SELECT o_orderkey, CASE category WHEN 'itaku' THEN 'itaku.ee/images' ELSE 'pixiv.net' END AS source, o_orderkey AS id, {_WHEN_FILE} AS updated FROM j WHERE category IN ('itaku', 'pixiv')")
 def file_metadata_keys(spark, sf_dir):
     rows = crawl.file_metadata_keys(crawl.reshape(crawl.parsed(crawled(spark, sf_dir)), "file"))
     return rows.where("file_metadata_key is not null").select("o_orderkey", "file_metadata_key.*")
 
 
-_CONTENT = """'{' || CASE WHEN category IN ('itaku', 'pixiv') THEN '"comments":3,' ELSE '' END || '"date":"' || day || '","date_added":"' || day || '","date_updated":"' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE day END || '",'
-|| CASE WHEN category IN ('itaku', 'ao3', 'pixiv') THEN '"favorites":1,' ELSE '' END || '"file":{"date_added":"' || day || '","extension":"png","id":' || o_orderkey || ',"num_likes":1},"folders":'
+_CONTENT = """'{' || CASE WHEN category IN ('itaku', 'pixiv') THEN '"comments":3,' ELSE '' END || '"date":"' || day || '","date_added":"' || added || '","date_updated":"' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE later END || '",'
+|| CASE WHEN category IN ('itaku', 'ao3', 'pixiv') THEN '"favorites":1,' ELSE '' END || '"file":{"date_added":"' || of_file || '","extension":"png","id":' || o_orderkey || ',"num_likes":1},"folders":'
 || CASE WHEN category = 'itaku' THEN '[{"title":"f"},{"title":"g"}]' ELSE '[{"num_posts":4,"title":"f"},{"num_posts":5,"title":"g"}]' END || ',"id":' || o_orderkey || ',"num":2,'
 || CASE WHEN category <> 'itaku' THEN '"num_likes":5,' ELSE '' END || CASE WHEN category <> 'weasyl' THEN '"submitid":' || o_orderkey || ',' ELSE '' END || '"title":"t' || o_orderkey || '",'
 || CASE WHEN category <> 'pixiv' THEN '"total_view":9,' ELSE '' END || '"user":' || CASE WHEN category = 'pixiv' THEN '{"name":"u"}' ELSE '{"is_followed":false,"name":"u"}' END
@@ -483,10 +504,10 @@ def _source(itaku: str) -> str:
 
 def _crawled_sql(files: str = "") -> str:
     """Metadata rows of all sources; files: a further condition on the files' records."""
-    of_file = """CASE WHEN subcategory = 'post' AND category = 'itaku' THEN '{"date_added":"' || day || '","extension":"png","id":' || o_orderkey || '}' || chr(10) ELSE content END"""
+    of_file = """CASE WHEN subcategory = 'post' AND category = 'itaku' THEN '{"date_added":"' || of_file || '","extension":"png","id":' || o_orderkey || '}' || chr(10) ELSE content END"""
     return f"""WITH {_J}, t AS (SELECT *, {_CONTENT} AS content FROM j WHERE subcategory <> 'journal'),
-p AS (SELECT {_source('itaku.ee')} AS source, o_orderkey AS id, day AS updated, content FROM t WHERE category <> 'itaku' OR subcategory = 'post'),
-f AS (SELECT {_source('itaku.ee/images')} AS source, o_orderkey AS id, day AS updated, {of_file} AS content FROM t WHERE category IN ('itaku', 'pixiv'){files})
+p AS (SELECT {_source('itaku.ee')} AS source, o_orderkey AS id, {_WHEN_POST} AS updated, content FROM t WHERE category <> 'itaku' OR subcategory = 'post'),
+f AS (SELECT {_source('itaku.ee/images')} AS source, o_orderkey AS id, {_WHEN_FILE} AS updated, {of_file} AS content FROM t WHERE category IN ('itaku', 'pixiv'){files})
 SELECT '{A}' AS repo_uuid, source, id, updated, {_key('content', "'json'")} AS file_key FROM (SELECT * FROM p UNION ALL SELECT * FROM f)"""
 
 
@@ -508,14 +529,14 @@ def import_crawl_again(spark, sf_dir):
     return crawl.import_crawl(*_records(spark, sf_dir), A, _held(spark, sf_dir))[0]["metadata"]
 
 
-_RECORD = """'{"id":' || o_orderkey || ',"submitid":' || o_orderkey || ',"num":2,"date":"' || day || '","date_updated":"' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE day END || '","date_added":"' || day
+_RECORD = """'{"id":' || o_orderkey || ',"submitid":' || o_orderkey || ',"num":2,"date":"' || day || '","date_updated":"' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE later END || '","date_added":"' || added
 || '","title":"t' || o_orderkey || '","views":7,"comments":3,"num_likes":5,"total_view":9,"favorites":1,"_private":true,"subcategory":"' || subcategory || '","user":{"name":"u","is_followed":false},"folders":[{"title":"f","num_posts":4},{"title":"g","num_posts":5}],"file":{"id":' || o_orderkey
-|| ',"date_added":"' || day || '","num_likes":1,"extension":"png"}}'"""
+|| ',"date_added":"' || of_file || '","num_likes":1,"extension":"png"}}'"""
 
 
 def _submissions_sql(more: str = "") -> str:
     return f"""WITH {_J}, t AS (SELECT *, {_RECORD} AS content FROM j WHERE subcategory <> 'journal'{more})
-SELECT '{A}' AS repo_uuid, {_source('itaku.ee/images')} AS source, o_orderkey AS id, day AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part, {_key('content', "'png'")} AS file_key FROM t"""
+SELECT '{A}' AS repo_uuid, {_source('itaku.ee/images')} AS source, o_orderkey AS id, {_WHEN_FILE} AS updated, CASE WHEN category = 'pixiv' THEN 2 ELSE 1 END AS part, {_key('content', "'png'")} AS file_key FROM t"""
 
 
 @query(_submissions_sql())
@@ -576,3 +597,6 @@ def stream_insert(spark, sf_dir):
     rows = K.content_keys(_stream(spark, sf_dir, "documents"), "text", "lang").select("file_key", F.col("text").alias("content"))
     stream_insert_missing(rows, f"{path}/content", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/content").select("file_key", "content")
+
+
+from stowage.plans import stored as _stored  # noqa: E402, F401  registers the queries of stored inventories

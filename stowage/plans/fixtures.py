@@ -93,12 +93,12 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     pick = F.expr("element_at(array('itaku', 'furaffinity', 'ao3', 'pixiv', 'weasyl'), cast(o_orderkey % 5 as int) + 1)")
     sub = F.expr("case o_orderkey % 5 when 0 then if(o_orderkey % 2 = 0, 'post', 'image') when 1 then 'post' when 2 then if(o_orderkey % 4 = 0, 'tag', 'work') when 3 then 'artworks' else if(o_orderkey % 3 = 0, 'journal', 'submission') end")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    dated: Column = F.when(F.col("o_orderkey") % 6 == 0, "").otherwise(day)
+    day, updated, added, of_file = (F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd") for n in range(4))
+    dated: Column = F.when(F.col("o_orderkey") % 6 == 0, "").otherwise(updated)
     text = F.concat(
-        F.lit('{"id":'), k, F.lit(',"submitid":'), k, F.lit(',"num":2,"date":"'), day, F.lit('","date_updated":"'), dated, F.lit('","date_added":"'), day,
+        F.lit('{"id":'), k, F.lit(',"submitid":'), k, F.lit(',"num":2,"date":"'), day, F.lit('","date_updated":"'), dated, F.lit('","date_added":"'), added,
         F.lit('","title":"t'), k, F.lit('","views":7,"comments":3,"num_likes":5,"total_view":9,"favorites":1,"_private":true,"subcategory":"'), sub,
-        F.lit('","user":{"name":"u","is_followed":false},"folders":[{"title":"f","num_posts":4},{"title":"g","num_posts":5}],"file":{"id":'), k, F.lit(',"date_added":"'), day, F.lit('","num_likes":1,"extension":"png"}}'),
+        F.lit('","user":{"name":"u","is_followed":false},"folders":[{"title":"f","num_posts":4},{"title":"g","num_posts":5}],"file":{"id":'), k, F.lit(',"date_added":"'), of_file, F.lit('","num_likes":1,"extension":"png"}}'),
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", pick.alias("category"), sub.alias("subcategory"), text.alias("json"))
 
@@ -114,3 +114,14 @@ def listing(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     group = F.expr("element_at(array('images', 'image_metadata', 'posts', 'other'), cast(doc_id % 4 as int) + 1)")
     stamp = F.when(F.col("doc_id") % 3 == 0, "None").otherwise("2020-01-02 03_04")
     return docs.select(F.concat(F.lit("root/"), group, F.lit("/a/b/"), F.col("doc_id").cast("string"), F.lit("_"), stamp, F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+
+
+def versions_of_repo(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
+    """Rows of repository a, or of a copy in which a few are changed, gone or new."""
+    rows = inventory(spark, sf_dir, "a")
+    if not changed:
+        return rows
+    k = F.col("doc_id")
+    new = inventory(spark, sf_dir, "b").where(k % 119 == 0).withColumns({"repo_uuid": F.lit(UUID["a"]), "doc_id": k + 1_000_000_000})
+    other = F.when(k % 101 == 0, F.concat("file_key", F.lit("2"))).otherwise(F.col("file_key"))
+    return rows.where(k % 103 != 0).withColumn("file_key", other).union(new.select(*rows.columns))

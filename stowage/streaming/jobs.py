@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stowage.functions.keys import shard_paths
 from stowage.operators.inventory import upsert, write_inventory
+from stowage.operators.leaves import LeafStore, commit, nodes
 from stowage.operators.spec import TableSpec
+from stowage.sources import paths
 
 
 def is_stored(spark: SparkSession, path: str) -> bool:
@@ -38,17 +40,29 @@ def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields))
 
 
+def once(spark: SparkSession, ledger: str, label: str, work: Callable[[], object]) -> bool:
+    """Does the work unless the ledger, a folder, has the label, and then records it; whether it was done."""
+    if paths.exists(spark, f"{ledger}/{label}"):
+        return False
+    work()
+    paths.mark(spark, f"{ledger}/{label}")
+    return True
+
+
 def stream_upsert(stream: DataFrame, path: str, spec: TableSpec, checkpoint: str, order_by: list[str], after: list[Callable[[DataFrame, int], None]] = ()) -> StreamingQuery:
     """Upserts each micro-batch into the inventory at path, then calls the steps in `after` on the same batch.
 
-    Only the repositories that a batch touches are rewritten. A batch that is
-    run again after a failure changes nothing, since the upsert is by key. A
-    column that only the batch or only the store has is null in the other's
-    rows. What is rewritten is first written beside the inventory, so no row is
-    read from a folder that is being replaced.
+    Only the repositories that a batch touches are rewritten (stream_commit()
+    writes no more than what came). A column that only the batch or only the
+    store has is null in the other's rows. What is rewritten is first written
+    beside the inventory, so no row is read from a folder that is being
+    replaced. Which batch's rows and steps are done is recorded in the folder
+    `{checkpoint}-ledger`: a batch that is run again after a failure goes on
+    where it stopped. A step that fails before it is recorded is called again.
     """
+    beside_all, ledger = f"{checkpoint.rstrip('/')}-rows", f"{checkpoint.rstrip('/')}-ledger"
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def rows_of(batch: DataFrame, batch_id: int) -> None:
         spark, held = batch.sparkSession, _stored(batch, path)
         new = batch
         if held is not None:
@@ -56,17 +70,54 @@ def stream_upsert(stream: DataFrame, path: str, spec: TableSpec, checkpoint: str
             held = held.join(touched, "repo_uuid", "left_semi")
             every = held.limit(0).unionByName(batch.limit(0), allowMissingColumns=True)
             held, new = _padded(held, every), _padded(batch, every)
-        beside = f"{checkpoint.rstrip('/')}-rows/{batch_id}-{uuid.uuid4().hex}"
+        beside = f"{beside_all}/{batch_id}-{uuid.uuid4().hex}"
         upsert(held, new, spec, order_by).write.parquet(beside)
         write_inventory(spark.read.parquet(beside), path)
-        for step in after:
-            step(batch, batch_id)
+        paths.delete(spark, beside)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        once(batch.sparkSession, ledger, f"{batch_id}.rows", lambda: rows_of(batch, batch_id))
+        _steps(batch, batch_id, after, ledger)
+
+    return _started(stream, apply, checkpoint)
+
+
+def _steps(batch: DataFrame, batch_id: int, after: list[Callable[[DataFrame, int], None]], ledger: str) -> None:
+    for i, step in enumerate(after):
+        once(batch.sparkSession, ledger, f"{batch_id}.step{i}", lambda step=step: step(batch, batch_id))
+
 
+def _started(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_commit(stream: DataFrame, store: LeafStore, checkpoint: str, order_by: list[str] = (), after: list[Callable[[DataFrame, int], None]] = (), name: str = "stream") -> StreamingQuery:
+    """Commits each micro-batch to the store, then calls the steps in `after` on the same batch.
+
+    A batch writes its own rows and no others, to the leaves of its keys, and
+    the change of the tree above them; the state of a key is its stored row, so
+    one that comes again, changes or goes (gone = true) changes counts and sums
+    by what it changes. The commit's label, `{name}.{batch}`, is recorded in the
+    same rename that makes its rows seen, so a batch that is run again is not
+    committed again; its steps are recorded one by one in `{checkpoint}-ledger`.
+    Streams into one store have different names.
+    """
+    ledger = f"{checkpoint.rstrip('/')}-ledger"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        commit(store, batch, order_by, f"{name}.{batch_id}")
+        _steps(batch, batch_id, after, ledger)
+
+    return _started(stream, apply, checkpoint)
+
+
+def store_totals(store: LeafStore) -> DataFrame:
+    """The roots of the store's tree: n_files and the sums of each repository, as of its last commit. No row is read."""
+    return nodes(store, level=0).where("n_rows > 0").select("repo_uuid", F.col("n_rows").alias("n_files"), *store.sums)
+
+
 def stream_stats(stream: DataFrame) -> DataFrame:
-    """Running number of files and bytes by repository; use output mode complete or update."""
+    """Running number of files and bytes by repository of a stream that brings each file once; use output mode complete or update. See store_totals() where files come again or go."""
     return stream.groupBy("repo_uuid").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_bytes"))
 
 
@@ -87,4 +138,4 @@ def stream_insert_missing(stream: DataFrame, path: str, checkpoint: str) -> Stre
             fresh = fresh.join(held, "file_key", "left_anti").select(*batch.columns, "p1")
         fresh.write.mode("append").partitionBy("p1").parquet(path)
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(stream, apply, checkpoint)

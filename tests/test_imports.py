@@ -44,6 +44,15 @@ def test_crawl_layout(spark):
     assert [g[-1] for g in got[3:]] == ["unknown table", "invalid name", "unknown table"]
 
 
+def test_rejects_of_an_import_are_listed(spark):
+    files = spark.createDataFrame([("r/images/a/b/5_None.txt", "x"), ("r/other/a/b/6_None.txt", "y"), ("r/images/a/b/7_None.toolong", "z"), ("skip/images/a/b/8_None.txt", "w")], "path string, content string")
+    layout = lambda f: importing.crawl_layout_rows(f, "site")
+    bad = importing.import_rejects(files, layout, CRAWL, F.startswith("path", F.lit("skip"))).collect()
+    assert [(r["path"], r["reason"]) for r in bad] == [("r/other/a/b/6_None.txt", "no such table")]
+    keyless = lambda f: importing.directory_rows(f, "files").withColumn("path_key", F.lit(None).cast("string"))
+    assert {r["reason"] for r in importing.import_rejects(files.limit(1), keyless, FILES).collect()} == {"no key"}
+
+
 def test_records_and_rejects(spark):
     df = spark.createDataFrame([("p", "hello", "txt"), ("q", "hello", "txt"), (None, "x", "")], "path_key string, body string, ext string")
     rows, content = stores.import_records(df, "body", "ext", FILES.tables[0], "u")
