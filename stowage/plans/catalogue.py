@@ -342,7 +342,7 @@ def import_records(spark, sf_dir):
 # Files
 
 
-def _files(spark, sf_dir):
+def written_files(spark, sf_dir):
     """A folder with a text file for each page and task, written by Spark."""
     path = work_folder(spark)
     pages = table(spark, sf_dir, "pages").select(F.concat_ws(" ", F.col("page_id").cast("string"), F.md5(F.col("html").cast("binary"))).alias("value"), (F.col("page_id") % 7).alias("part"))
@@ -362,12 +362,12 @@ _FILES = "SELECT (page_id % 7)::INT AS part, true AS whole, page_id, md5(html) A
 
 @query(_FILES)
 def scanned_files(spark, sf_dir):
-    return _lines(scan_files(spark, [_files(spark, sf_dir)]))
+    return _lines(scan_files(spark, [written_files(spark, sf_dir)]))
 
 
 @query(_FILES)
 def streamed_files(spark, sf_dir):
-    path, out = _files(spark, sf_dir), work_folder(spark)
+    path, out = written_files(spark, sf_dir), work_folder(spark)
     stream = _lines(stream_files(spark, path, 3))
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")

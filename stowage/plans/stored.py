@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stowage.operators import bloom, diff, inventory, leaves, move
+from stowage.functions import keys
+from stowage.operators import bloom, diff, inventory, leaves, move, sketches
 from stowage.operators.leaves import LeafStore
 from stowage.operators.spec import TableSpec
-from stowage.plans.catalogue import _DIFF, _WITH, A, B, bloom_sql, query
+from stowage.plans.catalogue import _DIFF, _WITH, A, B, bloom_sql, query, written_files
 from stowage.plans.fixtures import LINES, SPEC, keyed, presence, table, versions_of_repo, work_folder
 from stowage.plans.fixtures import inventory as rows_of
+from stowage.sources.files import hash_files, scan_files
 from stowage.streaming.jobs import store_totals, stream_commit
 
 DOCUMENTS = "source string, doc_id bigint, file_key string"
@@ -104,8 +106,43 @@ def bloom_layers(spark, sf_dir):
         path = work_folder(spark)
         bloom.write(bloom.build(keyed(spark, sf_dir, r), 0.01, n), path)
         filters.append(bloom.read(spark, path))
-    keys = keyed(spark, sf_dir, "all").select("file_key")
-    return bloom.probe(keys.union(keys.select(F.concat("file_key", F.lit("?")))).distinct(), bloom.merge(filters))
+    asked = keyed(spark, sf_dir, "all").select("file_key")
+    return bloom.probe(asked.union(asked.select(F.concat("file_key", F.lit("?")))).distinct(), bloom.merge(filters))
+
+
+# Sketches
+
+
+def _sketched(spark, sf_dir):
+    """Sketches of two batches of each repository, merged."""
+    inv = rows_of(spark, sf_dir, "abc")
+    parts = (sketches.sketch_keys(inv.where(f"doc_id % 2 = {i} or doc_id % 3 = 1"), ["source", "doc_id"]) for i in (0, 1))
+    return sketches.merge_sketches(next(parts).union(next(parts)))
+
+
+@query(_WITH + ", n AS (SELECT count(*) AS n_all FROM (SELECT DISTINCT source, doc_id FROM inv)) SELECT repo_uuid, count(*)::BIGINT AS n_held, any_value(n_all)::BIGINT AS n_all, count(*) / any_value(n_all) AS share FROM (SELECT DISTINCT repo_uuid, source, doc_id FROM inv), n GROUP BY repo_uuid")
+def sketched_coverage(spark, sf_dir):
+    """As coverage, from sketches; exact up to 4,096 keys, then within their error."""
+    return sketches.approximate_coverage(_sketched(spark, sf_dir))
+
+
+@query(_WITH + ", r AS (SELECT DISTINCT repo_uuid AS u, source, doc_id FROM inv), u AS (SELECT DISTINCT u FROM r), p AS (SELECT x.u AS l, y.u AS r FROM u x JOIN u y ON x.u < y.u) SELECT p.l AS \"left\", p.r AS \"right\", (SELECT count(*) FROM r a JOIN r b ON a.source = b.source AND a.doc_id = b.doc_id WHERE a.u = p.l AND b.u = p.r) AS n_both, (SELECT count(*) FROM (SELECT DISTINCT source, doc_id FROM r WHERE u IN (p.l, p.r))) AS n_either FROM p")
+def sketched_shared(spark, sf_dir):
+    return sketches.approximate_shared(_sketched(spark, sf_dir))
+
+
+# Files
+
+
+@query("SELECT sum(strlen(line))::BIGINT AS total_bytes, count(DISTINCT p) AS n_parts, bool_and(true) AS same FROM (SELECT page_id % 7 AS p, page_id || ' ' || md5(html) || chr(10) AS line FROM pages)")
+def hashed_files(spark, sf_dir):
+    """Bytes and folders of all files, and whether each has the key that reading it whole gives."""
+    path = written_files(spark, sf_dir)
+    by_chunks = keys.content_keys_from_hash(hash_files(spark, [path]), "size", "sha256").withColumnRenamed("file_key", "chunked")
+    whole = keys.content_keys(scan_files(spark, [path]), "content").select("path", "file_key")
+    both = by_chunks.join(whole, "path", "full")
+    part = F.regexp_extract("path", "/part=([0-9]+)/", 1)
+    return both.agg(F.sum("size").alias("total_bytes"), F.countDistinct(part).alias("n_parts"), F.bool_and(F.col("chunked").eqNullSafe(F.col("file_key"))).alias("same"))
 
 
 # Streams

@@ -1,0 +1,44 @@
+import hashlib
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from stowage.operators import sketches, stores
+from stowage.operators.spec import TableSpec
+from stowage.sources import files
+
+
+def test_estimates_are_within_their_error(spark):
+    spec = TableSpec("t", ("id",))
+    inv = spark.range(60_000).select(F.explode(F.expr("filter(array(if(id % 2 = 0, 'a', null), if(id % 3 = 0, 'b', null), if(id < 2000, 'c', null)), x -> x is not null)")).alias("repo_uuid"), "id")
+    batches = [sketches.sketch_keys(inv.where(f"id % 4 = {i} or id % 5 = 0"), ["id"]) for i in range(4)]
+    merged = sketches.merge_sketches(batches[0].union(batches[1]).union(batches[2]).union(batches[3]).union(batches[3]))
+    exact = {r["repo_uuid"]: r for r in stores.coverage(inv, spec).collect()}
+    for r in sketches.approximate_coverage(merged).collect():
+        for c in ("n_held", "n_all"):
+            assert abs(r[c] / exact[r["repo_uuid"]][c] - 1) < 4 * sketches.error_of()
+        if r["repo_uuid"] == "c":
+            assert r["n_held"] == exact["c"]["n_held"]
+    held = {k: {x["id"] for x in inv.where(F.col("repo_uuid") == k).collect()} for k in "abc"}
+    for r in sketches.approximate_shared(merged).collect():
+        a, b = held[r["left"]], held[r["right"]]
+        assert abs(r["n_either"] / len(a | b) - 1) < 4 * sketches.error_of() and abs(r["n_both"] - len(a & b)) < 4 * sketches.error_of() * len(a | b)
+
+
+def test_no_rows(spark):
+    none = sketches.sketch_keys(spark.createDataFrame([], "repo_uuid string, id long"), ["id"])
+    assert sketches.approximate_coverage(sketches.merge_sketches(none)).count() == 0 and sketches.approximate_shared(none).count() == 0
+
+
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "empty").touch()
+    (tmp_path / "d" / "a b").write_bytes(b"x" * (files.CHUNK + 1))
+    with open(tmp_path / "d" / "large", "wb") as f:
+        f.truncate(3 << 30)
+    got = {os.path.basename(r["path"]).replace("%20", " "): (r["size"], r["sha256"]) for r in files.hash_files(spark, [str(tmp_path / "d")]).collect()}
+    zeros, digest = bytes(1 << 24), hashlib.sha256()
+    for _ in range(192):
+        digest.update(zeros)
+    assert got == {"empty": (0, hashlib.sha256().hexdigest()), "a b": (files.CHUNK + 1, hashlib.sha256(b"x" * (files.CHUNK + 1)).hexdigest()), "large": (3 << 30, digest.hexdigest())}
