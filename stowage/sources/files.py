@@ -17,7 +17,7 @@ CHUNK = 4 << 20
 
 
 def scan_files(spark: SparkSession, paths: list[str], with_content: bool = True) -> DataFrame:
-    """path, size and content of all files below the paths; a path that does not exist is an error. Each file is one value, so files near 2 GB do not fit; hash_files() takes them."""
+    """path, size and content of all files below the paths; a path that does not exist is an error, and empty files are skipped. Each file is one value, so files near 2 GB do not fit; hash_files() takes them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return files.select("path", F.col("length").alias("size"), *(["content"] if with_content else []))
 
@@ -49,7 +49,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hash_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, size and sha256 of all files below the paths, of any size.
+    """path, size and sha256 of all files below the paths, of any size; like scan_files() it leaves out empty ones, which Spark's readers skip.
 
     Spark lists the files and deals them to tasks; a task reads a file CHUNK
     bytes at a time and folds them into the hash, so memory doesn't grow with
