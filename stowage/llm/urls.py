@@ -101,7 +101,7 @@ tags AS (SELECT url, unnest([
   regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS t FROM pages),
 links AS (SELECT url AS a, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^.*?://[^/?#]*', 0, 's') || t WHEN contains(t, '://') THEN t END AS b
   FROM tags WHERE t <> ''),
-edges AS (SELECT DISTINCT regexp_extract(a, '^[^#]*', 0, 's') AS a, regexp_extract(b, '^[^#]*', 0, 's') AS b FROM links WHERE b IS NOT NULL),
+edges AS (SELECT DISTINCT translate(regexp_extract(a, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(a, length(regexp_extract(a, '^.*?://[^/?#]*', 0, 's')) + 1), '^[^#]*', 0, 's') AS a, translate(regexp_extract(b, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(b, length(regexp_extract(b, '^.*?://[^/?#]*', 0, 's')) + 1), '^[^#]*', 0, 's') AS b FROM links WHERE b IS NOT NULL),
 ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
 named AS (SELECT DISTINCT b AS url, coalesce(translate(regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -112,5 +112,5 @@ fits AS (SELECT p.host, p.path, r.rule, r.ruled, row_number() OVER (PARTITION BY
 best AS (SELECT host, path, rule, ruled FROM fits WHERE k = 1),
 carried AS (SELECT r.a AS url, min(b.ruled) AS verdict FROM reach r JOIN named n ON n.url = r.b JOIN best b ON b.host = n.host AND b.path = n.path GROUP BY r.a)
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.ruled, c.verdict, 'allow') AS verdict
-FROM placed p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN carried c ON c.url = regexp_extract(p.url, '^[^#]*', 0, 's')
+FROM placed p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN carried c ON c.url = translate(regexp_extract(p.url, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(p.url, length(regexp_extract(p.url, '^.*?://[^/?#]*', 0, 's')) + 1), '^[^#]*', 0, 's')
 """

@@ -1,4 +1,6 @@
-from stowage.llm.urls import RULES, judge
+import duckdb
+
+from stowage.llm.urls import OP2_SQL, RULES, judge, op2_url_filters
 
 PAGES = [
     (1, "http://a.NET/x", None), (2, "http://net", None), (3, "https://m.example.net/en/5?q#z", None), (4, "http://example.com/de/1", "<p>"),
@@ -39,3 +41,19 @@ def test_redirect_table_and_no_rows(spark):
     moved = spark.createDataFrame([("http://q.com/", "http://mid.com/"), ("http://mid.com/", "http://z.net/"), (None, "http://q.com/")], "u string, v string")
     assert judge(pages, rules, moved).first()["verdict"] == "block"
     assert judge(pages.where("false"), rules).count() == 0
+
+
+def test_query_and_its_sql_on_pages_with_edges(spark, tmp_path):
+    """Links to and from urls in any case, chains, fragments, refreshes: the engine and the SQL carry the same decisions."""
+    more = [(30, "http://ALIAS.com/c", '<link rel="canonical" href="http://EXAMPLE.com/de/9">'), (31, "http://alias.com/c#x", None), (32, "HTTP://alias.com/c", None), (33, "http://alias.com/C", None),
+            (34, "http://far.com/1", '<link rel=canonical href="HTTP://ALIAS.COM/c#frag">'), (35, "HTTP://Far.com/1", None), (36, "http://rel.com/a", "<link rel='canonical' href='/B'>"), (37, "HTTP://REL.com/B", '<meta http-equiv="refresh" content="1;url=//c.net/k">')]
+    rows = [(i, u, h) for i, u, h in PAGES if i is not None] + more
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(OP2_SQL)
+    names = [d[0] for d in found.description]
+    got = {tuple(r[c] for c in names) for r in op2_url_filters(spark, str(tmp_path)).collect()}
+    assert got == set(found.fetchall())
+    verdicts = {r[0]: r[names.index("verdict")] for r in got}
+    assert [verdicts[i] for i in (30, 31, 32, 33, 34, 35, 36, 37)] == ["block", "block", "block", "allow", "block", "block", "block", "block"]
