@@ -38,8 +38,12 @@ DENSE = 64
 SIMILAR = 0.8
 #: Keys by least hashes of a set, least hashes of a key.
 BANDS, ROWS = 20, 6
-#: Holders of a key that are all compared with each other; turns in which those of a key with more meet further pivots.
-BLOCK, TURNS = 16, 3
+#: Holders of a key that are all compared with each other.
+BLOCK = 16
+#: Rarest shingles, and shingles drawn from the rarest fifth, by which texts of a crowd meet.
+RAREST, DRAWN = 16, 16
+#: A shingle that is one in so many of a crowd's is joined by broadcast; there are no more such shingles than that.
+HOT = 1000
 #: Holders of a key that meet its pivots in one task, on average; those of a key with more are dealt to more tasks.
 SPLIT = 256
 _RANDOM = np.random.default_rng(SEED)
@@ -199,10 +203,10 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
     holders of a key are first compared with two of them, of which one is the
     holder that meets most others in all its keys: the text that was copied, if
     it is there. Where that leaves a key's holders unconnected, all of them are
-    compared up to BLOCK, and more of them with further pivots for as long as
-    this connects any, TURNS turns at most. So a group costs its size, not its
-    square, and is spread over tasks by that size. Of a pair of similarity 0.8 in such a crowd of texts that are not
-    similar to each other, a link may be missed; in all else none of a key is.
+    compared up to BLOCK, and more of them with two further pivots. Crowds that
+    still do not hold together, as texts that share a long boilerplate, then
+    meet by what is rare in the crowd (rare_pairs). So a group costs its size,
+    not its square, and is spread over tasks by that size.
     """
     sketches = sketches.where("n > 0")
     one = durable(sketches.groupBy("sid").agg(F.min("rid").alias("rid"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("most")))
@@ -218,13 +222,9 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
 
     fits = lambda a, b: (F.col(a) >= F.col(b) * similar - 1e-9) & (F.col(b) >= F.col(a) * similar - 1e-9)
     linked, rooted = near.union(same), held.withColumn("root", F.col("fp"))
-    for turn in range(TURNS):
+    for turn in range(2):
         if turn:
-            roots = durable(connected_components(linked))
-            linked = roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
-            rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        if turn > 1:
-            rooted = rooted.where(F.col("c") > BLOCK)
+            roots, linked, rooted = _joined(linked, held)
         other = F.struct("sid", "n", "root")
         mixed = F.xxhash64("sid", F.lit(turn))
         picks = [F.max_by(other, F.struct("meets", "sid")), F.min(other)] if turn == 0 else [F.max_by(other, mixed), F.min_by(other, mixed)]
@@ -245,7 +245,54 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
         if turn and found.isEmpty():
             return roots
         linked = linked.union(found)
-    return connected_components(linked)
+    roots, linked, rooted = _joined(linked, held.where(F.col("c") > BLOCK))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    crowd = durable(rooted.join(apart, "key", "left_semi").groupBy("rid", "sid", "n", "root").agg(F.max("c").alias("c")))
+    if crowd.isEmpty():
+        return roots
+    found = _verified(durable(rare_pairs(crowd, whole, similar).where(fits("n", "m")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()), whole, similar)
+    return roots if found.isEmpty() else connected_components(linked.union(found))
+
+
+def _joined(linked: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of the links, the same as links, and held with its root."""
+    roots = durable(connected_components(linked))
+    rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return roots, roots.select(F.col("root").alias("u"), F.col("node").alias("v")), rooted
+
+
+def rare_pairs(crowd: DataFrame, whole: DataFrame, similar: float) -> DataFrame:
+    """Candidates sid, n, o, m of different roots among texts that share much with many: those that also share something rare.
+
+    crowd: rid, sid, n, root and c, how many hold the text's most widespread
+    key. Two sets of that similarity share one of the rarest n - ceil(similar
+    n) + 1 shingles of each, so a text is represented by shingles among these
+    that another holds too, but no more than half as many as c (of a group that
+    is more than half of its crowd, a pivot is a member): the RAREST, and DRAWN
+    others, the same in all texts as far as they hold them. Two texts of which
+    a tenth of the rarest are shared share none of the drawn with a chance of
+    0.18; that they share none of the rarest either takes RAREST shingles of
+    each that are rarer in the crowd and held by others. Holders of a shingle
+    are all compared up to BLOCK, more of them with two.
+    """
+    held = stored(crowd.select("rid", "sid").join(whole.select("rid", "five"), "rid").select("sid", F.explode("five").alias("f")))
+    counts = stored(held.groupBy("f").agg(F.count("*").alias("df")).where("df > 1"))
+    total = held.count()
+    hot = F.broadcast(counts.where(F.col("df") * HOT >= total))  # HOT rows at most
+    known = held.join(hot, "f").unionByName(held.join(hot, "f", "left_anti").join(counts.where(F.col("df") * HOT < total), "f"))
+    ranked = known.groupBy("sid").agg(F.collect_list(F.struct("df", F.xxhash64("f").alias("mix"), "f")).alias("all")).join(crowd, "sid")
+    order = F.array_sort(F.filter("all", lambda x: x["df"] * 2 <= F.col("c")))
+    prefix = F.col("n") - F.ceil(F.col("n") * similar) + 1
+    drawn = F.slice(F.array_sort(F.transform(F.slice("order", F.lit(1), prefix.cast("int")), lambda x: F.struct(F.xxhash64(x["f"], F.lit(1)).alias("mix"), x["f"].alias("f")))), 1, DRAWN)
+    some = F.array_distinct(F.concat(F.transform(F.slice("order", 1, RAREST), lambda x: x["f"]), F.transform(drawn, lambda x: x["f"])))
+    chosen = stored(ranked.withColumn("order", order).select("sid", "n", "root", F.explode(some).alias("f")))
+    who, mixed = F.struct("sid", "n", "root"), F.xxhash64("sid", F.lit(2))
+    met = chosen.groupBy("f").agg(F.count("*").alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(F.max_by(who, mixed), F.min_by(who, mixed)).alias("ps")).where("lo <> hi")
+    near = chosen.join(met.where(F.col("h") <= BLOCK).select("f"), "f")
+    pairs = near.join(near.select("f", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot")), "f").where("sid < o")
+    stars = chosen.join(met.where(F.col("h") > BLOCK).select("f", "ps"), "f").select("f", "sid", "n", "root", F.explode("ps").alias("p"))
+    stars = stars.select("f", "sid", "n", "root", F.col("p.sid").alias("o"), F.col("p.n").alias("m"), F.col("p.root").alias("oroot"))
+    return pairs.union(stars).where("root <> oroot").select("sid", "n", "o", "m")
 
 
 def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None = None) -> DataFrame:
@@ -278,25 +325,27 @@ def _grouped(rows: DataFrame, dense: int, similar: float | None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
-    """One document of each group: the rows of the least doc_id in it, or any one row of a group without ids.
+    """One row of each group: that of the least doc_id in it, one of them if rows repeat that id, any one of a group without ids.
 
     Rows without a doc_id of their own are stored with a row number and are
-    kept or left out by it.
+    kept or left out by it. Columns of docs may have any names.
     """
+    taken = set(docs.columns)
+    id_, row = (next(n for n in (f"_{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("id", "row"))
     own = F.col("doc_id").cast("bigint")
-    repeated = stored(docs.groupBy(own.alias("_id")).agg(F.count("*").alias("n")).where("n > 1 or _id is null").select("_id"))
+    repeated = stored(docs.groupBy(own.alias(id_)).agg(F.count("*").alias("n")).where(f"n > 1 or {id_} is null").select(id_))
     plain, odd = docs, None
     if not repeated.isEmpty():
-        plain = docs.join(repeated, own.eqNullSafe(F.col("_id")), "left_anti")
-        odd = stored(docs.join(repeated, own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id()))
-    rows = _rows(plain) if odd is None else _rows(plain).union(_rows(odd, "_row"))
+        plain = docs.join(repeated, own.eqNullSafe(F.col(id_)), "left_anti")
+        odd = stored(docs.join(repeated, own.eqNullSafe(F.col(id_)), "left_semi").withColumn(row, F.monotonically_increasing_id()))
+    rows = _rows(plain) if odd is None else _rows(plain).union(_rows(odd, row))
     grouped = durable(_grouped(rows, DENSE, similar))
-    kept = grouped.where("doc_id = component_id")
-    one = plain.join(kept.where("mark is null").select(F.col("doc_id").alias("_kept")), own == F.col("_kept"), "left_semi")
+    kept = grouped.where("doc_id = component_id and mark is null")
+    one = plain.join(kept.select(F.col("doc_id").alias(id_)), own == F.col(id_), "left_semi")
     if odd is None:
         return one
-    marks = kept.where("mark is not null").select("mark").union(grouped.where("component_id is null").groupBy("root").agg(F.min("mark").alias("mark")).select("mark"))
-    return one.union(odd.join(marks, F.col("_row") == F.col("mark"), "left_semi").drop("_row"))
+    marks = grouped.where("mark is not null and (doc_id = component_id or component_id is null)").groupBy("root").agg(F.min("mark").alias(id_)).select(id_)
+    return one.union(odd.join(marks, F.col(row) == F.col(id_), "left_semi").drop(row))
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
