@@ -91,9 +91,20 @@ def read_versions(store: LeafStore, leaves: list[str] | None = None) -> DataFram
     return files.where(~F.col("commit").isin(pending)) if pending else files
 
 
-def read_leaves(store: LeafStore, leaves: list[str] | None = None, repo_uuid: str | None = None) -> DataFrame:
-    """repo_uuid and the store's columns: each key's row of the last commit, without those gone."""
+def last_commit(store: LeafStore) -> str:
+    """The name of the last whole commit; empty before the first."""
+    return max((n.partition("--")[0] for n in paths.names(store.spark, f"{store.path}/commits")), default="")
+
+
+def read_leaves(store: LeafStore, leaves: list[str] | None = None, repo_uuid: str | None = None, as_of: str | None = None) -> DataFrame:
+    """repo_uuid and the store's columns: each key's row of the last commit, without those gone.
+
+    as_of: the rows as they were after that commit, for instance as the base of
+    a merge. Leaves that were compacted since have lost it.
+    """
     rows = read_versions(store, leaves)
+    if as_of is not None:
+        rows = rows.where(F.col("commit") <= as_of)
     if repo_uuid is not None:
         rows = rows.where(F.col("repo") == "r" + repo_uuid)
     last = rows.groupBy("repo_uuid", *store.spec.keys).agg(F.max(F.struct("commit", "gone", *store.values)).alias("v")).where("not v.gone")

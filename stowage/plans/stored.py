@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stowage.functions import keys
-from stowage.operators import bloom, diff, inventory, leaves, move, sketches
+from stowage.operators import bloom, diff, inventory, leaves, move, sketches, stores, sync
 from stowage.operators.leaves import LeafStore
 from stowage.operators.spec import TableSpec
 from stowage.plans.catalogue import _DIFF, _WITH, A, B, bloom_sql, query, written_files
-from stowage.plans.fixtures import LINES, SPEC, keyed, presence, table, versions_of_repo, work_folder
+from stowage.plans.fixtures import LINES, ORDERS, SPEC, content, keyed, order_versions, presence, table, versions_of_repo, work_folder
 from stowage.plans.fixtures import inventory as rows_of
 from stowage.sources.files import hash_files, scan_files
 from stowage.streaming.jobs import store_totals, stream_commit
@@ -66,6 +66,43 @@ def tree_nodes(spark, sf_dir):
     return leaves.nodes(store_of(spark, rows_of(spark, sf_dir, "a"), 2))
 
 
+_PULLED = f"{_DIFF}, p AS (SELECT d.to_file_key AS file_key, d.source, d.doc_id FROM d WHERE to_file_key IS NOT NULL AND from_file_key IS NULL)"
+
+
+@query(_WITH + f", {_PULLED} SELECT '{B}' AS repo_uuid, source, doc_id, file_key FROM b UNION ALL SELECT '{B}', source, doc_id, file_key FROM p")
+def stored_pull(spark, sf_dir):
+    """Rows of a stored repository after it has pulled from another, in two pulls of which the second finds nothing new to do."""
+    return _pulled(spark, sf_dir)[0]
+
+
+@query(_WITH + f", {_PULLED} SELECT file_key, any_value(text) AS content FROM (SELECT file_key, text FROM b UNION ALL SELECT p.file_key, a.text FROM p JOIN a ON a.file_key = p.file_key) GROUP BY file_key")
+def stored_pull_content(spark, sf_dir):
+    return _pulled(spark, sf_dir)[1]
+
+
+def _pulled(spark, sf_dir):
+    path = work_folder(spark)
+    frm, to = store_of(spark, rows_of(spark, sf_dir, "a")), store_of(spark, rows_of(spark, sf_dir, "b"))
+    stores.write_content(content(spark, sf_dir, "b").withColumn("content", F.col("content").cast("binary")), path)
+    for _ in range(2):
+        sync.pull(frm, A, to, B, content(spark, sf_dir, "a"), path, on_conflict="report")
+    return leaves.read_leaves(to, repo_uuid=B).select("repo_uuid", "source", "doc_id", "file_key"), sync.stored_content(to, path).withColumn("content", F.col("content").cast("string"))
+
+
+@query("WITH base AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0), l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'L' ELSE o_orderstatus END AS s FROM base WHERE o_orderkey % 13 <> 0), r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'R' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 17 <> 0), m AS (SELECT o_orderkey, base.o_orderstatus AS base, l.s AS l, r.s AS r, CASE WHEN l.s IS NOT DISTINCT FROM r.s THEN 'same' WHEN l.s IS NOT DISTINCT FROM base.o_orderstatus THEN 'take_right' WHEN r.s IS NOT DISTINCT FROM base.o_orderstatus THEN 'take_left' ELSE 'conflict' END AS status FROM base FULL JOIN l USING (o_orderkey) FULL JOIN r USING (o_orderkey)) SELECT o_orderkey, base, l AS \"left\", r AS \"right\", CASE status WHEN 'take_right' THEN r WHEN 'conflict' THEN NULL ELSE l END AS merged, status FROM m")
+def merge_with_stored_base(spark, sf_dir):
+    """As merge_tables: the base is the left store as it was after its first commit."""
+    base, left, right = order_versions(spark, sf_dir)
+    store = LeafStore(spark, work_folder(spark), ORDERS, "o_orderkey bigint, o_orderstatus string", 1)
+    named = lambda df: df.withColumn("repo_uuid", F.lit(A))
+    leaves.commit(store, named(base))
+    was = leaves.last_commit(store)
+    changes = diff.diff_tables(base, left, ORDERS).select("o_orderkey", F.col("to_file_key").alias("o_orderstatus"), (F.col("diff_type") == "removed").alias("gone"))
+    leaves.commit(store, named(changes))
+    rows = lambda as_of=None: leaves.read_leaves(store, as_of=as_of).select(*ORDERS.columns)
+    return diff.merge_status(rows(was), rows(), right, ORDERS)
+
+
 # Commits and look-ups
 
 
