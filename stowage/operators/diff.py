@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators.inventory import filter_rows
 from stowage.operators.spec import TableSpec
+from stowage.sources.paths import kept
 
 
 class MergeConflict(Exception):
@@ -53,18 +54,22 @@ def conflicts(base: DataFrame | None, left: DataFrame, right: DataFrame, spec: T
     return merge_status(base, left, right, spec).where("status = 'conflict'").select(*spec.keys, "base", "left", "right")
 
 
-def refuse(status: DataFrame) -> None:
-    """Raises if there is a conflict."""
+def _refused(status: DataFrame) -> DataFrame:
+    """status, computed once; raises if there is a conflict in it."""
+    status = kept(status)
     if first := status.where("status = 'conflict'").limit(1).collect():
         raise MergeConflict(f"for example {first[0].asDict()}")
+    return status
 
 
 def merge_tables(base: DataFrame | None, left: DataFrame, right: DataFrame, spec: TableSpec, on_conflict: str = "error") -> tuple[DataFrame, DataFrame]:
-    """Merged rows and conflicts. With on_conflict='error' a conflict raises; with 'report' such keys are left out of the rows."""
+    """Merged rows and conflicts. With on_conflict='error' a conflict raises; with 'report' such keys are left out of the rows.
+
+    To know that there is none the merge has to be made: its rows are then kept in the session's checkpoint folder.
+    """
     status = merge_status(base, left, right, spec)
+    status = _refused(status) if on_conflict == "error" else status
     bad = status.where("status = 'conflict'").select(*spec.keys, "base", "left", "right")
-    if on_conflict == "error":
-        refuse(status)
     rows = status.where("status <> 'conflict' and merged is not null").select(F.col("merged").alias(spec.file_column), *spec.keys)
     return rows, bad
 
@@ -74,18 +79,29 @@ def union_inventory(a: DataFrame, b: DataFrame, spec: TableSpec, on_conflict: st
     return merge_tables(None, a, b, spec, on_conflict)[0]
 
 
+def changes(frm: DataFrame, to: DataFrame, spec: TableSpec, base: DataFrame | None = None, where: list[str] = (), on_conflict: str = "error") -> DataFrame:
+    """File column (of `frm`), keys and status of the rows that `to` takes from `frm`, and of conflicts, of one merge.
+
+    With on_conflict='error' a conflict of any rows raises: the merge is made
+    once, for all rows, and what differs is kept in the session's checkpoint
+    folder. Else conditions on key columns are met before the merge, in each
+    table's scan; those on the content after it.
+    """
+    wanted = F.expr("status = 'conflict' or status = 'take_right' and right is not null")
+    on_keys, rest = key_conditions(spec, where)
+    if on_conflict == "error":
+        status = filter_rows(_refused(merge_status(base, to, frm, spec).where(wanted)), on_keys)
+    else:
+        status = merge_status(*(t if t is None else filter_rows(t, on_keys) for t in (base, to, frm)), spec).where(wanted)
+    return filter_rows(status.select(F.col("right").alias(spec.file_column), *spec.keys, "status"), rest)
+
+
 def diff_keys(frm: DataFrame, to: DataFrame, spec: TableSpec, base: DataFrame | None = None, where: list[str] = (), limit: int | None = None, on_conflict: str = "error") -> DataFrame:
     """Rows that `to` must get to hold what merging `frm` into it gives: file column and keys. limit takes the first by key.
 
-    These are the rows of one merge whose content comes from `frm`, so nothing is joined a second time.
-    Conditions on key columns are met before the merge, in each table's scan; those on the content after it.
+    These are the rows of one merge whose content comes from `frm` (see changes), so nothing is joined a second time.
     """
-    if on_conflict == "error":
-        refuse(merge_status(base, to, frm, spec))
-    on_keys, rest = key_conditions(spec, where)
-    frm, to, base = (t if t is None else filter_rows(t, on_keys) for t in (frm, to, base))
-    change = merge_status(base, to, frm, spec).where("status = 'take_right' and right is not null")
-    rows = filter_rows(change.select(F.col("right").alias(spec.file_column), *spec.keys), rest)
+    rows = changes(frm, to, spec, base, where, on_conflict).where("status = 'take_right'").drop("status")
     return rows if limit is None else rows.orderBy(*spec.keys).limit(limit)
 
 

@@ -53,14 +53,24 @@ def get_rows_by_key(keys: DataFrame, inv: DataFrame, spec: TableSpec, repo_uuid:
     return keys.join(held, names, "left")
 
 
+def padded(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns of `like`, null where it has none."""
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields))
+
+
 def upsert(inv: DataFrame | None, new: DataFrame, spec: TableSpec, order_by: list[Column | str]) -> DataFrame:
     """Insert or replace by repository and key. Of new rows with one key the last by order_by stays.
 
     A maximum over (is new, order, content) per key: it is added up inside
     tasks before the shuffle, so a key that is written over and over does not
-    gather its rows. Ties in order_by go to the greatest row.
+    gather its rows. Ties in order_by go to the greatest row. A column that only
+    one side has is null in the other's rows.
     """
     columns = ["repo_uuid", *spec.keys]
+    if inv is not None:
+        every = new.limit(0).unionByName(inv.limit(0), allowMissingColumns=True)
+        order_by = [F.col(c) if isinstance(c, str) else c for c in order_by]
+        inv, new = padded(inv, every), padded(new, every)
     rest = [c for c in new.columns if c not in columns]
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     ranked = new.select(*columns, F.struct(F.lit(1).alias("_new"), *(o.alias(f"_o{i}") for i, o in enumerate(order)), *rest).alias("_v"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.operators.diff import key_conditions, merge_status, refuse
-from stowage.operators.inventory import filter_rows, upsert
+from stowage.operators.diff import changes
+from stowage.operators.inventory import upsert
 from stowage.operators.spec import DatasetSpec, TableSpec
 from stowage.operators.stores import MissingContent, insert_missing
 
@@ -26,20 +26,13 @@ def move_plan(frm: DataFrame, to: DataFrame, src: DataFrame, dst: DataFrame, spe
     with on_conflict='report' get status conflict and stay where they are. A
     limit is a total, taken in order of key. Content is never read here.
     """
-    if on_conflict == "error":
-        refuse(merge_status(base, to, frm, spec))
-    on_keys, rest = key_conditions(spec, where)
-    frm, to, base = (t if t is None else filter_rows(t, on_keys) for t in (frm, to, base))
-    merged = merge_status(base, to, frm, spec).select(F.col("right").alias(spec.file_column), *spec.keys, (F.col("status") == "conflict").alias("_bad"), "status")
-    wanted = F.expr(f"status = 'take_right' and {spec.file_column} is not null")
-    if limit is None:
-        rows = filter_rows(merged.where(wanted | F.col("_bad") if on_conflict == "report" else wanted), rest)
-    else:
-        rows = filter_rows(merged.where(wanted), rest).orderBy(*spec.keys).limit(limit)
-        rows = rows.union(filter_rows(merged.where("_bad"), rest)) if on_conflict == "report" else rows
+    found = changes(frm, to, spec, base, where, on_conflict).withColumnRenamed(spec.file_column, "file_key")
+    if limit is not None:
+        first = found.where("status = 'take_right'").orderBy(*spec.keys).limit(limit)
+        found = first.union(found.where("status = 'conflict'"))
     absent = "skipped_missing" if ignore_missing else "error_missing"
-    status = F.when(F.col("_bad"), "conflict").when(F.col("in_dst"), "record_only").when(F.col("in_src"), "copy").otherwise(absent)
-    return presence_status(rows.drop("status").withColumnRenamed(spec.file_column, "file_key"), src, dst).select("file_key", *spec.keys, status.alias("status"))
+    status = F.when(F.col("status") == "conflict", "conflict").when(F.col("in_dst"), "record_only").when(F.col("in_src"), "copy").otherwise(absent)
+    return presence_status(found, src, dst).select("file_key", *spec.keys, status.alias("status"))
 
 
 def move_summary(plan: DataFrame) -> DataFrame:

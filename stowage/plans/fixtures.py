@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.keys import content_keys
 from stowage.operators.spec import TableSpec
+from stowage.sources import paths
 
 SPEC = TableSpec("documents", ("source", "doc_id"))
 ORDERS = TableSpec("orders", ("o_orderkey",), "o_orderstatus")
@@ -24,13 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder under the session's shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stowage-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{paths.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def keyed(spark: SparkSession, sf_dir: str, repo: str) -> DataFrame:

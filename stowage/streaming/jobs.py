@@ -35,11 +35,6 @@ def _stored(batch: DataFrame, path: str) -> DataFrame | None:
     return spark.read.option("mergeSchema", "true").parquet(path) if is_stored(spark, path) else None
 
 
-def _padded(df: DataFrame, like: DataFrame) -> DataFrame:
-    """df with the columns of `like`, null where it has none."""
-    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields))
-
-
 def once(spark: SparkSession, ledger: str, label: str, work: Callable[[], object]) -> bool:
     """Does the work unless the ledger, a folder, has the label, and then records it; whether it was done."""
     if paths.exists(spark, f"{ledger}/{label}"):
@@ -64,14 +59,10 @@ def stream_upsert(stream: DataFrame, path: str, spec: TableSpec, checkpoint: str
 
     def rows_of(batch: DataFrame, batch_id: int) -> None:
         spark, held = batch.sparkSession, _stored(batch, path)
-        new = batch
         if held is not None:
-            touched = batch.select("repo_uuid").distinct()
-            held = held.join(touched, "repo_uuid", "left_semi")
-            every = held.limit(0).unionByName(batch.limit(0), allowMissingColumns=True)
-            held, new = _padded(held, every), _padded(batch, every)
+            held = held.join(batch.select("repo_uuid").distinct(), "repo_uuid", "left_semi")
         beside = f"{beside_all}/{batch_id}-{uuid.uuid4().hex}"
-        upsert(held, new, spec, order_by).write.parquet(beside)
+        upsert(held, batch, spec, order_by).write.parquet(beside)
         write_inventory(spark.read.parquet(beside), path)
         paths.delete(spark, beside)
 

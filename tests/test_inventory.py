@@ -46,6 +46,22 @@ def test_upsert_last_wins_and_is_idempotent(spark):
     assert as_set(inventory.upsert(None, new.where("false"), SPEC, ["n"])) == set()
 
 
+def test_upsert_pads_columns_that_one_side_lacks(spark):
+    old = spark.createDataFrame([(L, "a", "1", "kept"), (L, "b", "2", "replaced")], "repo_uuid string, path string, file_key string, note string")
+    new = spark.createDataFrame([(L, "b", "3", 7), (L, "c", "4", 8)], "repo_uuid string, path string, file_key string, size int")
+    got = {r["path"]: (r["file_key"], r["note"], r["size"]) for r in inventory.upsert(old, new, SPEC, ["size"]).collect()}
+    assert got == {"a": ("1", "kept", None), "b": ("3", None, 7), "c": ("4", None, 8)}
+
+
+def test_a_merge_that_must_not_conflict_is_made_once(spark):
+    frm, to = inv(spark, [(R, "a", "k"), (R, "b", "k")]).drop("repo_uuid"), inv(spark, [(L, "a", "k")]).drop("repo_uuid")
+    rows = diff.diff_keys(frm, to, SPEC)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and as_set(rows) == {("k", "b")}
+    merged, bad = diff.merge_tables(None, to, frm, SPEC)
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString() and merged.count() == 2 and bad.count() == 0
+
+
 def test_lookups_and_prefixes(spark):
     spec = TableSpec("t", ("source", "id"))
     held = spark.createDataFrame([(L, "s", 1, "k1"), (L, "s", 2, "k0"), (R, "z", 1, "k9")], "repo_uuid string, source string, id long, file_key string")
