@@ -17,11 +17,11 @@ from stowage.streaming.jobs import store_totals, stream_commit
 DOCUMENTS = "source string, doc_id bigint, file_key string"
 
 
-def store_of(spark, rows, digits=1):
-    """A store that has got the rows in two commits."""
+def store_of(spark, rows, digits=1, commits=2):
+    """A store that has got the rows in so many commits."""
     store = LeafStore(spark, work_folder(spark), SPEC, DOCUMENTS, digits)
-    leaves.commit(store, rows.where("doc_id % 2 = 0"))
-    leaves.commit(store, rows.where("doc_id % 2 <> 0"))
+    for i in range(commits):
+        leaves.commit(store, rows.where(F.pmod("doc_id", F.lit(commits)) == i))
     return store
 
 
@@ -31,7 +31,7 @@ def store_of(spark, rows, digits=1):
 @query(_WITH + f", {_DIFF} SELECT source, doc_id, CASE WHEN from_file_key IS NULL THEN 'added' WHEN to_file_key IS NULL THEN 'removed' ELSE 'modified' END AS diff_type, from_file_key, to_file_key FROM d WHERE from_file_key IS DISTINCT FROM to_file_key")
 def tree_diff(spark, sf_dir):
     """Two stores with leaves of different width."""
-    return leaves.stored_diff(store_of(spark, rows_of(spark, sf_dir, "b"), 1), B, store_of(spark, rows_of(spark, sf_dir, "a"), 2), A)
+    return leaves.stored_diff(store_of(spark, rows_of(spark, sf_dir, "b")), B, store_of(spark, rows_of(spark, sf_dir, "a"), 2, 1), A)
 
 
 _CHANGED = "a2 AS (SELECT source, doc_id, CASE WHEN doc_id % 101 = 0 THEN file_key || '2' ELSE file_key END AS file_key FROM a WHERE doc_id % 103 <> 0 UNION ALL SELECT source, doc_id + 1000000000, file_key FROM b WHERE doc_id % 119 = 0)"
@@ -40,8 +40,7 @@ _CHANGED = "a2 AS (SELECT source, doc_id, CASE WHEN doc_id % 101 = 0 THEN file_k
 @query(_WITH + f", {_CHANGED}, d AS (SELECT coalesce(a.source, a2.source) AS source, coalesce(a.doc_id, a2.doc_id) AS doc_id, a.file_key AS f, a2.file_key AS t FROM a FULL JOIN a2 ON a.source = a2.source AND a.doc_id = a2.doc_id) SELECT source, doc_id, CASE WHEN f IS NULL THEN 'added' WHEN t IS NULL THEN 'removed' ELSE 'modified' END AS diff_type, f AS from_file_key, t AS to_file_key FROM d WHERE f IS DISTINCT FROM t")
 def tree_diff_of_few(spark, sf_dir):
     """A store and a copy of it, in which later commits have changed, taken and added a few rows: few leaves are read."""
-    old = store_of(spark, versions_of_repo(spark, sf_dir, False), 2)
-    new = store_of(spark, versions_of_repo(spark, sf_dir, False), 2)
+    old, new = (store_of(spark, versions_of_repo(spark, sf_dir, False), 2, 1) for _ in range(2))
     now = versions_of_repo(spark, sf_dir, True)
     changes = diff.diff_tables(versions_of_repo(spark, sf_dir, False), now, SPEC)
     leaves.commit(new, changes.select(F.lit(A).alias("repo_uuid"), "source", "doc_id", F.col("to_file_key").alias("file_key"), (F.col("diff_type") == "removed").alias("gone")))
@@ -56,7 +55,7 @@ def tree_missing(spark, sf_dir):
 @query(_WITH + f", {_CHANGED} SELECT a2.file_key, a2.source, a2.doc_id, CASE WHEN a.file_key IS NOT NULL THEN 'conflict' WHEN a2.file_key IN (SELECT file_key FROM a) THEN 'record_only' ELSE 'copy' END AS status FROM a2 LEFT JOIN a ON a.source = a2.source AND a.doc_id = a2.doc_id WHERE a.file_key IS DISTINCT FROM a2.file_key")
 def tree_move_plan(spark, sf_dir):
     """What the store lacks of a changed copy, planned from the leaves that differ."""
-    frm, to = leaves.sides(store_of(spark, versions_of_repo(spark, sf_dir, True), 2), A, store_of(spark, versions_of_repo(spark, sf_dir, False), 2), A)
+    frm, to = leaves.sides(store_of(spark, versions_of_repo(spark, sf_dir, True)), A, store_of(spark, versions_of_repo(spark, sf_dir, False)), A)
     src, dst = (versions_of_repo(spark, sf_dir, c).select("file_key") for c in (True, False))
     return move.move_plan(frm, to, src, dst, SPEC, on_conflict="report")
 
