@@ -160,8 +160,8 @@ def nodes(store: LeafStore, repo_uuid: str | None = None, level: int | None = No
     sums = "".join(f", {c} bigint" for c in store.sums)
     schema = f"repo_uuid string, prefix string, n_rows bigint, print bigint{sums}, commit string, level int"
     whole = [n.partition("--") for n in paths.names(spark, f"{store.path}/commits")]
-    base = max((name for name, _, label in whole if label == _COMPACT), default="")
-    held = [n for n in paths.names(spark, f"{store.path}/tree") if base <= n.removeprefix("commit=") and n.removeprefix("commit=") not in _pending(store)]
+    base, pending = max((name for name, _, label in whole if label == _COMPACT), default=""), _pending(store)
+    held = [n for n in paths.names(spark, f"{store.path}/tree") if base <= n.removeprefix("commit=") and n.removeprefix("commit=") not in pending]
     if not held:
         return spark.createDataFrame([], schema).drop("commit")
     tree = spark.read.schema(schema).option("basePath", f"{store.path}/tree").parquet(*(f"{store.path}/tree/{n}" for n in held))
