@@ -9,13 +9,10 @@ does not reach LEAST either, that is an error. Links are the graph's edges at
 or above the threshold.
 
 A node whose whole list lies above the threshold is saturated: it may have
-more links than the list holds. Its list is enlarged to its whole component.
-There, vectors within half the threshold's angle of the component's mean are
-linked to one another by the triangle inequality and are only counted; the
-others are compared with the component block by block. So a large group of
-near copies costs neither pairs nor a long list. Full lists may hide that two
-such components are linked, so those whose means and angular radii let them
-be are found (by NN-descent among the means) and compared as one.
+more links than the list holds. Its list is enlarged to its whole component
+and to all other such components within reach; see `crowds`, which counts
+those links without listing them. So a large group of near copies costs
+neither pairs nor a long list.
 """
 
 from __future__ import annotations
@@ -30,58 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import SALTS, connected_components, durable, stored
+from stowage.llm.crowds import crowd_links
+from stowage.llm.vectors import BLOCK, by_group, of_each_dim, unit_rows
 
 THRESHOLD = 0.95
-#: Length of the neighbour lists, least tables of random planes, rows of a block, rounds at most.
-NEIGHBOURS, TABLES, BLOCK, ROUNDS = 8, 10, 192, 6
+#: Length of the neighbour lists, least tables of random planes, rounds at most.
+NEIGHBOURS, TABLES, ROUNDS = 8, 10, 6
 #: Chance that a pair at the threshold shares no block.
 MISS = 0.01
 #: Nodes that the audit compares with all others, the recall at which refinement ends, and the least that is taken.
 AUDIT, RECALL, LEAST = 512, 0.99, 0.9
-_MARGIN = 1e-9
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit vectors in double precision, one row each."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """work(rows) for the rows of each key together; groups must be bounded. Groups of a task share its batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at = [0]
-            columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            turn = np.zeros(b.num_rows - 1, bool)
-            for c in columns:
-                turn |= c[1:] != c[:-1]
-            if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            at += [*(np.flatnonzero(turn) + 1).tolist(), b.num_rows]
-            for i, j in zip(at, at[1:], strict=False):
-                if i and held:
-                    yield from work(pa.Table.from_batches(held))
-                    held = []
-                held.append(b.slice(i, j - i))
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
-def of_each_dim(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of each vector length by themselves."""
-    dims = batch.column("dim").to_numpy()
-    for d in np.unique(dims):
-        yield batch.filter(pa.array(dims == d))
 
 
 def _signs(nodes: DataFrame, bits: int, tables: int, draw: int = 0) -> DataFrame:
@@ -95,7 +50,7 @@ def _signs(nodes: DataFrame, bits: int, tables: int, draw: int = 0) -> DataFrame
                 if d not in planes:
                     planes[d] = np.random.default_rng([d, draw]).standard_normal((d, bits * tables))
                 p = planes[d]
-                sides = (_matrix(part.column("vec")) @ p > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                sides = (unit_rows(part.column("vec")) @ p > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("nid"), part.column("dim"), pa.array(sides.tolist(), pa.list_(pa.int64()))], ["nid", "dim", "sides"])
 
     return nodes.select("nid", "dim", "vec").mapInArrow(run, "nid bigint, dim int, sides array<bigint>")
@@ -109,7 +64,7 @@ def _nearest(k: int) -> Callable:
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if (n := rows.num_rows) < 2:
             return
-        ids, x = rows["nid"].to_numpy(), _matrix(rows["vec"])
+        ids, x = rows["nid"].to_numpy(), unit_rows(rows["vec"])
         sims = x @ x.T
         np.fill_diagonal(sims, -2)
         m = min(k, n - 1)
@@ -157,7 +112,7 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         if rows.num_rows < 2:
             return
         ids, old, low = rows["nid"].to_numpy(), rows["old"].to_numpy() > 0, rows["low"].to_numpy()
-        x = _matrix(rows["vec"])
+        x = unit_rows(rows["vec"])
         sims = x @ x.T
         np.fill_diagonal(sims, -3)
         a, b = np.nonzero((sims > np.where(np.isnan(low), -2, low)[:, None]) & ~(old[:, None] & old[None, :]))
@@ -179,7 +134,7 @@ def audit(graph: DataFrame, nodes: DataFrame, n: int, k: int, threshold: float,
     of = lambda df, m: df.where(F.pmod(F.xxhash64("nid", F.lit(n)), F.lit(1 << 50)) < int(min(1.0, sample / 2 / max(1, m)) * (1 << 50)))
     picked = of(nodes.select("nid"), n).union(of(linked, linked.count())).distinct()
     asked = nodes.join(picked, "nid", "left_semi").select("nid", "dim", "vec").toArrow()  # about `sample` rows
-    by_dim = {d: (part["nid"].to_numpy(), _matrix(part["vec"])) for d in set(asked["dim"].to_pylist()) for part in [asked.filter(pa.compute.equal(asked["dim"], d))]}
+    by_dim = {d: (part["nid"].to_numpy(), unit_rows(part["vec"])) for d in set(asked["dim"].to_pylist()) for part in [asked.filter(pa.compute.equal(asked["dim"], d))]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
@@ -188,7 +143,7 @@ def audit(graph: DataFrame, nodes: DataFrame, n: int, k: int, threshold: float,
                 if (d := part.column("dim")[0].as_py()) not in by_dim:
                     continue
                 ids, q = by_dim[d]
-                x, own = _matrix(part.column("vec")), part.column("nid").to_numpy()
+                x, own = unit_rows(part.column("vec")), part.column("nid").to_numpy()
                 for i in range(0, len(x), 2048):
                     hits = (q @ x[i : i + 2048].T >= threshold) & (ids[:, None] != own[None, i : i + 2048])
                     for j in np.flatnonzero(hits.any(1)):
@@ -201,111 +156,6 @@ def audit(graph: DataFrame, nodes: DataFrame, n: int, k: int, threshold: float,
     return 1.0 if not got["n"] else got["found"] / got["n"]
 
 
-def _means(members: DataFrame) -> DataFrame:
-    """comp, dim, mean (a unit vector) and low (the least cosine of a member with it). members: comp, dim, nid, vec."""
-
-    def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in of_each_dim(b):
-                x = _matrix(part.column("vec"))
-                yield pa.RecordBatch.from_arrays([part.column("comp"), part.column("dim"), pa.array(list(x), pa.list_(pa.float64()))], ["comp", "dim", "unit"])
-
-    sums = members.select("comp", "dim", "vec").mapInArrow(norm, "comp bigint, dim int, unit array<double>").select("comp", "dim", F.posexplode("unit").alias("i", "x"))
-    sums = sums.groupBy("comp", "dim", "i").agg(F.sum("x").alias("x")).groupBy("comp", "dim").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
-    size = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
-    return sums.select("comp", "dim", F.transform("m", lambda x: x["x"] / F.greatest(size, F.lit(1e-300))).alias("mean"))
-
-
-def _placed(members: DataFrame, means: DataFrame) -> DataFrame:
-    """members with cos, each vector's cosine with its component's mean."""
-    kind = dict(members.dtypes)["vec"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in of_each_dim(b):
-                cos = (_matrix(part.column("vec")) * np.array(part.column("mean").to_pylist())).sum(1)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("comp", "nid", "dim", "vec", "copies", "own")), pa.array(cos)], ["comp", "nid", "dim", "vec", "copies", "own", "cos"])
-
-    # The means are few and small beside the members; AQE may broadcast them or split a large component's side.
-    joined = members.join(means.select("comp", "mean"), "comp").select("comp", "nid", "dim", "vec", "copies", "own", "mean")
-    return joined.mapInArrow(place, f"comp bigint, nid bigint, dim int, vec {kind}, copies bigint, own bigint, cos double")
-
-
-def _joined_crowds(members: DataFrame, threshold: float) -> DataFrame:
-    """comp, joint: components of saturated lists that may be linked, by means and angular radii, have one joint number.
-
-    members: comp, dim, nid, vec, copies, own. The means' own neighbour graph
-    is made with as long lists as there are means within reach.
-    """
-    means = stored(_means(members))
-    m = means.count()
-    if m < 2:
-        return means.select("comp", F.col("comp").alias("joint"))
-    radii = _placed(members, means).groupBy("comp").agg(F.min("cos").alias("low"))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "low")))
-    nodes = stored(means.join(radii, "comp").select(F.col("comp").alias("nid"), "dim", F.col("mean").alias("vec"), angle.alias("radius")))
-    widest = nodes.agg(F.max("radius")).first()[0]
-    reach = math.cos(min(math.pi, math.acos(threshold) + 2 * widest)) - _MARGIN
-    k = NEIGHBOURS
-    while True:
-        graph = first_graph(nodes, m, k, max(reach, 0.0))
-        for _ in range(2):
-            graph = refine(graph, nodes, k)
-        full = graph.where(F.col("sim") >= reach).groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-        if k >= m - 1 or full.isEmpty():
-            break
-        k = min(2 * k, m - 1)
-    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("radius").alias(f"r_{x}"))
-    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "sim"))) - F.col("r_src") - F.col("r_dst")
-    close = graph.join(side("src"), "src").join(side("dst"), "dst").where(gap <= math.acos(threshold) + 1e-6)
-    joint = durable(connected_components(close.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
-    return means.select("comp").join(joint.select(F.col("node").alias("comp"), F.col("root").alias("joint")), "comp", "left").withColumn("joint", F.coalesce("joint", "comp"))
-
-
-def _crowded(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """nid, linked (copies of other nodes linked to it) within groups given whole, and edges u, v between their components.
-
-    members: comp (the group), dim, nid, vec, copies, own (the component).
-    """
-    half = math.cos(math.acos(threshold) / 2) + _MARGIN
-
-    placed = durable(_placed(members, _means(members)).withColumn("core", F.col("cos") >= half))
-    cores = placed.where("core").groupBy("comp").agg(F.sum("copies").alias("all"))
-    # Core vectors are all linked with each other, and so are their components.
-    lows = placed.where("core").groupBy("comp").agg(F.min("own").alias("low"))
-    bonds = placed.where("core").select("comp", "own").distinct().join(lows, "comp").select(F.col("own").alias("u"), F.col("low").alias("v"))
-    inner = placed.where("core").select("comp", "nid", "copies").join(cores, "comp").select("nid", (F.col("all") - F.col("copies")).alias("linked"))
-
-    sizes = placed.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.when(F.col("core"), 0).otherwise(1)) / BLOCK).alias("outer"))
-    sizes = sizes.where("outer > 0")
-    dealt = placed.join(sizes, "comp")
-    asked = dealt.where("not core").select("comp", F.pmod(F.xxhash64("nid"), F.col("outer")).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"), "nid", "vec", "copies", F.lit(True).alias("asks"), "core", "own")
-    given = dealt.select("comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outer") - 1)).alias("a"), F.pmod(F.xxhash64("nid"), F.col("blocks")).alias("b"), "nid", "vec", "copies", F.lit(False).alias("asks"), "core", "own")
-
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        asks, ids, copies, core, own = (rows[c].to_numpy() for c in ("asks", "nid", "copies", "core", "own"))
-        if not asks.any() or asks.all():
-            return
-        x = _matrix(rows["vec"])
-        hit = (x[asks] @ x[~asks].T >= threshold) & (ids[asks][:, None] != ids[~asks][None, :])
-        yield _counted(ids[asks], hit @ copies[~asks], None, None)
-        back = hit.T @ copies[asks]  # a core vector hears of its outer links from them
-        at = core[~asks] & (back > 0)
-        yield _counted(ids[~asks][at], back[at], None, None)
-        a, b = np.nonzero(hit & (own[asks][:, None] != own[~asks][None, :]))
-        pairs = np.unique(np.stack([own[asks][a], own[~asks][b]], 1), axis=0)
-        yield _counted(None, None, pairs[:, 0], pairs[:, 1])
-
-    outer = durable(by_group(asked.union(given), ["comp", "a", "b"], work, "nid bigint, linked bigint, u bigint, v bigint"))
-    linked = inner.union(outer.where("nid is not null").select("nid", "linked")).groupBy("nid").agg(F.sum("linked").alias("linked"))
-    return linked, bonds.union(outer.where("u is not null").select("u", "v")).distinct()
-
-
-def _counted(nid, linked, u, v) -> pa.RecordBatch:
-    n = len(nid) if nid is not None else len(u)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (nid, linked, u, v)], ["nid", "linked", "u", "v"])
-
-
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for each row. rows: vec_id, embedding.
 
@@ -341,11 +191,9 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBO
     few = comps.join(crowds, "comp", "left_anti").select("nid")
     pairs = near.union(near.select("dst", "src")).distinct().join(few.withColumnRenamed("nid", "src"), "src", "left_semi")
     linked = pairs.join(nodes.select(F.col("nid").alias("dst"), "copies"), "dst").groupBy(F.col("src").alias("nid")).agg(F.sum("copies").alias("linked"))
-    members = comps.join(crowds, "comp", "left_semi").join(nodes, "nid").select("comp", "nid", "dim", "vec", "copies", F.col("comp").alias("own"))
+    members = comps.join(crowds, "comp", "left_semi").join(nodes, "nid").select(F.col("comp").alias("crowd"), "nid", "dim", "vec", "copies")
     if not crowds.isEmpty():
-        joint = durable(_joined_crowds(members, threshold))
-        members = members.join(joint, "comp").select(F.col("joint").alias("comp"), "nid", "dim", "vec", "copies", "own")
-        inside, bonds = _crowded(members, threshold)
+        inside, bonds = crowd_links(members, threshold)
         linked = linked.union(inside)
         merged = connected_components(bonds).select(F.col("node").alias("comp"), "root")
         comps = durable(comps.join(merged, "comp", "left").select("nid", F.coalesce("root", "comp").alias("comp")))

@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from stowage.llm import crowds
 from stowage.llm.embeddings import near_vectors
 
 
@@ -62,3 +64,47 @@ def test_lengths_crowds_and_ties_in_one_partition(spark):
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == want
     assert {r["audited_recall"] >= 0.9 for r in got} == {True}
+
+
+def chain(n, rng, step=0.1, dim=5):
+    """A crowd that is long and thin: each vector is a step from the one before, and links with those some steps away."""
+    turn = np.cumsum(np.full(n, step / np.sqrt(dim)))
+    x = np.stack([np.cos(turn * (i + 1) * 0.37) + 0.3 * i for i in range(dim)], 1)
+    return x + 0.002 * rng.standard_normal((n, dim))
+
+
+def test_long_crowds_split_in_cells_equal_brute_force(spark, monkeypatch):
+    """A chain, a shell about a tight core and small crowds near one another, with cells so small that they are split many times."""
+    monkeypatch.setattr(crowds, "BLOCK", 24)
+    monkeypatch.setattr(crowds, "PIVOTS", 6)
+    rng = np.random.default_rng(21)
+    shell = np.array([9.0, -9, 9, -9, 9]) + 3.5 * rng.standard_normal((120, 5))
+    tight = np.array([9.0, -9, 9, -9, 9]) + 0.3 * rng.standard_normal((90, 5))
+    near = np.vstack([c + 0.5 * rng.standard_normal((15, 5)) for c in np.array([-9.0, 9, 9, 0, 0]) + 4 * rng.standard_normal((12, 5))])
+    x = np.round(np.vstack([chain(400, rng), shell, tight, near]), 4)
+    ids = [int(i) for i in rng.permutation(5000)[: len(x)]]
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == brute(ids, x)
+
+
+@pytest.mark.parametrize("spread", [0, 1000])
+def test_cells_hold_all_that_may_be_linked(spark, monkeypatch, spread):
+    """Balls and points: every unit is at home once, beside all units that the triangle inequality allows; also where no split is made."""
+    monkeypatch.setattr(crowds, "BLOCK", 16)
+    monkeypatch.setattr(crowds, "PIVOTS", 5)
+    monkeypatch.setattr(crowds, "SPREAD", spread)
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.standard_normal((150, 4)), chain(150, rng, dim=4)])
+    r, theta = np.where(np.arange(300) % 7 == 0, 0.1, 0.0), 0.3
+    rows = [(i, 4, v.tolist(), float(a), 1, i) for i, (v, a) in enumerate(zip(x, r, strict=True))]
+    got = crowds.cells(spark.createDataFrame(rows, "unit long, dim int, vec array<double>, r double, weight long, crowd long"), theta).collect()
+    beside = {}
+    for row in got:
+        beside.setdefault(row["cell"], set()).add(row["unit"])
+    homes = [(row["unit"], row["cell"]) for row in got if row["home"]]
+    assert sorted(u for u, _ in homes) == list(range(300))
+    assert (len(beside) == 1) == (spread == 0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    may = np.arccos(np.clip(u @ u.T, -1, 1)) <= theta + r[:, None] + r[None, :]
+    assert all(set(np.flatnonzero(may[i]).tolist()) <= beside[c] for i, c in homes)
+    assert len({(row["cell"], row["unit"]) for row in got}) == len(got)
