@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from stowage.llm.common import durable
 from stowage.llm.vectors import BLOCK, MARGIN, by_group, of_each_dim, unit_rows
 
-#: Pivots of a split on average, rows of a cell that one task splits at once.
-PIVOTS, ROWS = 32, 2048
-#: A split that would give a cell's units so many places each on average is not made; the cell is compared in blocks.
-SPREAD = 8
+#: Pivots of a split: one for CLOSE units on average, PIVOTS at most. Few pivots have far units and rule little out.
+PIVOTS, CLOSE = 4096, 16
+#: Rows of a cell that one task splits, or compares with as many others, at once.
+ROWS = 2048
+#: A split that would give a cell's units more places on average is not made; the cell is compared in blocks.
+SPREAD = 16
 #: Splits of splits; what is still larger is compared in blocks.
 LEVELS = 20
 #: Angles this close to a bound do not decide for a whole ball.
@@ -72,44 +74,58 @@ def _angles(cos: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cos, -1.0, 1.0))
 
 
-def _split(held: DataFrame, sizes: DataFrame, level: int, theta: float) -> tuple[DataFrame, DataFrame]:
+def _chunks(n: int, size: int = 256) -> Iterator[slice]:
+    return (slice(i, i + size) for i in range(0, n, size))
+
+
+def _split(held: DataFrame, large: DataFrame, level: int, theta: float) -> tuple[DataFrame, DataFrame]:
     """The units of large cells in smaller ones, and the cells that it does not help.
 
-    held: cell, home and a unit's columns; sizes: cell, n of the large cells.
+    held: cell, home and a unit's columns; large: cell, n, homes of the cells to split.
     """
-    inside = held.join(sizes, "cell")
+    inside = held.join(large, "cell")
     parts = F.ceil(F.col("n") / ROWS)
-    drawn = F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(1 << 30)) < F.lit(PIVOTS * (1 << 30)) / F.col("homes")
+    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("homes") / CLOSE))
+    drawn = F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(1 << 30)) < F.lit(1 << 30) * wanted / F.col("homes")
     none = F.lit(None)
-    rows = inside.select("cell", F.pmod(F.xxhash64("unit", F.lit(-level)), parts).alias("part"), F.lit(False).alias("pivot"), "home", *_FIELDS)
-    pivots = inside.where(F.col("home") & drawn).select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.lit(True).alias("pivot"), none.cast("boolean").alias("home"), *_FIELDS)
-
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = inside.select("cell", F.pmod(F.xxhash64("unit", F.lit(-level)), parts).alias("part"), none.cast("double").alias("reach"), F.lit(False).alias("pivot"), "home", *_FIELDS)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")
+    pivots = inside.where(F.col("home") & drawn).select("cell", every, F.lit(True).alias("pivot"), none.cast("boolean").alias("home"), *_FIELDS)
+
+    def nearest(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        pivot, home = rows["pivot"].to_numpy(), np.asarray(rows["home"].to_pylist(), dtype=object) == True  # noqa: E712
+        mine = ~pivot & home
+        if not pivot.any() or not mine.any():
+            return
+        names, x, r = rows["unit"].to_numpy()[pivot], unit_rows(rows["vec"]), rows["r"].to_numpy()[mine]
+        cos = [(c.argmax(1), c.max(1)) for s in _chunks(len(r)) for c in [x[mine][s] @ x[pivot].T]]
+        at, gap = names[np.concatenate([i for i, _ in cos])], _angles(np.concatenate([c for _, c in cos]))
+        yield pa.RecordBatch.from_arrays([rows["cell"].combine_chunks()[: len(at)], pa.array(rows["unit"].to_numpy()[mine]), pa.array(at), pa.array(gap + r)], ["cell", "unit", "at", "reach"])
+
+    first = pivots.withColumn("reach", none.cast("double")).select(*rows.columns)
+    at = durable(by_group(rows.where("home").union(first), ["cell", "part"], nearest, "cell bigint, unit bigint, at bigint, reach double"))
+    reach = at.groupBy("cell", F.col("at").alias("unit")).agg(F.max("reach").alias("reach"))
+    second = pivots.join(reach, ["cell", "unit"]).select(*rows.columns)
+    asked = rows.join(at.select("cell", "unit", "at"), ["cell", "unit"], "left").select(*rows.columns, "at")
+
+    def within(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         pivot = rows["pivot"].to_numpy()
         mine = rows.filter(pa.array(~pivot))
         if not mine.num_rows:
             return
-        names = rows["unit"].to_numpy()[pivot]
-        if len(names):
-            x = unit_rows(rows["vec"])
-            far = _angles(x[~pivot] @ x[pivot].T)
-            at = names[far.argmin(1)]
-        else:  # no unit was drawn: the cell stays as it is
-            far, at = np.zeros((mine.num_rows, 0)), np.full(mine.num_rows, None)
-        all_names = pa.array([names.tolist()] * mine.num_rows, pa.list_(pa.int64()))
-        columns = [mine[c].combine_chunks() for c in ("cell", "home", *_FIELDS)]
-        yield pa.RecordBatch.from_arrays([*columns, all_names, pa.array(list(far), pa.list_(pa.float64())), pa.array(at.tolist(), pa.int64())], ["cell", "home", *_FIELDS, "names", "far", "at"])
-
-    dealt = durable(by_group(rows.union(pivots), ["cell", "part"], work, f"cell bigint, home boolean, {_UNIT}, names array<bigint>, far array<double>, at bigint"))
-    reach = dealt.where("home and at is not null").groupBy("cell", "at").agg(F.max(F.array_min("far") + F.col("r")).alias("reach"))
-    reach = reach.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("at", "reach"))).alias("reaches"))
-    fits = F.filter(F.arrays_zip("names", "far"), lambda p: p["far"] <= F.element_at("reaches", p["names"]) + F.lit(theta + _NEAR) + F.col("r"))
-    where = durable(dealt.join(reach, "cell", "left").withColumn("places", F.coalesce(fits, F.array())).drop("names", "far", "reaches"))
-    poor = where.groupBy("cell").agg((F.sum(F.size("places")) > SPREAD * F.count("*")).alias("wide"), F.max(F.col("at").isNull()).alias("stuck")).where("wide or stuck").select("cell")
-    poor = durable(poor)
-    split = where.join(poor, "cell", "left_anti").withColumn("p", F.explode("places"))
-    split = split.select(F.col("p.names").alias("cell"), (F.col("home") & (F.col("at") == F.col("p.names"))).alias("home"), *_FIELDS)
-    return split, poor
+        names, reach, x, r = rows["unit"].to_numpy()[pivot], rows["reach"].to_numpy()[pivot], unit_rows(rows["vec"]), mine["r"].to_numpy()
+        fits = [names[row] for s in _chunks(len(r)) for row in _angles(x[~pivot][s] @ x[pivot].T) <= reach[None, :] + (theta + _NEAR + r[s])[:, None]]
+        count = sum(map(len, fits))
+        wide = not len(names) or count > 4 * SPREAD * len(r)
+        places = pa.nulls(len(r), pa.list_(pa.int64())) if wide else pa.array(fits, pa.list_(pa.int64()))
+        columns = [mine[c].combine_chunks() for c in ("cell", "home", *_FIELDS, "at")]
+        yield pa.RecordBatch.from_arrays([*columns, places], ["cell", "home", *_FIELDS, "at", "places"])
+
+    where = durable(by_group(asked.union(second.withColumn("at", none.cast("bigint"))), ["cell", "part"], within, f"cell bigint, home boolean, {_UNIT}, at bigint, places array<bigint>"))
+    wide = F.max(F.col("places").isNull()) | (F.sum(F.size("places")) > SPREAD * F.count("*"))
+    poor = durable(where.groupBy("cell").agg(wide.alias("wide")).where("wide").select("cell"))
+    split = where.join(poor, "cell", "left_anti").withColumn("place", F.explode("places"))
+    return split.select(F.col("place").alias("cell"), (F.col("home") & (F.col("at") == F.col("place"))).alias("home"), *_FIELDS), poor
 
 
 def cells(units: DataFrame, theta: float) -> DataFrame:
@@ -128,8 +144,8 @@ def cells(units: DataFrame, theta: float) -> DataFrame:
 
 
 def _blocks(asked: DataFrame, given: DataFrame, key: str) -> DataFrame:
-    """asked and given of each key, so that each of asked meets each of given in one (key, a, b) of at most about 2 BLOCK rows."""
-    count = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    """asked and given of each key, so that each of asked meets each of given in one (key, a, b) of about 2 ROWS rows at most."""
+    count = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / ROWS).alias(name))
     sizes = count(asked, "outer").join(count(given, "inner"), key)
     id_ = "unit" if "unit" in asked.columns else "nid"
     own = lambda n: F.pmod(F.xxhash64(id_, F.lit(7)), F.col(n))
@@ -178,17 +194,18 @@ def crowd_links(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         asks, unit, r, weight, crowd = (rows[c].to_numpy() for c in ("asks", "unit", "r", "weight", "crowd"))
         if not asks.any() or asks.all():
             return
-        x, solid = unit_rows(rows["vec"]), unit & _IS_BALL > 0
-        mine, other = asks, ~asks
-        cos = x[mine] @ x[other].T
-        gap, radii = _angles(cos), r[mine][:, None] + r[other][None, :]
-        any_ball, apart = solid[mine][:, None] | solid[other][None, :], unit[mine][:, None] != unit[other][None, :]
-        hit = np.where(any_ball, gap + radii <= theta - _NEAR, cos >= threshold) & apart
-        yield _found(unit=unit[mine], linked=hit @ weight[other])
-        yield _bonds(hit, crowd[mine], crowd[other])
-        unsure = any_ball & apart & ~hit & (gap - radii <= theta + _NEAR) & solid[other][None, :] & (~solid[mine][:, None] | (unit[mine][:, None] < unit[other][None, :]))
-        a, b = np.nonzero(unsure)
-        yield _found(unit=unit[mine][a], mixed=unit[other][b])
+        x, solid, other = unit_rows(rows["vec"]), unit & _IS_BALL > 0, ~asks
+        for s in _chunks(asks.sum()):
+            mine = np.flatnonzero(asks)[s]
+            cos = x[mine] @ x[other].T
+            gap, radii = _angles(cos), r[mine][:, None] + r[other][None, :]
+            any_ball, apart = solid[mine][:, None] | solid[other][None, :], unit[mine][:, None] != unit[other][None, :]
+            hit = np.where(any_ball, gap + radii <= theta - _NEAR, cos >= threshold) & apart
+            yield _found(unit=unit[mine], linked=hit @ weight[other])
+            yield _bonds(hit, crowd[mine], crowd[other])
+            first = ~solid[mine][:, None] | (unit[mine][:, None] < unit[other][None, :])
+            a, b = np.nonzero(any_ball & apart & ~hit & (gap - radii <= theta + _NEAR) & solid[other][None, :] & first)
+            yield _found(unit=unit[mine][a], mixed=unit[other][b])
 
     both = _blocks(dealt.where("home").drop("home"), dealt.drop("home"), "cell")
     met = durable(by_group(both, ["cell", "a", "b"], meet, _FOUND))
@@ -205,11 +222,14 @@ def crowd_links(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         asks, nid, copies, crowd = (rows[c].to_numpy() for c in ("asks", "nid", "copies", "crowd"))
         if not asks.any() or asks.all():
             return
-        x = unit_rows(rows["vec"])
-        hit = x[asks] @ x[~asks].T >= threshold
-        yield _found(unit=nid[asks], linked=hit @ copies[~asks])
-        yield _found(unit=nid[~asks], linked=hit.T @ copies[asks])
-        yield _bonds(hit, crowd[asks], crowd[~asks])
+        x, back = unit_rows(rows["vec"]), 0
+        for s in _chunks(asks.sum()):
+            mine = np.flatnonzero(asks)[s]
+            hit = x[mine] @ x[~asks].T >= threshold
+            back = back + hit.T @ copies[mine]
+            yield _found(unit=nid[mine], linked=hit @ copies[~asks])
+            yield _bonds(hit, crowd[mine], crowd[~asks])
+        yield _found(unit=nid[~asks], linked=back)
 
     in_balls = durable(by_group(_blocks(asked, given, "ball"), ["ball", "a", "b"], members_meet, _FOUND))
     hits = in_balls.where("linked > 0").select(F.col("unit").alias("nid"), "linked")

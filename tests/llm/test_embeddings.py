@@ -77,6 +77,7 @@ def test_long_crowds_split_in_cells_equal_brute_force(spark, monkeypatch):
     """A chain, a shell about a tight core and small crowds near one another, with cells so small that they are split many times."""
     monkeypatch.setattr(crowds, "BLOCK", 24)
     monkeypatch.setattr(crowds, "PIVOTS", 6)
+    monkeypatch.setattr(crowds, "ROWS", 64)
     rng = np.random.default_rng(21)
     shell = np.array([9.0, -9, 9, -9, 9]) + 3.5 * rng.standard_normal((120, 5))
     tight = np.array([9.0, -9, 9, -9, 9]) + 0.3 * rng.standard_normal((90, 5))
