@@ -12,6 +12,7 @@ index is as large as the templates, whatever the number of documents.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,10 +142,11 @@ class Scanner:
                 n, a, z = align(template, tokens[max(0, shift - band) : shift + len(template) + band], min(shift, band), band)
                 if n >= self.coverage * len(template):
                     found.append((n, n / len(template), a + max(0, shift - band), z + max(0, shift - band), name))
-        taken, out = [], []
+        taken, out = [], []  # taken: places in order, apart from one another
         for n, share, a, z, name in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[4])):
-            if all(z < b or a > y for b, y in taken):
-                taken.append((a, z))
+            at = bisect(taken, (a, z))
+            if (not at or taken[at - 1][1] < a) and (at == len(taken) or z < taken[at][0]):
+                taken.insert(at, (a, z))
                 out.append((name, share, a, z))
         if not out:
             return []

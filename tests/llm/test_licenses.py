@@ -68,3 +68,11 @@ def test_frame(spark):
     got = scan(docs)
     assert sorted(((r["doc_id"], r["license"]) for r in got.collect()), key=str) == [(1, "CC-BY-NC-4.0"), (1, "CC-BY-NC-4.0"), (None, "MIT")]
     assert scan(docs.where("false")).count() == 0
+
+
+def test_many_notices_in_one_text_do_not_overlap():
+    """Hundreds of notices, some inside longer ones: none overlap, in order, and none that stands alone is lost."""
+    one = "Released under the MIT License. Some other words stand here between them. "
+    got = Scanner(TEMPLATES).scan((one + TEMPLATES["MIT-permission"] + " and on it goes for a while. ") * 200)
+    assert all(a[3] <= b[2] for a, b in zip(got, got[1:], strict=False))
+    assert sum(g[0] == "MIT" for g in got) == sum(g[0] == "MIT-permission" for g in got) == 200
