@@ -6,15 +6,19 @@ text's grams are looked up there: any K + WINDOW - 1 words in a row that it
 shares with a template are met. Where hits of a template gather, its words
 are aligned with the text's inside a band around the hits' diagonal, which
 gives the share of the template that is matched and the matched span. The
-index is as large as the templates, whatever the number of documents.
+index is as large as the templates, whatever the number of documents. Places
+that hold too few of a template's words to reach the coverage in any order are
+not aligned.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,6 +31,11 @@ K, WINDOW = 3, 2
 COVERAGE = 0.8
 #: Fingerprints that an index may hold; more are refused (about 100 bytes each).
 INDEX = 1_000_000
+#: Whole texts of long licenses: a folder that many systems have.
+TEXTS = "/usr/share/common-licenses"
+# A cell of an alignment is one number: matched words, the first place, and the last counted from the end.
+_FIRST, _MATCHED = 1 << 21, 1 << 42
+_PLACES = _FIRST - 1
 _WORD = re.compile(r"\w+(?:[.\-+]\w+)*")
 
 # Whole short licenses by name, and the notices by which files claim long ones.
@@ -85,25 +94,31 @@ def winnow(tokens: list[str]) -> list[int]:
     return kept
 
 
-def align(template: list[str], text: list[str], shift: int, band: int) -> tuple[int, int, int]:
+def align(template: Sequence, text: Sequence, shift: int, band: int) -> tuple[int, int, int]:
     """Longest common run of words in order, with template word i near text word i + shift (at most `band` apart).
 
-    Returns the number of matched words and the first and last matched place in the text.
+    Returns the number of matched words and the first and last matched place in
+    the text; of equally long runs that which begins last, then that which ends
+    first. A text may end before the template does.
     """
-    empty = (0, -1, -1)
-    above: dict[int, tuple[int, int, int]] = {}
+    template, text = np.asarray(template), np.asarray(text)
+    best, at = np.zeros(len(text) + 1, np.int64), np.arange(len(text))  # best[j + 1]: in the text up to word j
+    begins, ends = at * _FIRST, _PLACES - at
     for i, word in enumerate(template):
-        row: dict[int, tuple[int, int, int]] = {}
-        left = empty
-        for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
-            best = max(left, above.get(j, empty), key=lambda c: (c[0], c[1]))
-            if text[j] == word:
-                n, first, _ = above.get(j - 1, empty)
-                if n + 1 > best[0]:
-                    best = (n + 1, first if n else j, j)
-            row[j] = left = best
-        above = row
-    return max(above.values(), key=lambda c: (c[0], c[1]), default=empty)
+        lo, hi = max(0, i + shift - band), min(len(text), i + shift + band + 1)
+        if lo < hi:
+            before, above = best[lo:hi], best[lo + 1 : hi + 1]
+            begun = np.where(before > 0, before & (_PLACES * _FIRST), begins[lo:hi])
+            longer = (before & -_MATCHED) + _MATCHED + begun + ends[lo:hi]
+            best[lo + 1 : hi + 1] = np.maximum.accumulate(np.where(text[lo:hi] == word, np.maximum(longer, above), above))
+    top = int(best.max())
+    return (top // _MATCHED, top // _FIRST & _PLACES, _PLACES - (top & _PLACES)) if top else (0, -1, -1)
+
+
+def texts_in(folder: str) -> dict[str, str]:
+    """Whole license texts by name (`GPL-3-text` of a file GPL-3): the files of a folder that the driver sees, without links; none if there is no such folder."""
+    held = sorted(p for p in Path(folder).iterdir() if p.is_file() and not p.is_symlink()) if Path(folder).is_dir() else []
+    return {f"{p.name}-text": p.read_text(encoding="utf-8", errors="replace") for p in held}
 
 
 class Scanner:
@@ -117,6 +132,9 @@ class Scanner:
                 self.index.setdefault(tuple(tokens[i : i + K]), []).append((name, i))
         if sum(map(len, self.index.values())) > INDEX:
             raise ValueError(f"the templates have more than {INDEX} fingerprints")
+        self.ids = {w: i for i, w in enumerate(sorted({w for t in self.templates.values() for w in t}), 1)}
+        self.coded = {name: np.array([self.ids[w] for w in t], np.int64) for name, t in self.templates.items()}
+        self.bags = {name: np.bincount(t, minlength=len(self.ids) + 1) for name, t in self.coded.items()}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """license, coverage, start, end (characters of the text), without overlaps: the longest match first."""
@@ -129,9 +147,11 @@ class Scanner:
         for i in hits:
             for name, at in index[tuple(tokens[i : i + K])]:
                 near.setdefault(name, []).append((i - at, i))
-        found = []
+        found, coded = [], np.array([self.ids.get(w, 0) for w in tokens], np.int64)
         for name, pairs in near.items():
-            template = self.templates[name]
+            template, bag = self.coded[name], self.bags[name]
+            if len(tokens) < self.coverage * len(template):
+                continue
             band = 2 + len(template) // 20
             pairs.sort()
             last = None
@@ -139,7 +159,10 @@ class Scanner:
                 if last is not None and shift - last <= band:
                     continue  # the same place, met again
                 last = shift
-                n, a, z = align(template, tokens[max(0, shift - band) : shift + len(template) + band], min(shift, band), band)
+                around = coded[max(0, shift - band) : shift + len(template) + band]
+                if np.minimum(np.bincount(around, minlength=len(bag)), bag)[1:].sum() < self.coverage * len(template):
+                    continue  # too few of its words, in whatever order
+                n, a, z = align(template, around, min(shift, band), band)
                 if n >= self.coverage * len(template):
                     found.append((n, n / len(template), a + max(0, shift - band), z + max(0, shift - band), name))
         taken, out = [], []  # taken: places in order, apart from one another
@@ -176,4 +199,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
 
 
 def op10_license_scans(spark, sf_dir):
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), TEMPLATES | texts_in(TEXTS))

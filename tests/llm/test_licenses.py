@@ -1,6 +1,8 @@
 import random
 
-from stowage.llm.licenses import TEMPLATES, Scanner, align, scan, words
+import numpy as np
+
+from stowage.llm.licenses import TEMPLATES, TEXTS, Scanner, align, op10_license_scans, scan, texts_in, words
 
 
 def test_align_is_the_longest_common_run():
@@ -76,3 +78,50 @@ def test_many_notices_in_one_text_do_not_overlap():
     got = Scanner(TEMPLATES).scan((one + TEMPLATES["MIT-permission"] + " and on it goes for a while. ") * 200)
     assert all(a[3] <= b[2] for a, b in zip(got, got[1:], strict=False))
     assert sum(g[0] == "MIT" for g in got) == sum(g[0] == "MIT-permission" for g in got) == 200
+
+
+def _longest(a, b):
+    """Length of the longest common subsequence, the whole table."""
+    ids = {w: i for i, w in enumerate({*a, *b})}
+    b, row = np.array([ids[w] for w in b]), np.zeros(len(b) + 1, int)
+    for w in a:
+        row[1:] = np.maximum.accumulate(np.where(b == ids[w], row[:-1] + 1, row[1:]))
+    return int(row.max())
+
+
+def test_whole_query_equals_full_alignment(spark, tmp_path):
+    """Damaged and cut templates, the long ones of a folder among them: each is found as what a full alignment with all templates finds."""
+    templates, rnd = {n: words(t) for n, t in (TEMPLATES | texts_in(TEXTS)).items()}, random.Random(8)
+    texts = []
+    for name, template in templates.items():
+        tokens = list(template)
+        for _ in range(len(tokens) // 25):
+            tokens[rnd.randrange(len(tokens))] = "other"
+        tokens = tokens[: len(tokens) - len(tokens) // 9] if len(tokens) > 40 and len(texts) % 2 else tokens
+        texts.append("\n".join(["pad"] * rnd.randrange(9) + tokens + ["pad"] * (rnd.randrange(9) if len(texts) % 3 else 0)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op10_license_scans(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        tokens = words(text)
+        each = {n: _longest(t, tokens) for n, t in templates.items() if len(tokens) >= 0.8 * len(t)}
+        n, _, name = min((-n, -n / len(templates[name]), name) for name, n in each.items() if n >= 0.8 * len(templates[name]))
+        assert (got[i]["license"], got[i]["coverage"]) == (name, -n / len(templates[name]))
+        inside = words(text[got[i]["start"] : got[i]["end"]])
+        assert _longest(templates[name], inside) == -n and inside[0] in templates[name] and inside[-1] in templates[name]
+
+
+def test_a_text_that_ends_before_its_template_and_folders(tmp_path):
+    long = words(TEMPLATES["BSD-3-Clause"])
+    ((name, share, *_),) = Scanner({"long": " ".join(long)}).scan(" ".join(long[: len(long) * 85 // 100]))
+    assert name == "long" and 0.8 <= share < 0.86
+    (tmp_path / "A").write_bytes(b"first words of a text \xff")
+    (tmp_path / "B").symlink_to(tmp_path / "A")
+    (tmp_path / "C").mkdir()
+    assert list(texts_in(str(tmp_path))) == ["A-text"] and texts_in(str(tmp_path / "none")) == {}
+    assert Scanner({"empty": "", "one": "word"}).scan("word word word word") == []
+
+
+def test_equally_good_matches_are_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e x"), (1, "x a b c d e x")], "doc_id long, text string")
+    got = scan(docs, {"second": "a b c d e", "first": "a b c d e"}).collect()
+    assert [(r["license"], r["coverage"], r["start"], r["end"]) for r in got] == [("first", 1.0, 2, 11)] * 2
