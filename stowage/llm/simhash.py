@@ -15,8 +15,8 @@ as with all pairs.
 The pipeline's stage also links documents whose sets of 5-word shingles have a
 Jaccard similarity of 0.8 or more, which may lie many bits apart. Candidates
 for that share one of BANDS keys of ROWS least hashes each (a pair of
-similarity 0.8 shares none with a chance of 0.0023); all are decided on whole
-sets (similar_links).
+similarity 0.8 shares none with a chance of 0.0023); all holders of a key are
+decided on whole sets, or are linked already (similar_links).
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ SIMILAR = 0.8
 BANDS, ROWS = 20, 6
 #: Holders of a key that are all compared with each other.
 BLOCK = 16
-#: Rarest shingles, and shingles drawn from the rarest fifth, by which texts of a crowd meet.
-RAREST, DRAWN = 16, 16
 #: A shingle that is one in so many of a crowd's is joined by broadcast; there are no more such shingles than that.
 HOT = 1000
 #: Holders of a key that meet its pivots in one task, on average; those of a key with more are dealt to more tasks.
@@ -197,7 +195,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, similar: float) -> DataFrame:
 
 
 def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """node, root (fp): components of the edges near and of rows whose shingle sets are at least that similar.
+    """node, root (fp): components of the edges near and of rows that share a key and whose shingle sets are at least that similar.
 
     sketches: rid, fp, sid, n, bands, five. Equal sets are one node. The
     holders of a key are first compared with two of them, of which one is the
@@ -205,8 +203,10 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
     it is there. Where that leaves a key's holders unconnected, all of them are
     compared up to BLOCK, and more of them with two further pivots. Crowds that
     still do not hold together, as texts that share a long boilerplate, then
-    meet by what is rare in the crowd (rare_pairs). So a group costs its size,
-    not its square, and is spread over tasks by that size.
+    meet by the rare shingles that any pair of that similarity shares
+    (prefixes), first up to BLOCK or with two, at last all that are left apart.
+    So a group of copies costs its size, not its square, and is spread over
+    tasks by that size; no holders of a key that are similar stay apart.
     """
     sketches = sketches.where("n > 0")
     one = durable(sketches.groupBy("sid").agg(F.min("rid").alias("rid"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("most")))
@@ -220,7 +220,6 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
     needed = held.select("rid").distinct()
     whole = stored(sketches.select("rid", "sid", "n", "five").join(needed, "rid", "left_semi").join(one.select("rid", "fp"), "rid"))
 
-    fits = lambda a, b: (F.col(a) >= F.col(b) * similar - 1e-9) & (F.col(b) >= F.col(a) * similar - 1e-9)
     linked, rooted = near.union(same), held.withColumn("root", F.col("fp"))
     for turn in range(2):
         if turn:
@@ -238,61 +237,87 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
             small = met.where(few).select("key", "sid", "n", "root")
             others = small.select("key", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot"))
             pairs = pairs.union(small.join(others, "key").where("sid < o").select("sid", "n", "root", "o", "m", "oroot"))
-        pairs = durable(pairs.where((F.col("root") != F.col("oroot")) & fits("n", "m")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct())
-        if turn and pairs.isEmpty():
-            return roots
-        found = _verified(pairs, whole, similar)
-        if turn and found.isEmpty():
-            return roots
-        linked = linked.union(found)
-    roots, linked, rooted = _joined(linked, held.where(F.col("c") > BLOCK))
+        found = _decided(pairs, whole, similar)
+        if found is not None:
+            linked = linked.union(found)
+    if found is not None:
+        roots, linked, rooted = _joined(linked, held.where(F.col("c") > BLOCK))
+    else:
+        rooted = rooted.where(F.col("c") > BLOCK)
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    crowd = durable(rooted.join(apart, "key", "left_semi").groupBy("rid", "sid", "n", "root").agg(F.max("c").alias("c")))
+    crowd = durable(rooted.join(apart, "key", "left_semi").select("rid").distinct())
     if crowd.isEmpty():
         return roots
-    found = _verified(durable(rare_pairs(crowd, whole, similar).where(fits("n", "m")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct()), whole, similar)
-    return roots if found.isEmpty() else connected_components(linked.union(found))
-
-
-def _joined(linked: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Components of the links, the same as links, and held with its root."""
-    roots = durable(connected_components(linked))
-    rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return roots, roots.select(F.col("root").alias("u"), F.col("node").alias("v")), rooted
-
-
-def rare_pairs(crowd: DataFrame, whole: DataFrame, similar: float) -> DataFrame:
-    """Candidates sid, n, o, m of different roots among texts that share much with many: those that also share something rare.
-
-    crowd: rid, sid, n, root and c, how many hold the text's most widespread
-    key. Two sets of that similarity share one of the rarest n - ceil(similar
-    n) + 1 shingles of each, so a text is represented by shingles among these
-    that another holds too, but no more than half as many as c (of a group that
-    is more than half of its crowd, a pivot is a member): the RAREST, and DRAWN
-    others, the same in all texts as far as they hold them. Two texts of which
-    a tenth of the rarest are shared share none of the drawn with a chance of
-    0.18; that they share none of the rarest either takes RAREST shingles of
-    each that are rarer in the crowd and held by others. Holders of a shingle
-    are all compared up to BLOCK, more of them with two.
+    shelf = prefixes(whole.join(crowd, "rid", "left_semi"), similar)
+    for every in (False, True):
+        _, linked, rooted = _joined(linked, shelf, roots)
+        found = _decided(_met(rooted, similar, every), whole, similar)
+        if found is not None:
+            linked = linked.union(found)
+            roots = durable(connected_components(linked))
+    return roots
+
+
+def _decided(pairs: DataFrame, whole: DataFrame, similar: float) -> DataFrame | None:
+    """Links of the candidates sid, n, root, o, m, oroot that are of different roots and similar enough; None if there are none."""
+    fits = lambda a, b: F.col(a) >= F.col(b) * similar - 1e-9
+    pairs = durable(pairs.where((F.col("root") != F.col("oroot")) & fits("n", "m") & fits("m", "n")).select(F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b")).distinct())
+    if pairs.isEmpty():
+        return None
+    found = _verified(pairs, whole, similar)
+    return None if found.isEmpty() else found
+
+
+def prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """sid, n, fp, f, at, low: the shingles f by which sets (sid, n, fp, five) that are similar enough must meet.
+
+    The shingles of a set are numbered (at) by how many sets hold them, rarest
+    first, in one order for all. The first that two similar sets share leaves
+    no less than their overlap in either: it is among the first n - similar n +
+    1 of both, and low, nearer to the front still, in the smaller. Shingles of
+    one set alone are numbered, but no two sets meet there.
     """
-    held = stored(crowd.select("rid", "sid").join(whole.select("rid", "five"), "rid").select("sid", F.explode("five").alias("f")))
+    held = stored(sets.select("sid", F.explode("five").alias("f")))
     counts = stored(held.groupBy("f").agg(F.count("*").alias("df")).where("df > 1"))
     total = held.count()
     hot = F.broadcast(counts.where(F.col("df") * HOT >= total))  # HOT rows at most
     known = held.join(hot, "f").unionByName(held.join(hot, "f", "left_anti").join(counts.where(F.col("df") * HOT < total), "f"))
-    ranked = known.groupBy("sid").agg(F.collect_list(F.struct("df", F.xxhash64("f").alias("mix"), "f")).alias("all")).join(crowd, "sid")
-    order = F.array_sort(F.filter("all", lambda x: x["df"] * 2 <= F.col("c")))
-    prefix = F.col("n") - F.ceil(F.col("n") * similar) + 1
-    drawn = F.slice(F.array_sort(F.transform(F.slice("order", F.lit(1), prefix.cast("int")), lambda x: F.struct(F.xxhash64(x["f"], F.lit(1)).alias("mix"), x["f"].alias("f")))), 1, DRAWN)
-    some = F.array_distinct(F.concat(F.transform(F.slice("order", 1, RAREST), lambda x: x["f"]), F.transform(drawn, lambda x: x["f"])))
-    chosen = stored(ranked.withColumn("order", order).select("sid", "n", "root", F.explode(some).alias("f")))
-    who, mixed = F.struct("sid", "n", "root"), F.xxhash64("sid", F.lit(2))
-    met = chosen.groupBy("f").agg(F.count("*").alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(F.max_by(who, mixed), F.min_by(who, mixed)).alias("ps")).where("lo <> hi")
-    near = chosen.join(met.where(F.col("h") <= BLOCK).select("f"), "f")
-    pairs = near.join(near.select("f", F.col("sid").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot")), "f").where("sid < o")
-    stars = chosen.join(met.where(F.col("h") > BLOCK).select("f", "ps"), "f").select("f", "sid", "n", "root", F.explode("ps").alias("p"))
-    stars = stars.select("f", "sid", "n", "root", F.col("p.sid").alias("o"), F.col("p.n").alias("m"), F.col("p.root").alias("oroot"))
-    return pairs.union(stars).where("root <> oroot").select("sid", "n", "o", "m")
+    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("f").alias("mix"), "f"))).alias("all")
+    ranked = known.groupBy("sid").agg(order).join(sets.select("sid", "n", "fp"), "sid")
+    placed = ranked.select("sid", "n", "fp", F.size("all").alias("known"), F.posexplode("all").alias("k", "e"))
+    placed = placed.select("sid", "n", "fp", F.col("e.f").alias("f"), (F.col("n") - F.col("known") + F.col("k")).alias("at"))
+    rest = F.col("n") - F.col("at")
+    low = rest * (1 + similar) >= F.col("n") * (2 * similar) - 1e-6
+    return stored(placed.where(rest >= F.col("n") * similar - 1e-6).withColumn("low", low))
+
+
+def _met(shelf: DataFrame, similar: float, every: bool) -> DataFrame:
+    """Candidates sid, n, root, o, m, oroot among prefixes with their root: all holders of a shingle up to BLOCK, more of them with two; or, of those more, all (every).
+
+    The smaller sets of a shingle with many holders are dealt to tasks by
+    SPLIT, each of which meets all the larger ones.
+    """
+    mixed, who = F.xxhash64("sid", F.lit(2)), F.struct("sid", "n", "root")
+    apart = shelf.groupBy("f").agg(F.count("*").alias("h"), F.max("low").alias("some"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(F.max_by(who, mixed), F.min_by(who, mixed)).alias("ps")).where("lo <> hi and some")
+    many = F.col("h") > BLOCK
+    each = apart.where(many if every else ~many).select("f", F.floor(F.col("h") / SPLIT).alias("parts"))
+    held = shelf.join(each, "f")
+    small = held.where("low").withColumn("part", F.pmod(F.xxhash64("sid"), 1 + F.col("parts"))).select("f", "part", "sid", "n", "at", "root")
+    large = held.select("f", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"), F.col("sid").alias("o"), F.col("n").alias("m"), F.col("at").alias("oat"), F.col("root").alias("oroot"))
+    rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("oat"))
+    both = small.join(large, ["f", "part"]).where("root <> oroot and (n < m or n = m and sid < o)").where(rest * (1 + similar) >= (F.col("n") + F.col("m")) * similar - 1e-6)
+    names = ["sid", "n", "root", "o", "m", "oroot"]
+    if every:
+        return both.select(*names)
+    stars = shelf.join(apart.where(many).select("f", "ps"), "f").select("sid", "n", "root", F.explode("ps").alias("p"))
+    return both.select(*names).union(stars.select("sid", "n", "root", F.col("p.sid").alias("o"), F.col("p.n").alias("m"), F.col("p.root").alias("oroot")))
+
+
+def _joined(linked: DataFrame, held: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of the links (roots, if they are known), the same as links, and held with its root."""
+    roots = durable(connected_components(linked)) if roots is None else roots
+    rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return roots, roots.select(F.col("root").alias("u"), F.col("node").alias("v")), rooted
 
 
 def near_duplicates(docs: DataFrame, dense: int = DENSE, similar: float | None = None) -> DataFrame:

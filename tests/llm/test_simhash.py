@@ -1,7 +1,7 @@
 import random
 
 from stowage.llm.common import connected_components
-from stowage.llm.simhash import fingerprint, keep_one, links, near_duplicates, sketch
+from stowage.llm.simhash import fingerprint, keep_one, links, near_duplicates, similar_links, sketch
 
 
 def roots_of(nodes, pairs):
@@ -183,3 +183,27 @@ def test_kept_rows_of_tables_with_any_names(spark):
     rows = [(1, "one text of some words", 1, 2, 3), (1, "one text of some words", 4, 5, 6), (None, "one text of some words", 7, 8, 9), (2, "other", 1, 1, 1)]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id0 int, _row0 int, _kept int"))
     assert kept.columns == ["doc_id", "text", "_id0", "_row0", "_kept"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_all_holders_of_a_key_are_decided(spark):
+    """Crowds of one key whose pivots are alone: similar sets are linked, also where all that they share is held by most, and however the pivots fare."""
+    sketch_type = "rid long, fp long, sid long, n int, bands array<long>, five array<int>"
+    common = list(range(100_000, 100_080))  # 80 of a crowd's shingles; two sets with ten more each are 0.8 similar
+    fresh = iter(range(1_000_000))
+    draw = lambda k: [next(fresh) for _ in range(k)]
+    for crowd, keyed in ((3, False), (40, True)):
+        sets, band = [], {}
+        for i in range(42):
+            sets.append(common + draw(40 if i not in (20, 21) else 10))
+        shared = [draw(90) for _ in range(4)]
+        for g in range(4):  # of a hundred shingles, ninety are a group's, and others of these are held by one that is alone
+            sets += [shared[g] + draw(10) for _ in range(crowd)] + [shared[g][:20] + draw(80)]
+        for i in (7, 8):  # linked by another key
+            sets[i] = common + draw(5)
+            band[i] = 777
+        rows = [(i, 10 * i, (i * 7919) % 10_007, len(x), [1, band.get(i, 5000 + i)], x) for i, x in enumerate(sets)]
+        rows = [r for r in rows if keyed or r[0] not in band]
+        got = {r["node"]: r["root"] for r in similar_links(spark.createDataFrame(rows, sketch_type), spark.createDataFrame([], "u long, v long")).collect()}
+        known = {r[1]: set(r[5]) for r in rows}
+        pairs = [(a, b) for a in known for b in known if a < b and 5 * len(known[a] & known[b]) >= 4 * len(known[a] | known[b])]
+        assert (200, 210) in pairs and {a: got.get(a, a) for a in known} == roots_of(known, pairs)
