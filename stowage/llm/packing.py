@@ -13,11 +13,15 @@ filled sequence is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,20 @@ SIZE = 1024
 CACHE, LONGEST = 200_000, 64
 #: A left-over table of at most so many rows is broadcast (24 bytes a row).
 SMALL = 200_000
+#: Letters of Latin scripts; other ASCII characters that the pre-tokenizer never joins to a letter after them (no apostrophe), and blanks.
+LETTER, MARK, BLANK = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]", r"[!-&(-/:-@\[-`{-~]", r"[\t\n\r]"
+#: Words of which each run of letters and each run between is encoded by itself: a run before letters ends in one blank at most, a last one in none.
+_BETWEEN, _LAST = rf"(?:(?:{MARK}|{BLANK})*{MARK}{BLANK}?|{BLANK})", rf"(?:{MARK}|{BLANK})*{MARK}"
+_LETTERS, _SHAPE, _RUNS = re.compile(f"{LETTER}+").fullmatch, re.compile(f"{LETTER}+(?:{_BETWEEN}{LETTER}+)*(?:{_LAST})?").fullmatch, re.compile(f"{LETTER}+|(?:{MARK}|{BLANK})+").findall
+
+_ID = attrgetter("id")
+
+
+def _printed() -> dict[int, str]:
+    """Byte-level vocabularies' character for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
 @lru_cache(maxsize=2)
@@ -45,8 +63,10 @@ class Encoder:
     The vocabulary's pre-tokenizer always starts a new word at a single space
     between two other characters, so the words between such spaces are encoded
     once each: many at a time, as one text, in whose ids each word begins at a
-    token that begins with a space. A text with other spacing, or with the text
-    of a special token, is encoded whole.
+    token that begins with a space. Words of letters and marks are cut into
+    runs as the pre-tokenizer cuts them, and each run of letters is given to the
+    library's model. A text with other spacing, or with the text of a special
+    token, is encoded whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -60,7 +80,11 @@ class Encoder:
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
+        self.model, self.printed = self.tokenizer.model, _printed()
+        kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.runs = self.tokenizer.normalizer is None and kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not any(map(_LETTERS, self.special))
         self.known: dict[str, bytes] = {}
+        self.between: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -76,9 +100,37 @@ class Encoder:
         at = (starts * self.kind.itemsize).tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
+    def _run(self, letters: str, space: str) -> bytes:
+        """Ids of one run of letters; space: the vocabulary's character for a space before it, or none."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.printed)
+        return array(self.kind.char, map(_ID, self.model.tokenize(space + letters))).tobytes()
+
+    def _by_runs(self, word: str) -> bytes:
+        """Ids of a word of the shape, with a space before it."""
+        first, *more = _RUNS(word)
+        out = [self.known.get(first) or self._run(first, "\u0120")]
+        for i, run in enumerate(more):
+            held = self.heads if i % 2 else self.between
+            if (ids := held.get(run)) is None:
+                ids = self._run(run, "") if i % 2 else self._whole(run)
+                if len(run) <= LONGEST and len(held) < CACHE:
+                    held[run] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def _learn(self, new: list[str]) -> None:
         """Adds words to the known ones; those with blanks at an end or special tokens are left to whole texts."""
+        known = self.known
+        if self.runs:
+            code, tokenize = self.kind.char, self.model.tokenize
+            letters = [w for w in new if _LETTERS(w)]
+            known.update([(w, array(code, map(_ID, tokenize("\u0120" + w))).tobytes() if w.isascii() else self._run(w, "\u0120")) for w in letters])
+            new = [w for w in new if w not in known]
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and not self.marked(w)]
+        if self.runs:
+            known.update([(w, self._by_runs(w)) for w in plain if _SHAPE(w)])
+            plain = [w for w in plain if w not in known]
         for i in range(0, len(plain), 2048):
             part = plain[i : i + 2048]
             self.known.update(zip(part, self._words(part), strict=True))
@@ -86,7 +138,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         new = list(set().union(*split).difference(self.known))
-        self._learn(new)
+        collects = gc.isenabled()
+        gc.disable()  # a pass for every so many tokens finds nothing
+        try:
+            self._learn(new)
+        finally:
+            if collects:
+                gc.enable()
         known, heads, out = self.known, self.heads, []
         for text, parts in zip(texts, split, strict=True):
             first = parts[0]

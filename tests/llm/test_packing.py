@@ -18,6 +18,23 @@ def test_encoder_equals_the_library():
         assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_of_letters_and_marks_are_encoded_by_runs():
+    """Ids equal the library's on any mix; words of letters and marks never meet its pre-tokenizer, but for the marks between."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(9)
+    pool = ["a", "the", "Zeta", "ñandú", "ƀȃ", "ß", ".", ",\n", "\n", "\n\n", "\t", "\r\n", "'s", "'", "'re", "-", "_", "__", "9", "½", "²", "中", "Ⅷ", "\u0301", "\x85", "\u00a0", "\x0b", "<|", "|>", "ж", "ª", "÷", "×", "~", "[", "`", " ", " ", "  "]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 12))) for _ in range(8000)]
+    e = Encoder()
+    for _ in range(2):
+        assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    e, seen = Encoder(), []
+    whole = e._whole
+    e._whole = lambda text: (seen.append(text), whole(text))[1]
+    text = "first " + " ".join(f"{a}{b}" for a in ("wordbla", "señor", "Öl") for b in ("", ",", ".\nNext", "\nend.", "!?)", "-to-be"))
+    assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert set(seen) == {"first", ",", ".\n", "\n", ".", "!?)", "-"}
+
+
 def test_knapsack_and_patterns():
     lengths = np.array([7, 5, 3])
     best, last = exact_fill(np.array([7.0, 1.0, 1.0]), lengths, 16)
