@@ -44,6 +44,8 @@ BLOCK = 16
 HOT = 1000
 #: Holders of a key that meet its pivots in one task, on average; those of a key with more are dealt to more tasks.
 SPLIT = 256
+#: So many ids are broadcast (some 64 bytes each) to pick rows; with more, the rows' texts or sets are shuffled.
+IDS = 2_000_000
 _RANDOM = np.random.default_rng(SEED)
 _MULTIPLY = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * 2 + 1).astype(np.uint32)
 _FLIP = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -217,7 +219,7 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
     held = durable(keyed.join(many, "key"))
     sums = held.groupBy("sid").agg(F.sum("c").alias("meets"))
     held = stored(held.join(sums, "sid"))
-    needed = held.select("rid").distinct()
+    needed = _few(held.select("rid").distinct())
     whole = stored(sketches.select("rid", "sid", "n", "five").join(needed, "rid", "left_semi").join(one.select("rid", "fp"), "rid"))
 
     linked, rooted = near.union(same), held.withColumn("root", F.col("fp"))
@@ -258,6 +260,12 @@ def similar_links(sketches: DataFrame, near: DataFrame, similar: float = SIMILAR
     return roots
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """The ids, computed once, to be broadcast unless there are more than IDS."""
+    ids = durable(ids)
+    return F.broadcast(ids) if ids.count() <= IDS else ids
+
+
 def _decided(pairs: DataFrame, whole: DataFrame, similar: float) -> DataFrame | None:
     """Links of the candidates sid, n, root, o, m, oroot that are of different roots and similar enough; None if there are none."""
     fits = lambda a, b: F.col(a) >= F.col(b) * similar - 1e-9
@@ -353,7 +361,8 @@ def keep_one(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
     """One row of each group: that of the least doc_id in it, one of them if rows repeat that id, any one of a group without ids.
 
     Rows without a doc_id of their own are stored with a row number and are
-    kept or left out by it. Columns of docs may have any names.
+    kept or left out by it. Columns of docs may have any names. The texts are
+    not shuffled while the copies' ids are few enough to be broadcast.
     """
     taken = set(docs.columns)
     id_, row = (next(n for n in (f"_{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("id", "row"))
@@ -365,8 +374,8 @@ def keep_one(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
         odd = stored(docs.join(repeated, own.eqNullSafe(F.col(id_)), "left_semi").withColumn(row, F.monotonically_increasing_id()))
     rows = _rows(plain) if odd is None else _rows(plain).union(_rows(odd, row))
     grouped = durable(_grouped(rows, DENSE, similar))
-    kept = grouped.where("doc_id = component_id and mark is null")
-    one = plain.join(kept.select(F.col("doc_id").alias(id_)), own == F.col(id_), "left_semi")
+    copies = _few(grouped.where("doc_id <> component_id and mark is null").select(F.col("doc_id").alias(id_)))
+    one = plain.join(copies, own == F.col(id_), "left_anti")
     if odd is None:
         return one
     marks = grouped.where("mark is not null and (doc_id = component_id or component_id is null)").groupBy("root").agg(F.min("mark").alias(id_)).select(id_)

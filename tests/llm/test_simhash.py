@@ -207,3 +207,19 @@ def test_all_holders_of_a_key_are_decided(spark):
         known = {r[1]: set(r[5]) for r in rows}
         pairs = [(a, b) for a in known for b in known if a < b and 5 * len(known[a] & known[b]) >= 4 * len(known[a] | known[b])]
         assert (200, 210) in pairs and {a: got.get(a, a) for a in known} == roots_of(known, pairs)
+
+
+def test_texts_are_not_shuffled_to_leave_copies_out(spark, monkeypatch):
+    """The same rows stay, by a broadcast of the copies' ids or, where these are many, by a shuffle."""
+    rows = [(i, f"some words of the text {i % 7} are here and {i % 7 * 31} more") for i in range(40)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = keep_one(docs, similar=None)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        want = sorted(r["doc_id"] for r in kept.collect())
+        assert want == [*range(7), 50]
+        monkeypatch.setattr("stowage.llm.simhash.IDS", 0)
+        assert sorted(r["doc_id"] for r in keep_one(docs, similar=None).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
