@@ -25,21 +25,26 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import stored, text_slices
 
 SIZE = 1024
-#: Different words whose ids a worker remembers, and their greatest length.
-CACHE, LONGEST = 200_000, 64
+#: Different words whose ids a worker remembers (some 150 bytes each), runs of letters and marks that begin none, and the greatest length of both.
+CACHE, RUNS, LONGEST = 500_000, 200_000, 64
+#: Words that the library encodes as one text.
+AT_ONCE = 8192
+#: Bytes of text whose different words are found together.
+SLICE = 8 << 20
 #: A left-over table of at most so many rows is broadcast (24 bytes a row).
 SMALL = 200_000
 #: Letters of Latin scripts; other ASCII characters that the pre-tokenizer never joins to a letter after them (no apostrophe), and blanks.
 LETTER, MARK, BLANK = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]", r"[!-&(-/:-@\[-`{-~]", r"[\t\n\r]"
 #: Words of which each run of letters and each run between is encoded by itself: a run before letters ends in one blank at most, a last one in none.
 _BETWEEN, _LAST = rf"(?:(?:{MARK}|{BLANK})*{MARK}{BLANK}?|{BLANK})", rf"(?:{MARK}|{BLANK})*{MARK}"
-_LETTERS, _SHAPE, _RUNS = re.compile(f"{LETTER}+").fullmatch, re.compile(f"{LETTER}+(?:{_BETWEEN}{LETTER}+)*(?:{_LAST})?").fullmatch, re.compile(f"{LETTER}+|(?:{MARK}|{BLANK})+").findall
+_LETTERS, _SHAPE, _CUT = re.compile(f"{LETTER}+").fullmatch, re.compile(f"{LETTER}+(?:{_BETWEEN}{LETTER}+)*(?:{_LAST})?").fullmatch, re.compile(f"{LETTER}+|(?:{MARK}|{BLANK})+").findall
 
 _ID = attrgetter("id")
 
@@ -64,14 +69,15 @@ class Encoder:
     between two other characters, so the words between such spaces are encoded
     once each: many at a time, as one text, in whose ids each word begins at a
     token that begins with a space. Words of letters and marks are cut into
-    runs as the pre-tokenizer cuts them, and each run of letters is given to the
-    library's model. A text with other spacing, or with the text of a special
-    token, is encoded whole.
+    runs as the pre-tokenizer cuts them, and the runs of letters are given to the
+    library's model, those that begin words as one text cut at NUL. A text with
+    other spacing, or with the text of a special token, is encoded whole.
     """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
@@ -81,6 +87,9 @@ class Encoder:
         self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
         self.model, self.printed = self.tokenizer.model, _printed()
+        self.codes = np.array([0, *(ord(self.printed[b]) for b in range(1, 256))], "<u4")  # NUL stays
+        self.at_nul = Tokenizer(self.model)
+        self.at_nul.pre_tokenizer = CharDelimiterSplit("\0")
         kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.runs = self.tokenizer.normalizer is None and kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not any(map(_LETTERS, self.special))
         self.known: dict[str, bytes] = {}
@@ -91,74 +100,95 @@ class Encoder:
         (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without offsets
         return np.array(got.ids, self.kind).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space before each; many as one text."""
-        raw = self._whole(" " + " ".join(words))
+    def _parts(self, raw: bytes, n: int) -> list[bytes] | None:
+        """Ids of n words, each of which begins at a token that begins with a space; None if these are not n."""
         starts = np.flatnonzero(self.spaced[np.frombuffer(raw, self.kind)])
-        if len(starts) != len(words):
-            return [self._whole(" " + w) for w in words]
+        if len(starts) != n:
+            return None
         at = (starts * self.kind.itemsize).tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each; many as one text."""
+        return self._parts(self._whole(" " + " ".join(words)), len(words)) or [self._whole(" " + w) for w in words]
+
+    def _first_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters with a space before each, by the model alone; many as one text."""
+        text = self.codes[np.frombuffer((" " + "\0 ".join(runs)).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        (got,) = self.at_nul.encode_batch_fast([text], add_special_tokens=False)
+        return self._parts(np.array(got.ids, self.kind).tobytes(), len(runs)) or [self._run(r, "\u0120") for r in runs]
+
     def _run(self, letters: str, space: str) -> bytes:
         """Ids of one run of letters; space: the vocabulary's character for a space before it, or none."""
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.printed)
         return array(self.kind.char, map(_ID, self.model.tokenize(space + letters))).tobytes()
 
-    def _by_runs(self, word: str) -> bytes:
-        """Ids of a word of the shape, with a space before it."""
-        first, *more = _RUNS(word)
-        out = [self.known.get(first) or self._run(first, "\u0120")]
-        for i, run in enumerate(more):
+    def _by_runs(self, runs: list[str]) -> bytes:
+        """Ids of a word of the shape, cut into runs, with a space before it; the first run is a known word."""
+        out = [self.known[runs[0]]]
+        for i, run in enumerate(runs[1:]):
             held = self.heads if i % 2 else self.between
             if (ids := held.get(run)) is None:
                 ids = self._run(run, "") if i % 2 else self._whole(run)
-                if len(run) <= LONGEST and len(held) < CACHE:
+                if len(run) <= LONGEST and len(held) < RUNS:
                     held[run] = ids
             out.append(ids)
         return b"".join(out)
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds words to the known ones; those with blanks at an end or special tokens are left to whole texts."""
-        known = self.known
+    def _learn(self, new: list[str]) -> list[str]:
+        """Adds words to the known ones, and those that begin them, which are returned. Words with blanks at an end or special tokens are left to whole texts."""
+        known, begin = self.known, []
         if self.runs:
-            code, tokenize = self.kind.char, self.model.tokenize
-            letters = [w for w in new if _LETTERS(w)]
-            known.update([(w, array(code, map(_ID, tokenize("\u0120" + w))).tobytes() if w.isascii() else self._run(w, "\u0120")) for w in letters])
+            shaped = [w for w in new if _SHAPE(w)]
+            letters = [w for w in shaped if w.isalpha()]
+            mixed = [(w, _CUT(w)) for w in shaped if not w.isalpha() and not self.marked(w)]
+            begin = list({runs[0] for _, runs in mixed}.difference(known, letters))
+            letters += begin
+            for i in range(0, len(letters), AT_ONCE):
+                part = letters[i : i + AT_ONCE]
+                known.update(zip(part, self._first_runs(part), strict=True))
+            known.update([(w, self._by_runs(runs)) for w, runs in mixed])
             new = [w for w in new if w not in known]
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and not self.marked(w)]
-        if self.runs:
-            known.update([(w, self._by_runs(w)) for w in plain if _SHAPE(w)])
-            plain = [w for w in plain if w not in known]
-        for i in range(0, len(plain), 2048):
-            part = plain[i : i + 2048]
-            self.known.update(zip(part, self._words(part), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        for i in range(0, len(plain), AT_ONCE):
+            part = plain[i : i + AT_ONCE]
+            known.update(zip(part, self._words(part), strict=True))
+        return begin
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text. Arrow splits the texts, finds their different words and lays the words' ids end to end."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.split_pattern(texts, " ")
+        words = split.values.dictionary_encode()
+        different, known, heads = words.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, self.heads
+        found = list(map(known.get, different))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = [different[i] for i in missing]
         collects = gc.isenabled()
         gc.disable()  # a pass for every so many tokens finds nothing
         try:
-            self._learn(new)
+            new += self._learn(new)
         finally:
             if collects:
                 gc.enable()
-        known, heads, out = self.known, self.heads, []
-        for text, parts in zip(texts, split, strict=True):
-            first = parts[0]
-            if first not in known:
-                out.append(self._whole(text))
+        for i in missing:
+            found[i] = known.get(different[i])  # none: texts with this word are encoded whole
+        ids = pa.array(found, pa.large_binary())
+        at, first = words.indices.to_numpy(), split.offsets.to_numpy()
+        strange = np.append(0, np.cumsum(np.asarray(ids.is_null())[at]))[first]
+        ends = ids.take(words.indices)
+        raw, ends = memoryview(ends.buffers()[2] or b""), np.frombuffer(ends.buffers()[1], np.int64, len(at) + 1)
+        out = []
+        for i, (odd, word, start, stop) in enumerate(zip(np.diff(strange).tolist(), at[first[:-1]].tolist(), ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist(), strict=True)):
+            if odd:
+                out.append(self._whole(texts[i].as_py()))
                 continue
-            if (head := heads.get(first)) is None:
-                head = self._whole(first)
-                if len(first) <= LONGEST and len(heads) < CACHE:
-                    heads[first] = head
-            try:
-                out.append(head + b"".join(map(known.__getitem__, parts[1:])))
-            except KeyError:
-                out.append(self._whole(text))
+            if (head := heads.get(w := different[word])) is None:
+                head = self._whole(w)
+                if len(w) <= LONGEST and len(heads) < RUNS:
+                    heads[w] = head
+            out.append(head + raw[start:stop])
         # Full: what was there first, so mostly the frequent words, stays.
         full = len(known) > CACHE
         for w in new:
@@ -172,9 +202,9 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             rows = []
-            for ids in encoder.encode([t or "" for t in b.column("text").to_pylist()]):
+            for ids in encoder.encode(pc.fill_null(b.column("text"), "")):
                 ids = np.append(np.frombuffer(ids, encoder.kind), encoder.kind.type(0))
                 n = len(ids) // SIZE * SIZE
                 wide = ids.astype("<u4")

@@ -35,6 +35,40 @@ def test_words_of_letters_and_marks_are_encoded_by_runs():
     assert set(seen) == {"first", ",", ".\n", "\n", ".", "!?)", "-"}
 
 
+def test_new_words_meet_the_library_together():
+    """Hundreds of new words are few calls, a run that begins many words is encoded once, and words met before are not encoded again."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(10)
+    made = ["".join(rnd.choice(["re", "th", "Ou", "né", "Ġ", "ble"]) for _ in range(5)) for _ in range(900)]
+    texts = ["start " + " ".join(w + mark for w in made for mark in ("", ",", ".\nNext")), "start", "start " + " ".join(made), "", "start  two", "start 12 don't 中文", "start tail ", "start <|endoftext|> x"]
+    e, calls = Encoder(), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def tokenize(self, text):
+            calls.append(text)
+            return self.inner.tokenize(text)
+
+    e.model = Counted(e.model)
+    for _ in range(2):
+        assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert calls == ["Next"]  # runs within words one by one, once; those that begin words as one text
+
+
+def test_full_caches_change_no_ids(monkeypatch):
+    monkeypatch.setattr("stowage.llm.packing.CACHE", 3)
+    monkeypatch.setattr("stowage.llm.packing.AT_ONCE", 2)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(11)
+    e = Encoder()
+    for _ in range(20):
+        texts = [" ".join(rnd.choice(["a", "ab", "über", "b.\nc", "x,", "12", "", "中", "z" * 70, "z" * 70 + "."]) for _ in range(rnd.randrange(9))) for _ in range(5)]
+        assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert not any(len(w) > 64 for w in e.known)
+
+
 def test_knapsack_and_patterns():
     lengths = np.array([7, 5, 3])
     best, last = exact_fill(np.array([7.0, 1.0, 1.0]), lengths, 16)
