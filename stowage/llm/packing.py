@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from stowage.llm.common import stored, text_slices
 
 SIZE = 1024
-#: Different words whose ids a worker remembers (some 150 bytes each), runs of letters and marks that begin none, and the greatest length of both.
-CACHE, RUNS, LONGEST = 500_000, 200_000, 64
+#: Different words whose ids a worker remembers (some 150 bytes each; as many runs that begin none), and their greatest length.
+CACHE, LONGEST = 200_000, 64
 #: Words that the library encodes as one text.
 AT_ONCE = 8192
 #: Bytes of text whose different words are found together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: A left-over table of at most so many rows is broadcast (24 bytes a row).
 SMALL = 200_000
 #: Letters of Latin scripts; other ASCII characters that the pre-tokenizer never joins to a letter after them (no apostrophe), and blanks.
@@ -131,7 +131,7 @@ class Encoder:
             held = self.heads if i % 2 else self.between
             if (ids := held.get(run)) is None:
                 ids = self._run(run, "") if i % 2 else self._whole(run)
-                if len(run) <= LONGEST and len(held) < RUNS:
+                if len(run) <= LONGEST and len(held) < CACHE:
                     held[run] = ids
             out.append(ids)
         return b"".join(out)
@@ -186,7 +186,7 @@ class Encoder:
                 continue
             if (head := heads.get(w := different[word])) is None:
                 head = self._whole(w)
-                if len(w) <= LONGEST and len(heads) < RUNS:
+                if len(w) <= LONGEST and len(heads) < CACHE:
                     heads[w] = head
             out.append(head + raw[start:stop])
         # Full: what was there first, so mostly the frequent words, stays.
