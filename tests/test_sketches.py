@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators import sketches, stores
 from stowage.operators.spec import TableSpec
+from stowage.plans import fixtures, stored
 from stowage.sources import files
 
 
@@ -26,6 +27,19 @@ def test_estimates_are_within_their_error(spark):
         assert abs(r["n_either"] / len(a | b) - 1) < 4 * sketches.error_of() and abs(r["n_both"] - len(a & b)) < 4 * sketches.error_of() * len(a | b)
 
 
+def _documents(spark, path, n):
+    """Documents whose keys need more than one part, some twice."""
+    rows = spark.range(n).union(spark.range(0, n, 10)).select(F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"))
+    rows.write.parquet(f"{path}/documents.parquet")
+
+
+def test_coverage_of_many_keys_is_exact(spark, tmp_path):
+    _documents(spark, tmp_path, 30_000)
+    got = stored.sketched_coverage(spark, str(tmp_path)).collect()
+    want = stores.coverage(fixtures.inventory(spark, str(tmp_path)), fixtures.SPEC).drop("copy").collect()
+    assert {(r["repo_uuid"], r["n_held"], r["n_all"], r["share"]) for r in got} == {tuple(r) for r in want} and len(got) == 3
+
+
 def test_no_rows(spark):
     none = sketches.sketch_keys(spark.createDataFrame([], "repo_uuid string, id long"), ["id"])
     assert sketches.approximate_coverage(sketches.merge_sketches(none)).count() == 0 and sketches.approximate_shared(none).count() == 0
