@@ -40,6 +40,21 @@ def test_coverage_of_many_keys_is_exact(spark, tmp_path):
     assert {(r["repo_uuid"], r["n_held"], r["n_all"], r["share"]) for r in got} == {tuple(r) for r in want} and len(got) == 3
 
 
+def test_shared_keys_of_many_are_exact(spark, tmp_path):
+    _documents(spark, tmp_path, 30_000)
+    ids = {"0000000a": {i for i in range(30_000) if i % 3}, "0000000b": set(range(0, 30_000, 2)), "0000000c": set(range(0, 30_000, 5))}
+    want = {(u, v, len(ids[u] & ids[v]), len(ids[u] | ids[v])) for u in ids for v in ids if u < v}
+    assert {tuple(r) for r in stored.sketched_shared(spark, str(tmp_path)).select("left", "right", "n_both", "n_either").collect()} == want
+
+
+def test_repositories_that_share_no_part(spark):
+    """Few keys in many parts; keys that differ only in where one column ends, or by a null, are different."""
+    rows = [("u", "a|1", "b"), ("u", "a", "1|b"), ("u", None, "b"), ("u", "\\N", "b"), ("v", "x", "y"), ("w", "a", "1|b")]
+    merged = sketches.merge_sketches(sketches.sketch_keys(spark.createDataFrame(rows, "repo_uuid string, k string, l string"), ["k", "l"], parts=1000))
+    assert {tuple(r) for r in sketches.approximate_shared(merged).collect()} == {("u", "v", 0, 5), ("u", "w", 1, 4), ("v", "w", 0, 2)}
+    assert {(r["repo_uuid"], r["n_held"], r["n_all"]) for r in sketches.approximate_coverage(merged).collect()} == {("u", 4, 5), ("v", 1, 5), ("w", 1, 5)}
+
+
 def test_no_rows(spark):
     none = sketches.sketch_keys(spark.createDataFrame([], "repo_uuid string, id long"), ["id"])
     assert sketches.approximate_coverage(sketches.merge_sketches(none)).count() == 0 and sketches.approximate_shared(none).count() == 0
