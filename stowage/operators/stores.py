@@ -12,6 +12,7 @@ from stowage.operators import bloom
 from stowage.operators.bloom import BloomFilter
 from stowage.operators.inventory import upsert
 from stowage.operators.spec import TableSpec
+from stowage.sources import paths
 
 
 class MissingContent(Exception):
@@ -26,9 +27,33 @@ def insert_missing(dst: DataFrame, new: DataFrame, on_exists: str = "error") ->
     return dst.union(fresh.dropDuplicates(["file_key"]))
 
 
+#: Digits of p1, the first part of a storage path, by which content lies in folders: 256 of them.
+FOLDER_DIGITS = 2
+
+
 def write_content(content: DataFrame, path: str, mode: str = "append") -> None:
-    """Content as Parquet under folders by the first part of its storage path."""
-    shard_paths(content).write.mode(mode).partitionBy("p1").parquet(path)
+    """Content as Parquet under folders by the first digits of its storage path.
+
+    Rows are dealt by folder, so a write adds one file to each folder (or more
+    where it has much for one) and not one from every task; they lie in order of
+    the path's first part, so a reader of a few parts skips the rest.
+    """
+    placed = shard_paths(content).withColumn("folder", F.left("p1", F.lit(FOLDER_DIGITS)))
+    placed.hint("rebalance", "folder").sortWithinPartitions("folder", "p1").write.mode(mode).partitionBy("folder").parquet(path)
+
+
+def stored_in_folders(spark: SparkSession, path: str, schema: str, keys: DataFrame | None = None) -> DataFrame | None:
+    """Rows of the content at path, with p1 and folder; None if there are none. With keys (file_key) only the folders that these lie in are listed, and only their parts read."""
+    held = [n for n in paths.names(spark, path) if n.startswith("folder=")]
+    parts: list[str] = []
+    if keys is not None and held:
+        parts = [r["p1"] for r in shard_paths(keys.select("file_key")).select("p1").distinct().collect()]  # 4,096 at most
+        wanted = {f"folder={p[:FOLDER_DIGITS]}" for p in parts}
+        held = [n for n in held if n in wanted]
+    if not held:
+        return None
+    rows = spark.read.schema(f"{schema}, p1 string, folder string").option("basePath", path).parquet(*(f"{path}/{n}" for n in held))
+    return rows if keys is None else rows.where("p1 in ('" + "', '".join(parts) + "')")  # one call; isin() makes a call for each
 
 
 def read_content(content: DataFrame, keys: DataFrame, on_missing: str = "error") -> DataFrame:

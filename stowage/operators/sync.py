@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.keys import shard_paths
 from stowage.operators import leaves, stores
 from stowage.operators.leaves import LeafStore
 from stowage.operators.move import move_plan, move_summary, require_content
@@ -16,14 +15,8 @@ from stowage.sources import paths
 
 def stored_content(store: LeafStore, path: str, keys: DataFrame | None = None) -> DataFrame:
     """file_key and content at path (see write_content), empty before anything is written; with keys only the folders that these lie in are listed."""
-    spark, kind = store.spark, "file_key string, content binary, p1 string"
-    held = [n for n in paths.names(spark, path) if n.startswith("p1=")]
-    if keys is not None:
-        wanted = {"p1=" + r["p1"] for r in shard_paths(keys.select("file_key")).select("p1").distinct().collect()}  # 4,096 at most
-        held = [n for n in held if n in wanted]
-    if not held:
-        return stores.empty_content(spark)
-    return spark.read.schema(kind).option("basePath", path).parquet(*(f"{path}/{n}" for n in held)).select("file_key", "content")
+    held = stores.stored_in_folders(store.spark, path, "file_key string, content binary", keys)
+    return stores.empty_content(store.spark) if held is None else held.select("file_key", "content")
 
 
 def pull(frm: LeafStore, repo_frm: str, to: LeafStore, repo_to: str, src: DataFrame, dst_path: str, label: str = "", **options) -> DataFrame:

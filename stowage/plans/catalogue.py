@@ -331,7 +331,7 @@ def read_content(spark, sf_dir):
 def write_content(spark, sf_dir):
     path = work_folder(spark)
     stores.write_content(content(spark, sf_dir, "c"), path)
-    return spark.read.schema("file_key string, content string, p1 string").parquet(path)
+    return spark.read.schema("file_key string, content string, p1 string").parquet(path).drop("folder")
 
 
 @query(_WITH + f"SELECT '{A}' AS repo_uuid, source, doc_id, file_key FROM k")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stowage.functions.keys import shard_paths
+from stowage.operators import stores
 from stowage.operators.inventory import upsert, write_inventory
 from stowage.operators.leaves import LeafStore, commit, nodes
 from stowage.operators.spec import TableSpec
@@ -116,17 +116,16 @@ def stream_insert_missing(stream: DataFrame, path: str, checkpoint: str) -> Stre
     """Adds the content of keys that the store at path lacks, each once; rows without a key are left out.
 
     The store itself is the state, so nothing grows in the stream. It lies in
-    folders by the first part of a key's storage path, and a batch is compared
-    with the folders that its keys are in.
+    folders by the first digits of a key's storage path, and a batch is compared
+    with the folders and parts that its keys are in.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        fresh = shard_paths(batch.where("file_key is not null").dropDuplicates(["file_key"])).select(*batch.columns, "p1")
-        held = _stored(batch, path)
+        keyed = batch.where("file_key is not null")
+        fresh = keyed.dropDuplicates(["file_key"])
+        held = stores.stored_in_folders(batch.sparkSession, path, "file_key string", keyed)
         if held is not None:
-            parts = [r["p1"] for r in fresh.select("p1").distinct().collect()]  # 4,096 at most
-            held = held.where(F.col("p1").isin(parts)).select("file_key")
-            fresh = fresh.join(held, "file_key", "left_anti").select(*batch.columns, "p1")
-        fresh.write.mode("append").partitionBy("p1").parquet(path)
+            fresh = fresh.join(held.select("file_key"), "file_key", "left_anti").select(*batch.columns)
+        stores.write_content(fresh, path)
 
     return _started(stream, apply, checkpoint)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,19 @@ def test_a_batch_with_other_columns_loses_no_rows(spark, tmp_path):
         stream = spark.readStream.schema(twice.schema).parquet(f"{source}/keys")
         stream_insert_missing(stream, str(tmp_path / "content"), str(tmp_path / f"k{i}")).awaitTermination()
     assert [r["file_key"] for r in spark.read.parquet(str(tmp_path / "content")).collect()] == ["k"]
+
+
+def test_stored_content_is_one_file_a_folder(spark, tmp_path):
+    """Many tasks add few files: those of 2,000 keys lie in 256 folders; a later batch lists its own folders and adds what is new."""
+    rows = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("file_key"), F.concat(F.lit("bytes "), "id").alias("content"))
+    rows.union(rows).repartition(8).write.parquet(f"{tmp_path}/in/0")
+    rows.union(rows.select(F.lit("new"), F.lit("bytes"))).where("file_key in ('k1', 'k2', 'new')").write.parquet(f"{tmp_path}/in/1")
+    for i, most in enumerate((256, 257)):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/{i}")
+        stream_insert_missing(stream, f"{tmp_path}/content", f"{tmp_path}/c{i}").awaitTermination()
+        assert len([f for _, _, names in os.walk(tmp_path / "content") for f in names if f.endswith(".parquet")]) <= most
+    got = spark.read.parquet(f"{tmp_path}/content").select("file_key", "content").collect()
+    assert {tuple(r) for r in got} == {(f"k{i}", f"bytes {i}") for i in range(2000)} | {("new", "bytes")} and len(got) == 2001
+    asked = spark.createDataFrame([("k7",), ("new",)], "file_key string")
+    held = stores.stored_in_folders(spark, f"{tmp_path}/content", "file_key string, content string", asked)
+    assert {"k7", "new"} <= {r["file_key"] for r in held.collect()} and held.select("folder").distinct().count() <= 2
