@@ -18,6 +18,22 @@ def presence_status(rows: DataFrame, src: DataFrame, dst: DataFrame) -> DataFram
     return out.withColumn("in_src", F.coalesce("in_src", F.lit(False))).withColumn("in_dst", F.coalesce("in_dst", F.lit(False)))
 
 
+def wanted_rows(frm: DataFrame, to: DataFrame, spec: TableSpec, base: DataFrame | None = None, where: list[str] = (), limit: int | None = None, on_conflict: str = "error") -> DataFrame:
+    """file_key, keys and status (take_right or conflict) of each row that `to` needs from `frm`: a plan before any store is asked."""
+    found = changes(frm, to, spec, base, where, on_conflict).withColumnRenamed(spec.file_column, "file_key")
+    if limit is not None:
+        first = found.where("status = 'take_right'").orderBy(*spec.keys).limit(limit)
+        found = first.union(found.where("status = 'conflict'"))
+    return found
+
+
+def plan_wanted(found: DataFrame, src: DataFrame, dst: DataFrame, spec: TableSpec, ignore_missing: bool = False) -> DataFrame:
+    """The plan of wanted_rows(), by what the stores hold."""
+    absent = "skipped_missing" if ignore_missing else "error_missing"
+    status = F.when(F.col("status") == "conflict", "conflict").when(F.col("in_dst"), "record_only").when(F.col("in_src"), "copy").otherwise(absent)
+    return presence_status(found, src, dst).select("file_key", *spec.keys, status.alias("status"))
+
+
 def move_plan(frm: DataFrame, to: DataFrame, src: DataFrame, dst: DataFrame, spec: TableSpec, base: DataFrame | None = None, where: list[str] = (), limit: int | None = None, ignore_missing: bool = False, on_conflict: str = "error") -> DataFrame:
     """file_key, keys and status of each row that `to` needs from `frm`.
 
@@ -26,13 +42,7 @@ def move_plan(frm: DataFrame, to: DataFrame, src: DataFrame, dst: DataFrame, spe
     with on_conflict='report' get status conflict and stay where they are. A
     limit is a total, taken in order of key. Content is never read here.
     """
-    found = changes(frm, to, spec, base, where, on_conflict).withColumnRenamed(spec.file_column, "file_key")
-    if limit is not None:
-        first = found.where("status = 'take_right'").orderBy(*spec.keys).limit(limit)
-        found = first.union(found.where("status = 'conflict'"))
-    absent = "skipped_missing" if ignore_missing else "error_missing"
-    status = F.when(F.col("status") == "conflict", "conflict").when(F.col("in_dst"), "record_only").when(F.col("in_src"), "copy").otherwise(absent)
-    return presence_status(found, src, dst).select("file_key", *spec.keys, status.alias("status"))
+    return plan_wanted(wanted_rows(frm, to, spec, base, where, limit, on_conflict), src, dst, spec, ignore_missing)
 
 
 def move_summary(plan: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators import leaves, stores
 from stowage.operators.leaves import LeafStore
-from stowage.operators.move import move_plan, move_summary, require_content
+from stowage.operators.move import move_summary, plan_wanted, require_content, wanted_rows
 from stowage.sources import paths
 
 
@@ -23,7 +23,7 @@ def pull(frm: LeafStore, repo_frm: str, to: LeafStore, repo_to: str, src: DataFr
     """Gives repository repo_to of the store `to` what it lacks of repo_frm in `frm`; status and n_files of what was planned.
 
     Only leaves whose prints differ are read and only content folders that the
-    moved keys lie in. The plan is written down, then the content that the
+    moved keys lie in; where only conflicts are left, src is not read. The plan is written down, then the content that the
     folder at dst_path lacks, then one commit of the moved rows, so no row ever
     points at absent bytes, and a pull that breaks off can simply be run again:
     what has been copied is not copied twice. With a label that is committed
@@ -36,9 +36,16 @@ def pull(frm: LeafStore, repo_frm: str, to: LeafStore, repo_to: str, src: DataFr
     if label and leaves.committed(to, label):
         return spark.createDataFrame([], "status string, n_files long")
     mine, theirs = leaves.sides(frm, repo_frm, to, repo_to)
-    folder = f"{to.path}/plans/{uuid.uuid4().hex}"
-    move_plan(mine, theirs, src.select("file_key"), stored_content(to, dst_path, mine.select(F.col(frm.spec.file_column).alias("file_key"))).select("file_key"), to.spec, **options).write.parquet(folder)
-    plan = spark.read.parquet(folder)
+    folder, ignore = f"{to.path}/plans/{uuid.uuid4().hex}", options.pop("ignore_missing", False)
+    wanted_rows(mine, theirs, to.spec, **options).write.parquet(f"{folder}/wanted")
+    wanted = spark.read.parquet(f"{folder}/wanted")
+    asked = wanted.where("status = 'take_right'").select("file_key")
+    if asked.isEmpty():  # nothing to move: no store is asked
+        plan = plan_wanted(wanted, asked, asked, to.spec, ignore)
+    else:
+        plan = plan_wanted(wanted, src.select("file_key"), stored_content(to, dst_path, asked).select("file_key"), to.spec, ignore)
+    plan.write.parquet(f"{folder}/plan")
+    plan = spark.read.parquet(f"{folder}/plan")
     summary = [tuple(r) for r in move_summary(plan).collect()]  # a row for each status
     copied = plan.where("status = 'copy'").select("file_key").distinct()
     if not copied.isEmpty():
