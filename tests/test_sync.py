@@ -1,6 +1,9 @@
 """Pulls between stored inventories."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.operators import diff, leaves, stores, sync
 from stowage.operators.leaves import LeafStore
@@ -68,3 +71,16 @@ def test_rows_as_of_a_commit(spark, tmp_path):
     was = leaves.last_commit(a)
     leaves.commit(a, rows(spark, ("R", "x", "k2"), ("R", "y", "k3")))
     assert {tuple(r)[1:] for r in leaves.read_leaves(a, as_of=was).collect()} == {("x", "k1")} and len(held(a, "R")) == 2
+
+
+def test_content_is_not_read_where_nothing_is_to_move(spark, tmp_path):
+    """The second pull finds a conflict alone: it asks no store. Content of many keys is one file a folder."""
+    a, b, dst = new(spark, tmp_path / "a"), new(spark, tmp_path / "b"), f"{tmp_path}/dst"
+    many = [("R", f"p{i}", f"k{i}") for i in range(1500)]
+    leaves.commit(a, rows(spark, *many, ("R", "y", "other")))
+    leaves.commit(b, rows(spark, ("L", "y", "k0")))
+    assert planned(sync.pull(a, "R", b, "L", bytes_of(spark, *(k for _, _, k in many)).repartition(6), dst, on_conflict="report")) == {"copy": 1500, "conflict": 1}
+    assert held(b, "L") == {(p, k) for _, p, k in many} | {("y", "k0")} and sync.stored_content(b, dst).count() == 1500
+    assert len([f for _, _, names in os.walk(dst) for f in names if f.endswith(".parquet")]) <= 256
+    unread = bytes_of(spark, "k1").withColumn("file_key", F.raise_error(F.lit("read")).cast("string"))
+    assert planned(sync.pull(a, "R", b, "L", unread, dst, on_conflict="report")) == {"conflict": 1}
